@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, materialise, mix64, rows_of, slices, text_words, total
+from .shared import gathered, held_out, materialise, mix64, rows_of, slices, text_words, total
 
 START = "▁"
 #: A longer run of letters is scored in blocks of this many characters, which no piece crosses.
@@ -40,11 +40,15 @@ class Pieces:
         self.bits = 20
         self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, self.none, np.int32)
         self.probes = 1
-        for i, p in enumerate(self.pieces):
-            h = np.uint64(0)
-            for c in p:
-                h = mix64((h ^ np.uint64(ord(c))) * _MANY)
-            slot, n = int(h >> np.uint64(64 - self.bits)), 1
+        hashes = np.zeros(len(self.pieces), np.uint64)
+        for n in sorted(set(map(len, self.pieces))):
+            at = [i for i, p in enumerate(self.pieces) if len(p) == n]
+            h = np.zeros(len(at), np.uint64)
+            for chars in np.frombuffer("".join(self.pieces[i] for i in at).encode("utf-32-le"), "<u4").reshape(-1, n).T.astype(np.uint64):
+                h = mix64((h ^ chars) * _MANY)
+            hashes[at] = h
+        for i, (h, slot) in enumerate(zip(hashes, (hashes >> np.uint64(64 - self.bits)).tolist(), strict=True)):
+            n = 1
             while self.at[slot] != self.none:
                 slot, n = (slot + 1) % (1 << self.bits), n + 1
             self.keys[slot], self.at[slot], self.probes = h, i, max(self.probes, n)
@@ -84,8 +88,8 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i : i + (1 << 16)]
+        for i in range(0, len(at), 1 << 15):
+            some = at[i : i + (1 << 15)]
             yield some, np.frombuffer("".join(START + words[k] for k in some).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.uint64)
 
 
@@ -175,7 +179,7 @@ def fit(counts: DataFrame, vocabulary_path: str, rounds: int = 3, smooth: float
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             vocabulary, sums = pieces(vocabulary_path), np.zeros((size, len(langs)))
             place = {x: i for i, x in enumerate(langs)}
-            for batch in batches:
+            for batch in gathered(batches, 200_000):
                 lang = np.fromiter((place[x] for x in batch["lang"].to_pylist()), np.int64, batch.num_rows)
                 sums += expected_counts(vocabulary, given.value, batch["word"].to_pylist(), lang, batch["n"].to_numpy().astype(float))
             piece, lang = np.nonzero(sums)

@@ -21,7 +21,7 @@ PATTERNS = {
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
 _ALL = "|".join(PATTERNS.values())
 #: First day, number of days and halves of the two date domains: 1900 to 2099, and all other days of the years 1 to 9999.
@@ -157,9 +157,14 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     marked = base.select("__id", "__text", F.when(text.rlike("[0-9@]"), found).alias("__found"))
     pieces = F.zip_with(F.split(text, _ALL), "__found", lambda s, f: F.concat(F.coalesce(s, F.lit("")), F.coalesce(f["new"], f["old"], F.lit(""))))
     done = F.filter(F.coalesce("__found", F.array()), lambda f: f["new"].isNotNull())
-    counts = F.array_compact(F.array(*[F.when(F.size(F.filter(done, lambda f, k=k: f["kind"] == k)) > 0, F.struct(F.lit(k).alias("kind"), F.size(F.filter(done, lambda f, k=k: f["kind"] == k)).alias("n"))) for k in PATTERNS]))
+
+    def count(kind: str) -> Column:
+        n = F.size(F.filter(done, lambda f: f["kind"] == kind))
+        return F.when(n > 0, F.struct(F.lit(kind).alias("kind"), n.alias("n")))
+
+    counts = F.array_compact(F.array(*map(count, PATTERNS)))
     return marked.select(
         F.col("__id").alias(id_col),
         F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text).alias("text"),
         F.when(F.size("__found") > 0, F.size(done)).otherwise(0).alias("n_found"),
-        F.when(F.size("__found") > 0, counts).otherwise(F.filter(counts, lambda _: F.lit(False))).alias("found"))
+        F.when(F.size("__found") > 0, counts).otherwise(F.slice(counts, 1, 0)).alias("found"))

@@ -55,6 +55,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20)
             yield batch.slice(at, end - at)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Joins record batches until each has so many rows at least."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _spaced(texts: pa.Array, digits: bool) -> pa.Array:
     """The texts, lower-cased, with a space for each ASCII character that can't be in a word."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
