@@ -67,7 +67,7 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     while len(todo):
         a, b, h, m, k = out[todo] >> half[todo], out[todo] & mask[todo], half[todo], mask[todo], key[todo]
         for i in range(4):
-            a, b = b, a ^ (mix64(b + k + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) & m)
+            a, b = b, a ^ (mix64(b + k + mix64(np.uint64(i + 1))) & m)
         out[todo] = (a << h) | b
         todo = todo[out[todo] >= limit[todo]]
     return out.astype(np.int64)
@@ -97,20 +97,25 @@ def _shards(cuts: np.ndarray, source: np.ndarray, rank: np.ndarray) -> np.ndarra
     return out
 
 
-def plan_mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, shards: int = 64, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """A row for each row of docs: id, size, source_size, target, taken and segments, besides the columns to carry.
+def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """A row for each row of docs: id, size, source_size, target, taken and segments.
 
     Sources, by code point with null last, weigh ``weights`` in turn and share ``share`` of all words; a source gives
     ``most`` times its size at most. ``segments`` are the parts of the document that the mix takes: output shard, slot
     within it (ascending slots are the shard's shuffled order), pass over the source, first word and number of words.
-    ``taken`` is the sum of their words. A source's taken words miss its target by less than a block or two.
+    ``taken`` is the sum of their words. A source's taken words miss its target by less than four
+    of its blocks.
 
     A null text has size 0 and is never taken; a null source is a source; repeated rows are each a part of the stream;
     an empty table gives an empty plan. The same rows and seed give the same plan, however they are partitioned.
     The driver holds one number for each source and shard.
     """
+    return _drawn(docs, [], id_col=id_col, **options).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "segments")
+
+
+def _drawn(docs: DataFrame, carry: list[str], *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, shards: int = 64, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The plan with the columns to carry, the i-th of them as __c<i>."""
     spark = docs.sparkSession
-    carry = list(carry or [])
     kinds = {f"__c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(carry)}
     more = "".join(f", {c} {t}" for c, t in kinds.items())
     sized = (
@@ -163,8 +168,7 @@ def plan_mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), s
 
     started = sized.join(before, (F.col("__source") == F.col("of")) & (F.col("__part") == F.col("of_part"))).select("__id", "__source", "__size", (F.col("__local") + F.col("before")).alias("__start"), *kinds)
     names = ["id", "size", "source_size", "target", "taken", "segments", *kinds]
-    out = started.mapInArrow(draw, "id long, size long, source_size long, target double, taken long, segments " + SEGMENT + more)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "segments", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry) if c not in (id_col,)])
+    return started.mapInArrow(draw, "id long, size long, source_size long, target double, taken long, segments " + SEGMENT + more)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -175,14 +179,14 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``n_chars`` is that of the new text. Documents without words are not taken.
     """
     names = docs.columns
-    plan = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, carry=[c for c in names if c != id_col], **options)
-    schema = docs.schema
+    plan = _drawn(docs, names, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    text = f"__c{names.index(text_col)}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), text_col):
+            for batch in slices(iter([whole]), text):
                 rows, texts = [], []
-                for i, (text, size, parts) in enumerate(zip(batch[text_col].to_pylist(), batch["__size"].to_pylist(), batch["segments"].to_pylist(), strict=True)):
+                for i, (old, size, parts) in enumerate(zip(batch[text].to_pylist(), batch["size"].to_pylist(), batch["segments"].to_pylist(), strict=True)):
                     passes: dict[int, list[list[int]]] = {}
                     for s in parts:
                         runs = passes.setdefault(s["pass"], [])
@@ -194,24 +198,23 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     for p in sorted(passes):
                         rows.append(i)
                         if passes[p] == [[0, size]]:
-                            texts.append(text)
+                            texts.append(old)
                             continue
-                        spans = spans or [m.span() for m in _WORD.finditer(text)]
-                        texts.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in passes[p]))
+                        spans = spans or [m.span() for m in _WORD.finditer(old)]
+                        texts.append("\n".join(old[spans[a][0] : spans[b - 1][1]] for a, b in passes[p]))
                 made = batch.take(pa.array(rows, pa.int64()))
-                columns = {c: made[c] for c in names} | {text_col: pa.array(texts, pa.string())}
+                columns = {c: made[f"__c{i}"] for i, c in enumerate(names)} | {text_col: pa.array(texts, pa.string())}
                 if "n_chars" in columns:
-                    columns["n_chars"] = pa.array(list(map(len, texts)), pa.int64()).cast(made["n_chars"].type)
+                    columns["n_chars"] = pa.array(list(map(len, texts)), pa.int64()).cast(columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    chosen = plan.select(F.col(id_col).cast(schema[id_col].dataType), *[c for c in names if c != id_col], F.col("size").alias("__size"), "segments")
-    return chosen.mapInArrow(cut, schema).select(*names)
+    return plan.select("size", "segments", *[f"__c{i}" for i in range(len(names))]).mapInArrow(cut, docs.schema)
 
 
 def write_mix(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 64, **options) -> None:
     """Writes the mix below path, a folder for each output shard, with its blocks' words in the shard's shuffled order."""
-    plan = plan_mix(docs, id_col=id_col, text_col=text_col, shards=shards, carry=[text_col], **options)
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    rows = plan.where("taken > 0").select(id_col, words.alias("words"), F.explode("segments").alias("s")).select(
+    plan = _drawn(docs, [text_col], id_col=id_col, text_col=text_col, shards=shards, **options)
+    words = F.regexp_extract_all(F.col("__c0"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = plan.where("taken > 0").select(F.col("id").alias(id_col), words.alias("words"), F.explode("segments").alias("s")).select(
         "s.shard", "s.slot", "s.pass", id_col, F.concat_ws(" ", F.slice("words", (F.col("s.first_word") + 1).cast("int"), F.col("s.n_words"))).alias("text"))
     rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot", id_col).write.partitionBy("shard").parquet(path)
