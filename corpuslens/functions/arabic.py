@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters and marks that the keys are defined by.
 ALIFS, HAMZAS = "ٱآأإ", "ءئؤ"
@@ -18,7 +19,7 @@ PLACES = ("ءهعحغخ", "قك", "جشي", "ضلنر", "طدت", "صزس", "ظ
 NAME_VARIANTS = {"ميكاييل": "ميكال", "ميكايل": "ميكال", "جبراييل": "جبريل", "جبرييل": "جبريل", "غابرييل": "جبريل", "داوود": "داود"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(words: pd.Series) -> pd.Series:
     return words.str.normalize("NFKC")
 
@@ -129,7 +130,7 @@ def pausal(word: Column) -> Column:
 
 def final_skeleton(text: Column) -> Column:
     """The pausal skeleton of the last word that has one; empty if none has."""
-    return F.coalesce(F.element_at(F.filter(F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), pausal), lambda s: s != ""), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), pausal), lambda s: s != ""), F.lit(-1)), F.lit(""))
 
 
 def rhyme_key(text: Column) -> Column:
@@ -212,10 +213,10 @@ def parse_tags(features: Column, word_class: Column) -> Column:
     """The fields of a segment's pipe-separated tags and its class (N, V or P)."""
     tags = F.split(F.coalesce(features, F.lit("")), r"\|")
     has = lambda t: F.array_contains(tags, t)
-    value = lambda name: F.element_at(F.transform(F.filter(tags, lambda t: t.startswith(name + ":")), lambda t: F.substring(t, F.lit(len(name) + 2), F.length(t))), 1)
+    value = lambda name: F.try_element_at(F.transform(F.filter(tags, lambda t: t.startswith(name + ":")), lambda t: F.substring(t, F.lit(len(name) + 2), F.length(t))), F.lit(1))
     first = lambda pairs: F.coalesce(*[F.when(c, F.lit(v)) for c, v in pairs])
     aspect = first([(has(t), t.lower()) for t in ("PERF", "IMPF", "IMPV")])
-    agree = F.element_at(F.filter(tags, lambda t: t.rlike("^([123][MF]?[SDP]?|[MF][SDP]?)$")), 1)
+    agree = F.try_element_at(F.filter(tags, lambda t: t.rlike("^([123][MF]?[SDP]?|[MF][SDP]?)$")), F.lit(1))
     part = lambda p: F.when(F.regexp_extract(agree, p, 0) != "", F.lower(F.regexp_extract(agree, p, 0)))
     pos = first([(has("PASS_PCPL"), "passpcpl"), (has("ACT_PCPL"), "actpcpl"), (has("PN"), "pn"), (has("PRON"), "pron"), (has("ADJ"), "adj"), (word_class == "V", "verb"), (word_class == "P", "particle"), (word_class == "N", "noun")])
     return F.struct(

@@ -13,13 +13,16 @@ from .morphology import definite
 #: The prepositions that frames are mined for.
 GOVERNORS = ("من", "الى", "عن", "على", "في", "ب", "ل", "مع", "ك")
 NOUNS = ("noun", "pn", "adj", "actpcpl", "passpcpl")
-_W = Window.partitionBy("pid").orderBy("pos")
+
+
+def _w():
+    return Window.partitionBy("pid").orderBy("pos")
 
 
 def frame_occurrences(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS) -> DataFrame:
     """pid, head, its part of speech, preposition and both places: the head is the nearest verb or noun up to two words before."""
     head = F.when(F.col("m.pos").isin("verb", *NOUNS) & F.col("m.lemma").isNotNull(), F.struct("m.lemma", "m.pos", "m.root", F.col("pos").alias("at")))
-    rows = tokens.select("pid", "grp", "ord", "pos", F.col("norm").alias("prep"), F.last(head, ignorenulls=True).over(_W.rowsBetween(-2, -1)).alias("h"))
+    rows = tokens.select("pid", "grp", "ord", "pos", F.col("norm").alias("prep"), F.last(head, ignorenulls=True).over(_w().rowsBetween(-2, -1)).alias("h"))
     return rows.where(F.col("prep").isin(*governors) & F.col("h").isNotNull()).select("pid", "grp", "ord", F.col("h.lemma").alias("head"), F.col("h.pos").alias("head_pos"), F.col("h.root").alias("root"), "prep", F.col("h.at").alias("head_idx"), F.col("pos").alias("prep_idx"))
 
 
@@ -40,7 +43,7 @@ def frame_contrast(frames_: DataFrame, totals: DataFrame) -> DataFrame:
 
 def verb_nouns(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS, least: int = 3, top: int = 700) -> DataFrame:
     """Verbs with the first content word within three after them, if it is a noun and not governed: counts and association over such slots."""
-    ahead = F.collect_list(F.struct("m", "norm")).over(_W.rowsBetween(1, 3))
+    ahead = F.collect_list(F.struct("m", "norm")).over(_w().rowsBetween(1, 3))
     content = lambda x: x["norm"].isin(*governors) | x["m"]["pos"].isin("verb", *NOUNS)
     slots = tokens.select("pid", "m", ahead.alias("ahead")).where("m.pos = 'verb' and m.lemma is not null").select("pid", F.col("m.lemma").alias("verb"), F.col("m.root").alias("verb_root"), F.try_element_at(F.filter("ahead", content), F.lit(1)).alias("n"))
     pairs = slots.where(F.col("n.m.pos").isin(*NOUNS) & ~F.col("n.norm").isin(*governors) & F.col("n.m.lemma").isNotNull()).select("verb", "verb_root", F.col("n.m.lemma").alias("noun"), F.col("n.m.root").alias("noun_root"))
@@ -54,10 +57,10 @@ def verb_nouns(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS, least:
 def genitive_chains(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS, least: int = 2, top: int = 800) -> DataFrame:
     """Chains of a noun without article and the genitive nouns that follow it, each as long as it goes: lemmas, words, count."""
     noun = F.col("m.pos").isin(*NOUNS) & F.col("m.lemma").isNotNull()
-    governed = F.coalesce(F.lag("norm").over(_W), F.lit("")).isin(*governors)
-    goes_on = noun & (F.col("m.gcase") == "gen") & ~governed & F.coalesce(F.lag(noun).over(_W), F.lit(False))
+    governed = F.coalesce(F.lag("norm").over(_w()), F.lit("")).isin(*governors)
+    goes_on = noun & (F.col("m.gcase") == "gen") & ~governed & F.coalesce(F.lag(noun).over(_w()), F.lit(False))
     rows = tokens.select("pid", "pos", F.col("m.lemma").alias("lemma"), F.col("orig"), noun.alias("noun"), F.coalesce(goes_on, F.lit(False)).alias("on"), (~F.col("norm").startswith("ال")).alias("open"))
-    chains = rows.withColumn("chain", F.sum((~F.col("on")).cast("int")).over(_W)).where("noun").groupBy("pid", "chain").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "orig", "open"))).alias("ws"))
+    chains = rows.withColumn("chain", F.sum((~F.col("on")).cast("int")).over(_w())).where("noun").groupBy("pid", "chain").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "orig", "open"))).alias("ws"))
     good = chains.where((F.size("ws") >= 2) & F.col("ws")[0]["open"]).select(F.array_join(F.transform("ws", lambda x: x["lemma"]), " ").alias("lemmas"), F.size("ws").alias("n_words"), F.struct("pid", F.col("ws")[0]["pos"].alias("start")).alias("at"))
     return good.groupBy("lemmas", "n_words").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("at")).alias("occurrences")).where(F.col("count") >= least).orderBy(F.desc("count"), "lemmas").limit(top)
 
@@ -73,8 +76,8 @@ def construction(tokens: DataFrame, occurrences: DataFrame, head: str, *, prep:
     The object is the particle's word, else the next nominal of the span. ``prep`` asks for a particle, or with ``present``
     false for its absence; ``object_definite`` for the object's definiteness.
     """
-    ahead = F.collect_list(F.struct("pos", "orig", "norm", "m")).over(_W.rowsBetween(1, span))
-    side = lambda a, b: F.array_join(F.collect_list("orig").over(_W.rowsBetween(a, b)), " ")
+    ahead = F.collect_list(F.struct("pos", "orig", "norm", "m")).over(_w().rowsBetween(1, span))
+    side = lambda a, b: F.array_join(F.collect_list("orig").over(_w().rowsBetween(a, b)), " ")
     rows = tokens.select("pid", "grp", "ord", "pos", "orig", "m", ahead.alias("ahead"), side(-context, -1).alias("left"), side(1, context).alias("right")).where(F.col("m.lemma") == head)
     framed = occurrences.where(F.col("head") == head).select("pid", F.col("head_idx").alias("pos"), F.col("prep").alias("frame_prep"), "prep_idx")
     rows = rows.join(framed, ["pid", "pos"], "left")

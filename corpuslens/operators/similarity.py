@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .tokens import postings
@@ -130,7 +131,7 @@ def shared_phrases(tokens: DataFrame, pid: str, least: int = 3, seed: int = 2) -
     return phrases.join(F.broadcast(wider), inside & (F.col("wide_words") > F.col("n_words")) & (F.col("wide_others") >= F.col("others")), "left_anti")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     def length(x, y) -> int:
         row = [0] * (len(y) + 1)
@@ -164,7 +165,7 @@ def _edits(most: int) -> Callable[[Column, Column], Column]:
                     return d
         return None
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 

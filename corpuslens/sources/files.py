@@ -49,7 +49,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbered lines of each text file below path: a file is one row while it is numbered."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
 
 
