@@ -27,8 +27,3 @@ def lexicon_coverage(matched: DataFrame) -> DataFrame:
 def search_glosses(entries: DataFrame, text: str, top: int = 60) -> DataFrame:
     """Roots whose gloss has a text, by the number of lexicons that agree."""
     return entries.where(F.col("concise").contains(text)).groupBy("root").agg(F.countDistinct("lexicon").alias("lexicons")).orderBy(F.desc("lexicons"), "root").limit(top)
-
-
-def shard_of(root, shards: int = 64):
-    """The shard of a lexicon that a root is in."""
-    return F.pmod(F.xxhash64(root), F.lit(shards)).cast("int")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions.association import association
+from corpuslens.functions.association import association, rarity_weight
+from corpuslens.functions.typed import fnv1a
 from corpuslens.operators import association as assoc
-from corpuslens.operators import counts, graph, morphology, search, similarity
+from corpuslens.operators import counts, dossiers, graph, morphology, search, similarity
 from corpuslens.operators import tokens as tk
 from corpuslens.sources import sinks
 from corpuslens.sources.tables import chat, dense, documents, table
@@ -147,6 +148,43 @@ def sl04(spark, folder):
     return counts.page(freq, [F.desc("n"), F.col("key")], 20, 50)
 
 
+@query("ag18_passages_by_group", f"{_TOK} select grp, count(distinct pid) as passages from t where key = 'with' group by 1")
+def ag18(spark, folder):
+    return dossiers.passages_by_group(_tokens(spark, folder).where("key = 'with'"))
+
+
+@query("pr03_term_header", f"{_TOK} select 'th' as term, count(distinct pid) as passages, count(*) as tokens, count(distinct key) as spellings, (select key from t where root = 'th' group by key order by count(*) desc, min((grp, ord, pos)), key limit 1) as label from t where root = 'th'")
+def pr03(spark, folder):
+    return dossiers.term_header(_tokens(spark, folder), "th", "root")
+
+
+@query("sr11_occurrences", f"{_TOK} select grp, ord, pid, array_to_string(list_sort(list(pos)), ' ') as positions from t where lemma = 'with' group by 1, 2, 3")
+def sr11(spark, folder):
+    return sinks.flat(dossiers.occurrences(_tokens(spark, folder), "with", "lemma"))
+
+
+@query("st02_union", f"{_TOK} select distinct pid from t where key = 'with' union select distinct pid from t where key = 'from'")
+def st02(spark, folder):
+    t = _tokens(spark, folder)
+    return t.where("key = 'with'").select("pid").union(t.where("key = 'from'").select("pid")).distinct()
+
+
+@query("st03_except", f"{_TOK} select pid from t where key = 'with' except select pid from t where key = 'from'")
+def st03(spark, folder):
+    t = _tokens(spark, folder)
+    return t.where("key = 'with'").select("pid").subtract(t.where("key = 'from'").select("pid"))
+
+
+@query("sf24_rarity", f"{_TOK}, {_KEY_DF} select key, round(1 / log2(greatest(df, 1) + 2), 6) as weight from df where df <= 100")
+def sf24(spark, folder):
+    return tk.document_frequency(_tokens(spark, folder)).where("df <= 100").select("key", F.round(rarity_weight("df"), 6).alias("weight"))
+
+
+@query("sf29_hash", "with recursive c(c_name, i, h) as (select c_name, 0, 2166136261::bigint from customer union all select c_name, i + 1, (xor(h, ascii(substr(c_name, i + 1, 1))::bigint) * 16777619) & 4294967295 from c where i < length(c_name)) select c_name, h as hash from c where i = length(c_name)")
+def sf29(spark, folder):
+    return table(spark, folder, "customer").select("c_name", fnv1a(F.col("c_name")).alias("hash"))
+
+
 # --- tokens, filters, rows ------------------------------------------------------------------------------------------------
 
 
@@ -290,6 +328,17 @@ def sm05(spark, folder):
     return _rounded(similarity.nearest_keys(similarity.ppmi(_tokens(spark, folder))), "sim", digits=4)
 
 
+@query("sm06_relatedness", f"{_PPMI}, g as (select * from (values ('wth', 'frm'), ('fr', 'wth'), ('zzz', 'th')) v(a, b)), gd as (select g.a, g.b, sum(x.w * y.w) as dot from g join pv x on x.key = g.a join pv y on y.key = g.b and y.other = x.other group by 1, 2) select g.a, g.b, round(coalesce(gd.dot / (m.norm * n2.norm), 0), 5) as score from g left join gd using (a, b) left join nm m on m.key = g.a left join nm n2 on n2.key = g.b")
+def sm06(spark, folder):
+    pairs = spark.createDataFrame([("wth", "frm"), ("fr", "wth"), ("zzz", "th")], "a string, b string")
+    return _rounded(similarity.relatedness(similarity.ppmi(_tokens(spark, folder)), pairs), "score")
+
+
+@query("ag24_compare_keys", f"{_KEYNESS}, r2 as (select * from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn where grp in (1, 2)) where rank <= 24) select key, case when count(distinct grp) = 2 then 'both' when min(grp) = 1 then 'one' else 'two' end as side from r2 group by 1")
+def ag24(spark, folder):
+    return assoc.compare_keys(assoc.keyness(_tokens(spark, folder), stops=tk.STOP), 1, 2)
+
+
 @query("sm07_shared_phrases")
 def sm07(spark, folder):
     """Of the first passage, by id, that shares a run of three words with another."""

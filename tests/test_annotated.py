@@ -203,3 +203,41 @@ def test_lexicon(spark):
     assert lexicon.lexicon_coverage(m).first()["share"] == pytest.approx(0.75)
     e = spark.createDataFrame([("l1", "a", "to write"), ("l2", "a", "writer"), ("l1", "b", "write")], "lexicon string, root string, concise string")
     assert [(r.root, r.lexicons) for r in lexicon.search_glosses(e, "write").collect()] == [("a", 2), ("b", 1)]
+
+
+def test_typed_letters_and_hashes(spark):
+    from corpuslens.functions import typed
+
+    df = spark.createDataFrame([("kt'ab",), ("Hmd",), ("'x",), ("s'ms",), ("Bab",)], "t string")
+    assert [r[0] for r in df.select(typed.typed_arabic(F.col("t"))).collect()] == ["كثاب", "حمد", "ء", "شمس", "باب"]
+
+    def fnv(s):
+        h = 0x811C9DC5
+        for c in s:
+            h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+        return h
+
+    words = ["كتب", "", "abc"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(typed.fnv1a(F.col("w")), typed.shard_of(F.col("w"))).collect()
+    assert [tuple(r) for r in got] == [(fnv(w), fnv(w) % 64) for w in words]
+    f = spark.createDataFrame([(0, 2), (4, 5), (12, 42)], "f int, g int").select(typed.form_roman(F.col("f")), typed.opening_letters(F.col("g"))).collect()
+    assert [r[0] for r in f] == ["", "IV", "12"] and [r[1] for r in f] == [["ا", "ل", "م"], None, ["ح", "م", "ع", "س", "ق"]]
+    assert spark.range(1).select(typed.taa_variants(F.array(F.lit("رحمة"), F.lit("بيت"), F.lit("x")))).first()[0] == ["رحمه", "بيه"]
+    assert spark.range(1).select(typed.state(q=F.lit("x"), n=F.lit(None).cast("int"))).first()[0] == '{"q":"x"}'
+
+
+def test_dossiers(spark):
+    from corpuslens.operators import dossiers
+
+    t = expression_corpus(spark)
+    assert [r.pid for r in dossiers.occurrences(t, "امن", "root", counts.morphology_filter(aspect=["perf"])).collect()] == ["1:1", "1:2", "1:3", "2:1"]
+    marked = dossiers.occurrence_passages(expressions.frame_occurrences(t), F.array("head_idx", "prep_idx")).collect()
+    assert {(r.pid, tuple(r.positions)) for r in marked} == {(f"1:{i}", (0, 1)) for i in (1, 2, 3)}
+    assert spark.range(1).select(dossiers.run_span(F.lit(2), F.lit(3))).first()[0] == [2, 3, 4]
+    assert {(r.idiom, r.pid, r.start) for r in dossiers.idioms(t, [["يوم", "دين"], ["nothing"]]).collect()} == {("يوم دين", f"1:{i}", 3) for i in (1, 2, 3)}
+    clusters = dossiers.verb_clusters(expressions.verb_nouns(t, least=1)).first()
+    assert clusters.verb == "امن" and set(clusters.nouns) >= {"يوم"}
+    near = spark.createDataFrame([("امن", "كفر", 0.5)], "key string, near string, sim double")
+    rel = spark.createDataFrame([("امن", "كفر", 2)], "a string, b string, frames long")
+    sections = {(r.section, r.name): r.n for r in dossiers.root_dossier(t, t.select("grp"), "امن", near, rel).collect()}
+    assert sections[("distribution", "1")] == 3 and sections[("frame", "امن ب")] == 3 and sections[("neighbour", "كفر")] == 0.5 and sections[("relation", "كفر")] == 2 and sections[("passages", "امن")] == 4
