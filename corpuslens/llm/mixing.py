@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialise, mix64, rows_of, slices
+from .shared import materialise, mix64, slices
 
 #: At most so many words a block, unless that made more than MOST_BLOCKS blocks; a source has FEWEST blocks at least if it has as many words.
 BLOCK_WORDS, FEWEST, MOST_BLOCKS = 256, 1000, 400_000_000
