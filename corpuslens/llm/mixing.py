@@ -184,7 +184,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), text):
+            for batch in slices(iter([whole]), text, 8 << 20):
                 rows, texts = [], []
                 for i, (old, size, parts) in enumerate(zip(batch[text].to_pylist(), batch["size"].to_pylist(), batch["segments"].to_pylist(), strict=True)):
                     passes: dict[int, list[list[int]]] = {}

@@ -58,6 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
         for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(at, end - at)
+            pa.default_memory_pool().release_unused()  # a worker shares its executor's memory with others
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
