@@ -2,7 +2,7 @@
 
 A seed is a mask over a few neighbouring words; words under a 0 may differ. The hashes of all masked windows of the
 benchmark are looked up for every window of the training texts, and around each hit the two texts are compared word by
-word, so that an overlap is found with substituted words in it.
+word, so that an overlap is found with substituted words in it. Every overlap has a hit (see MASKS and short_masks).
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 
 from .shared import NO_WORD, materialise, mix64, slices, text_words, word_hashes
 
-#: Fixed masks of weight 8. Any 16 consecutive words with two substitutions have a hit of one of them but for a few placements.
-MASKS = ("11111111", "1101101101011", "1110010110011", "11010011001111")
 #: An overlap counts with this many words, or all words of a shorter item, of which this share is equal.
 LEAST_WORDS, SIMILARITY = 13, 0.8
+#: An overlap of 13 words or more falls into pieces of 13 to 25 words, one of which has 80 % of its words equal too. With m
+#: substitutions that piece has a run of (n - m) / (m + 1) equal words, which is above 3 and so at least 4 but for 15 words in
+#: four runs of three: those have the second mask.
+MASKS = ("1111", "1110111")
+#: So many hits of a mask are compared at once.
+HITS = 1 << 18
 #: A benchmark of more words than this is taken in parts, each of which is broadcast: 20 bytes a word.
 PART_WORDS = 4_000_000
 
@@ -37,6 +41,18 @@ def _window_hashes(words: np.ndarray, mask: str, seed: int) -> np.ndarray:
     return mix64(out)
 
 
+def short_masks(length: int) -> list[str]:
+    """Masks of which each overlap with all of an item of fewer than LEAST_WORDS words has one.
+
+    Its first and last words are equal, and of one part more than it may have substitutions one part is free of them.
+    """
+    most = int(length * (1 - SIMILARITY) + 1e-9)
+    if not most:
+        return ["1" * length]
+    parts = np.array_split(np.arange(1, length - 1), most + 1)
+    return ["".join("1" if i in (0, length - 1, *part) else "0" for i in range(length)) for part in parts]
+
+
 class Benchmark:
     """The words and masked windows of the items, ready to look up."""
 
@@ -44,12 +60,11 @@ class Benchmark:
         codes, words, self.offsets = text_words(pa.array(texts, pa.string()))
         self.ids, self.words = np.array(ids, np.int64), word_hashes(words)[codes]
         length = np.diff(self.offsets)
-        shortest = min(map(len, MASKS))
-        # an item too short for any seed is looked for as a whole
-        self.masks = [*MASKS, *("1" * n for n in np.unique(length[(length > 0) & (length < shortest)]))]
+        # an item of fewer words than an overlap has is looked for as a whole
+        self.masks = [*MASKS, *(mask for n in np.unique(length[(length > 0) & (length < LEAST_WORDS)]) for mask in short_masks(n))]
         found = []
         for k, mask in enumerate(self.masks):
-            for i in np.flatnonzero(length >= len(mask) if k < len(MASKS) else length == len(mask)):
+            for i in np.flatnonzero(length >= LEAST_WORDS if k < len(MASKS) else length == len(mask)):
                 h = _window_hashes(self.words[self.offsets[i] : self.offsets[i + 1]], mask, k)
                 found.append(np.column_stack([h, np.full(len(h), i, np.uint64), np.arange(len(h), dtype=np.uint64)]))
         table = np.concatenate(found) if found else np.empty((0, 3), np.uint64)
@@ -60,7 +75,7 @@ class Benchmark:
         self.filter[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def seeds(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, diagonal) of the hits, a diagonal being a text's place less an item's."""
+        """Distinct (text, item, diagonal) of the hits near which enough words are equal, a diagonal being a text's place less an item's."""
         found = [np.empty((0, 3), np.int64)]
         row_end = np.repeat(offsets[1:], np.diff(offsets))
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -69,12 +84,31 @@ class Benchmark:
             at = np.flatnonzero(self.filter[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
             at = at[at + len(mask) <= row_end[at]]
             lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            n = hi - lo
-            place = np.repeat(at, n)
-            entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            found.append(np.unique(np.column_stack([row[place], self.item[entry], place - offsets[row[place]] - self.at[entry]]), axis=0))
+            ends = np.cumsum(hi - lo)
+            for first in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                hit = np.arange(first, min(first + HITS, int(ends[-1])))
+                one = np.searchsorted(ends, hit, "right")
+                place, entry = at[one], hi[one] - (ends[one] - hit)
+                text, item, of = row[place], self.item[entry], self.at[entry]
+                near = self._near(words, place, offsets[text], offsets[text + 1], item, of, len(mask) if k >= len(MASKS) else 0)
+                found.append(np.unique(np.column_stack([text, item, place - offsets[text] - of])[near], axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
+    def _near(self, words: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray, of: np.ndarray, whole: int) -> np.ndarray:
+        """Whether the hits (a place in words, of a text from start to end, and one in an item) may be in an overlap.
+
+        That is, if a piece of 13 to 25 words around the hit, or with ``whole`` the whole of so many words, has enough equal ones.
+        """
+        step = np.arange(whole) if whole else np.arange(-2 * LEAST_WORDS, 2 * LEAST_WORDS)
+        a, b = place[:, None] + step, (self.offsets[item] + of)[:, None] + step
+        inside = (a >= start[:, None]) & (a < end[:, None]) & (b >= self.offsets[item][:, None]) & (b < self.offsets[item + 1][:, None])
+        equal = inside & (words[np.where(inside, a, 0)] == self.words[np.where(inside, b, 0)])
+        sums = np.pad(np.cumsum(equal, axis=1, dtype=np.int8), ((0, 0), (1, 0)))
+        out = np.zeros(len(place), bool)
+        for n in [whole] if whole else range(LEAST_WORDS, 2 * LEAST_WORDS):
+            out |= (sums[:, n:] - sums[:, :-n]).max(axis=1) >= SIMILARITY * n - 1e-9
+        return out
+
     def overlaps(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """text, item id, first word in the text, first word in the item, words and equal words of each text's best overlap with an item."""
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}

@@ -124,6 +124,46 @@ def test_longest_overlap_by_brute_force():
         assert (got[1] - got[0] if got else None) == want
 
 
+def overlaps(items, texts):
+    """What Benchmark finds for items and texts that are lists of numbers, by (text, item)."""
+    bench = decontaminate.Benchmark(list(range(len(items))), [" ".join(f"w{x}" for x in item) for item in items])
+    codes, distinct, offsets = shared.text_words(pa.array([" ".join(f"w{x}" for x in t) for t in texts], pa.string()))
+    return bench, shared.word_hashes(distinct)[codes], offsets
+
+
+@pytest.mark.parametrize("n", range(1, 26))
+def test_every_placement_of_substitutions_has_a_hit(n):
+    """Of an item of n words; a longer overlap has a piece of 13 to 25 words with as many equal. The ends of a whole short item are equal."""
+    from itertools import combinations
+
+    free = range(n) if n >= 13 else range(1, n - 1)
+    texts = [[1000 + i if i in off else i for i in range(n)] for m in range(n // 5 + 1) for off in combinations(free, m)]
+    bench, hashes, offsets = overlaps([range(n)], texts)
+    assert set(bench.seeds(hashes, offsets)[:, 0]) == set(range(len(texts)))
+
+
+def test_overlaps_by_brute_force():
+    rng = np.random.default_rng(1)
+    items = [rng.integers(0, 30, n).tolist() for n in (*range(1, 20), 30, 47, 80)]
+    texts = [[], [1], rng.integers(0, 30, 200).tolist()]
+    for item in items * 12:
+        share, at = rng.choice([0.0, 0.1, 0.2, 0.3]), rng.integers(0, max(1, len(item) - 12))
+        part = [int(rng.integers(0, 30)) if rng.random() < share else x for x in item[at:]]
+        texts.append(rng.integers(0, 30, rng.integers(0, 20)).tolist() + part + rng.integers(0, 30, rng.integers(0, 20)).tolist())
+    want = {}
+    for t, a in enumerate(texts):
+        for i, b in enumerate(items):
+            for d in range(1 - len(b), len(a)):
+                e = [a[k + d] == b[k] for k in range(max(0, -d), min(len(b), len(a) - d))]
+                for x in np.flatnonzero(e):
+                    for y in range(x + min(13, len(b)), len(e) + 1):
+                        if e[y - 1] and 5 * sum(e[x:y]) >= 4 * (y - x):
+                            want[t, i] = max(want.get((t, i), 0), y - x)
+    bench, hashes, offsets = overlaps(items, texts)
+    got = {(t, i): n for t, i, _, _, n, _ in bench.overlaps(hashes, offsets)}
+    assert got.keys() == want.keys() and all(got[k] <= want[k] for k in got) and len(want) > 150
+
+
 def test_no_overlaps_with_an_empty_table(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_overlaps(frame(spark, ["a b c"]), bench).count() == 0
