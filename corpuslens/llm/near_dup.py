@@ -27,9 +27,11 @@ AGREE = 0.65
 #: A bucket of so many members is a company, in which all meet; a larger one is dealt into random companies with a mate or two
 #: for a member. All members meet the bucket's hub.
 COMPANY = 8
-#: Once classes are known, members of a bucket meet this many random hubs of other classes in a turn; all pairs are confirmed
-#: whose signatures agree in this share of the coordinates.
-HUBS, LIKELY = 4, 0.74
+#: Once classes are known, all members of a bucket that are of different classes are compared, in tiles of two parts of about
+#: this many members, and in a task so many pairs of signatures at once.
+TILE, PAIRS = 1024, 1 << 18
+#: A part of a bucket has about this many bytes of texts at most.
+TILE_BYTES = 16 << 20
 #: The texts that pairs are confirmed with are picked by a broadcast of their ids up to this many (8 bytes each), else by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -185,11 +187,81 @@ def _candidates(members: DataFrame, hubs: Column, turn: int) -> DataFrame:
     return with_hub.unionByName(pairs).distinct()
 
 
-def _cross(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u < v) of members (key, v, c) of different classes c in a bucket: each member with up to HUBS hubs drawn at random for the turn."""
-    hubs = placed.groupBy("key", F.pmod(_hash("v", F.lit(turn)), F.lit(HUBS)).alias("draw")).agg(F.max(F.struct(_hash("key", "v", F.lit(turn)).alias("by"), F.col("v").alias("hub"), F.col("c").alias("of"))).alias("h"))
-    hubs = materialise(hubs.select("key", "h.hub", "h.of"), "hubs", True)
-    return placed.join(hubs, "key").where("c != of").select(F.least("v", "hub").alias("u"), F.greatest("v", "hub").alias("v")).distinct()
+def _common(sets: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The weighted Jaccard similarities of the sets i and j (ascending i) of the elements, counts and offsets in sets."""
+    elements, counts, offsets = sets
+    distinct, code = np.unique(elements, return_inverse=True)
+    held, sums, out = np.zeros(len(distinct), np.int64), total(counts, offsets), np.zeros(len(i))
+    for first, last in zip(at := np.flatnonzero(np.r_[True, i[1:] != i[:-1]]), [*at[1:], len(i)], strict=True):
+        own = slice(offsets[i[first]], offsets[i[first] + 1])
+        held[code[own]] = counts[own]
+        for some in range(first, last, 256):
+            js = j[some : min(some + 256, last)]
+            n = offsets[js + 1] - offsets[js]
+            ends = np.r_[0, np.cumsum(n)]
+            theirs = np.repeat(offsets[js] - ends[:-1], n) + np.arange(ends[-1])
+            common = total(np.minimum(held[code[theirs]], counts[theirs]), ends)
+            out[some : some + len(js)] = common / (sums[i[first]] + sums[js] - common)
+        held[code[own]] = 0
+    return out
+
+
+def _across(placed: DataFrame, vertices: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (u < v, similarity) between members (key, v, c) of different classes c in a bucket, one at least for two classes that have any.
+
+    All pairs are compared whose signatures agree enough, each in the first bucket that it shares. A large bucket is dealt
+    into parts, and each two parts are a tile, so no task holds all of it. Pairs are met in Python: only links become rows.
+    """
+    sized = placed.join(vertices.select("v", "signature", "bands"), "v").join(texts.withColumnRenamed("id", "v"), "v")
+    sized = materialise(sized, "sized")
+    parts = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.octet_length("text")) / TILE_BYTES, F.lit(1))).cast("int").alias("parts"))
+    dealt = sized.join(parts, "key").withColumn("part", F.pmod(_hash("v", F.lit(-1)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "c", "v", "part", "signature", "bands", "text")
+
+    def links(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Of whole tiles in order of their classes."""
+        key, lo, hi, c, v, part = (batch[i].to_numpy() for i in range(6))
+        sig = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint8).reshape(-1, K)
+        bands = batch["bands"].flatten().to_numpy().reshape(-1, K // BAND)
+        tile = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        group = tile | np.r_[True, c[1:] != c[:-1]]
+        after = lambda first: np.r_[np.flatnonzero(first), len(key)][np.cumsum(first)]
+        begin, end = after(group), after(tile)
+        ends = np.cumsum(end - begin)  # a row meets those of its tile's later classes
+        found = [np.empty((2, 0), np.int64)]
+        for first in range(0, int(ends[-1]), PAIRS):
+            pair = np.arange(first, min(first + PAIRS, int(ends[-1])))
+            i = np.searchsorted(ends, pair, "right")
+            j = end[i] - (ends[i] - pair)
+            met = np.flatnonzero((lo[i] == hi[i]) | (part[i] != part[j]))
+            met = met[np.count_nonzero(sig[i[met]] == sig[j[met]], axis=1) >= AGREE * K - 1e-9]
+            i, j = i[met], j[met]
+            shared = (bands[i] == bands[j]).argmax(axis=1)
+            found.append(np.stack([i, j])[:, bands[i, shared] == key[i]])
+        i, j = np.concatenate(found, axis=1)
+        rows, where = np.unique(np.r_[i, j], return_inverse=True)
+        s = _common(_sets(batch["text"].take(pa.array(rows)))[:3], where[: len(i)], where[len(i) :]) if len(i) else np.zeros(0)
+        i, j, s = i[s >= threshold], j[s >= threshold], s[s >= threshold]
+        _, one = np.unique(np.column_stack([c[i], c[j]]), axis=0, return_index=True)
+        i, j, s = i[one], j[one], s[one]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j])), pa.array(s)], names=["u", "v", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = lambda x, i: tuple(x[k][i].as_py() for k in range(3))
+        held: list[pa.RecordBatch] = []  # the tile that may go on
+        for whole in batches:
+            for batch in slices(iter([whole]), "text", 2 << 20):
+                last = tile(batch, -1)
+                cut = batch.num_rows - int(np.logical_and.reduce([batch[k].to_numpy() == last[k] for k in range(3)]).sum())
+                if cut or held and tile(held[-1], -1) != last:
+                    yield links(pa.concat_batches([*held, batch.slice(0, cut)]))
+                    held = []
+                held.append(batch.slice(cut))
+        if held:
+            yield links(pa.concat_batches(held))
+
+    return tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "c").mapInArrow(run, "u long, v long, similarity double").distinct()
 
 
 def _agreeing(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -206,6 +278,12 @@ def _agreeing(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, agree double")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pair of each document that agrees most."""
+    ends = pairs.select("u", "v", "agree", F.explode(F.array("u", "v")).alias("end"))
+    return ends.groupBy("end").agg(F.max(F.struct("agree", _hash("u", "v").alias("tie"), "u", "v")).alias("x")).select("x.u", "x.v").distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """u, v and their similarity, for the pairs whose texts reach the threshold."""
 
@@ -223,7 +301,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, turns: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """id, class_id, n_links and copy_of of each row of docs.
 
     Documents are linked if the weighted Jaccard similarity of their runs of five words (lower-cased, without marks) is
@@ -232,10 +310,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links by which the class was joined together, at its representatives. Null texts and texts without words are alone.
     Rows with the same id are one document. Empty tables give an empty result.
 
-    No bucket is paired out. In the first turn its members meet a hub and small random companies, in the second the member
-    with most links so far; of its candidates each document has the most promising untried one confirmed. After that only
-    buckets are left that hold several classes, whose members meet random hubs of other classes (links within a class
-    change nothing), until a turn finds no link more.
+    Two documents are candidates if they share a bucket and their signatures agree enough. In the first turn the members of
+    a bucket meet a hub and small random companies, in the second the member with most links so far; each document has its
+    most promising candidate confirmed. Then the signatures of all members of a bucket that are still of different classes
+    are compared, and the texts of every pair that agrees, so that no candidates of different classes stay untried.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = materialise(signed(chosen), "signed")
@@ -250,42 +328,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = F.broadcast(wanted) if known.count() <= BROADCAST_IDS else wanted
     # of rows that share an id, the greatest text stands for the document
     texts = materialise(chosen.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "wanted")
-    links = checked = classes = None
-    none = False
-    for turn in range(turns):
+    links = checked = None
+    for turn in range(2):
         left, by = members, _hash("v", F.lit(turn))
         if turn:
             degree = links.select("u").unionAll(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("degree"))
             left, by = members.join(degree, F.col("v") == F.col("u"), "left").select("key", "v", F.coalesce("degree", F.lit(0)).alias("degree")), F.struct("degree", _hash("v", F.lit(turn)))
-        if turn > 1:
-            classes = connected(links)
-            placed = members.join(classes.withColumnRenamed("v", "of"), F.col("v") == F.col("of"), "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-            # a bucket that lies in one class has nothing to add
-            several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-            placed = materialise(placed.join(several, "key", "left_semi"), "placed", True)
-            open_ = _agreeing(_cross(placed, turn), known)
-        else:
-            open_ = _agreeing(_candidates(materialise(left, "left", True) if turn else left, by, turn), known)
+        open_ = _agreeing(_candidates(materialise(left, "left", True) if turn else left, by, turn), known)
         open_ = materialise(open_ if checked is None else open_.join(checked, ["u", "v"], "left_anti"), "agreeing", True)
-        ends = open_.select("u", "v", "agree", F.explode(F.array("u", "v")).alias("end"))
-        best = ends.groupBy("end").agg(F.max(F.struct("agree", _hash("u", "v").alias("tie"), "u", "v")).alias("x")).select("x.u", "x.v")
-        best = best.unionByName(open_.where(F.col("agree") >= LIKELY).select("u", "v")) if turn > 1 else best
-        tried = materialise(best.distinct(), "tried", True)
+        tried = materialise(_best(open_), "tried", True)
         new = materialise(_confirmed(tried, texts, threshold), "links", True)
-        none = new.isEmpty()
-        if none and turn != 1:
-            break
         checked = tried if checked is None else checked.unionByName(tried)
         links = new if links is None else links.unionByName(new)
-    settled = classes is not None and none
-    if links is None:
-        found = first.select("a", "b", "v", F.col("v").alias("c"), F.lit(0).cast("long").alias("n"))
-    else:
-        if not settled:
-            classes = connected(links)
-        degree = links.select(F.col("u").alias("of")).unionAll(links.select(F.col("v").alias("of"))).groupBy("of").agg(F.count("*").alias("n"))
-        joined = degree.join(classes, F.col("of") == F.col("v")).select("of", "c", "n")
-        found = first.join(joined, F.col("v") == F.col("of"), "left").select("a", "b", "v", F.coalesce("c", "v").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
+        if new.isEmpty() and turn == 0:
+            break
+    classes = connected(links)
+    placed = members.join(classes.withColumnRenamed("v", "of"), F.col("v") == F.col("of"), "left").select("key", "v", F.coalesce("c", "v").alias("c"))
+    # a bucket that lies in one class has nothing to add
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    placed = materialise(placed.join(several, "key", "left_semi"), "placed", True)
+    links = links.unionByName(materialise(_across(placed, vertices, texts, threshold), "links", True))
+    classes = connected(links)
+    degree = links.select(F.col("u").alias("of")).unionAll(links.select(F.col("v").alias("of"))).groupBy("of").agg(F.count("*").alias("n"))
+    joined = degree.join(classes, F.col("of") == F.col("v")).select("of", "c", "n")
+    found = first.join(joined, F.col("v") == F.col("of"), "left").select("a", "b", "v", F.coalesce("c", "v").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
     found = materialise(found, "found", True)
     return sig.select("id", F.when(~wordless, F.col("a")).alias("a"), F.when(~wordless, F.col("b")).alias("b")).join(found, ["a", "b"], "left").select(
         F.col("id").alias(id_col), F.coalesce("c", "id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("v", "id").alias("copy_of"))

@@ -398,6 +398,31 @@ def test_a_group_of_copies_and_one_around_a_base(spark):
     assert {r.copy_of for r in got[61:]} == {61}
 
 
+def changed(text, places, mark):
+    """The text's words with some replaced: each, 5 words from others and the ends, takes five shingles away."""
+    return " ".join(f"{mark}x{i}" if i in places else w for i, w in enumerate(text.split()))
+
+
+def test_a_text_near_one_member_of_a_large_class(spark):
+    """Each of the last texts reaches the threshold with one variant only (0.815), which its large buckets hold among all the others."""
+    base = " ".join(f"b{i}" for i in range(200))
+    rng = random.Random(3)
+    spots = range(5, 195, 6)
+    drawn = [rng.sample(spots, 7) for _ in range(400)]
+    variants = [changed(base, p[:3], f"v{k}") for k, p in enumerate(drawn)]
+    late = [changed(variants[k], drawn[k][3:], f"w{k}") for k in range(40)]
+    got = near_dup.near_duplicates(frame(spark, [base, *variants, *late])).collect()
+    assert len(got) == 441 and {r.class_id for r in got} == {0}
+
+
+def test_tiles_meet_all_pairs(spark, monkeypatch):
+    """Of buckets that are dealt into many parts."""
+    monkeypatch.setattr(near_dup, "TILE", 3)
+    texts = [changed(" ".join(f"b{i}" for i in range(100)), random.Random(k).sample(range(5, 95, 6), k % 4), f"v{k}") for k in range(40)]
+    got = [r.class_id for r in near_dup.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == brute_classes(texts)
+
+
 def test_duplicates_of_odd_tables(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
     got = near_dup.near_duplicates(frame(spark, ["a b c d e f", None, "", "!!", "a b c d e f"], ids=[3, 1, 2, 5, 3])).collect()
