@@ -423,6 +423,18 @@ def test_tiles_meet_all_pairs(spark, monkeypatch):
     assert got == brute_classes(texts)
 
 
+@pytest.mark.parametrize("seed", [11, 21, 32])
+def test_a_link_that_is_the_best_of_neither_text(spark, seed):
+    """The first two texts are linked (0.814), but the signatures of both agree more with the third (0.796), which isn't linked."""
+    base, spots = " ".join(f"s{seed}b{i}" for i in range(444)), list(range(5, 435, 6))
+    texts = [changed(base, [*spots[a:b], spots[20]], mark) for a, b, mark in ((0, 4, "a"), (4, 8, "b"), (8, 13, "c"))]
+    elements, counts, offsets, _ = near_dup._sets(pa.array(texts))
+    sig = near_dup.signatures(elements, counts, offsets)
+    assert (sig[0] == sig[1]).mean() < min((sig[i] == sig[2]).mean() for i in (0, 1))
+    got = near_dup.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.class_id for r in got] == brute_classes(texts) == [0, 0, 2]
+
+
 def test_duplicates_of_odd_tables(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
     got = near_dup.near_duplicates(frame(spark, ["a b c d e f", None, "", "!!", "a b c d e f"], ids=[3, 1, 2, 5, 3])).collect()
