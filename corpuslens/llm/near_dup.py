@@ -29,9 +29,9 @@ AGREE = 0.65
 COMPANY = 8
 #: Once classes are known, all members of a bucket that are of different classes are compared, in tiles of two parts of about
 #: this many members, and in a task so many pairs of signatures at once.
-TILE, PAIRS = 1024, 1 << 18
+TILE, PAIRS = 1024, 1 << 15
 #: A part of a bucket has about this many bytes of texts at most.
-TILE_BYTES = 16 << 20
+TILE_BYTES = 4 << 20
 #: The texts that pairs are confirmed with are picked by a broadcast of their ids up to this many (8 bytes each), else by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
