@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,7 +218,8 @@ def identify(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", t
             sums = np.column_stack([total(c[codes], offsets) for c in by_word.T])
             best = sums.argmax(axis=1)
             posterior = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            some = (np.diff(offsets) > 0) & bool(langs)
+            letters = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False).astype(np.int64)  # a run may be of marks only
+            some = (total(letters[codes], offsets) > 0) & bool(langs)
             yield pa.RecordBatch.from_arrays([
                 batch["id"],
                 pa.array([langs[b] if s else "und" for b, s in zip(best, some, strict=True)], pa.string()),
