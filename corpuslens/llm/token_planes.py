@@ -62,6 +62,10 @@ _BYTE_CHAR = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in en
 _PLAIN = {c: "".join(_BYTE_CHAR[b] for b in chr(c).encode()) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))}
 
 
+#: U+00C0 to U+024F but for the signs ×, ÷ and for İ, whose lower case ends with a mark: each is one letter when composed and lower-cased.
+LETTERS = r"\x{00c0}-\x{00d6}\x{00d8}-\x{00f6}\x{00f8}-\x{012f}\x{0131}-\x{024f}"
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and lower-cases, a distinct word at a time.
 
@@ -83,7 +87,7 @@ class WordEncoder:
         """All ids of the texts, each text's followed by end_id, and the number of each."""
         texts = pc.fill_null(texts, "")
         # a run of ASCII marks between a letter and white space is a pre-token of its own; apart, it makes fewer distinct words
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z0-9\x{00c0}-\x{024f}])([!-&(-/:-@\[-`{-~]+)(\s|$)", replacement=r"\1 \2\3")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=rf"([a-z0-9{LETTERS}])([!-&(-/:-@\[-`{{-~]+)(\s|$)", replacement=r"\1 \2\3")
         # such marks might belong to the name of a special token, which has them within
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, plain))
         coded = pc.dictionary_encode(lists.flatten())

@@ -95,6 +95,19 @@ def test_documents_span_chunks():
         token_planes.BLOCK, token_planes.BLOCKS = old
 
 
+def test_words_are_encoded_as_the_tokenizer_does():
+    """Each character of U+00C0 to U+024F, and some that change when composed or lower-cased, before marks and white space."""
+    from tokenizers import Tokenizer
+
+    rng, tokenizer, encode = random.Random(1), Tokenizer.from_file(TOKENIZER), token_planes.WordEncoder(TOKENIZER)
+    texts = ["İ. x", "3 ×! x", "÷, y", "e\u0301. K! ʼn? ﬁ.", "a\u0338= b", "É!É ©. ª. º! ²?"]
+    texts += [f"{chr(c)}{m} x{chr(c)}{m}\ty" for c in range(0xC0, 0x250) for m in (".", "!=")]
+    texts += ["".join(rng.choices("aZ9éİ×÷ßŉǅ\u0301\u0307 .,!'\n\u00a0\u3000<|>", k=30)) for _ in range(3000)]
+    ids, n = encode(pa.array(texts), 2)
+    for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_empty_table_gives_empty_files(spark, tmp_path):
     token_planes.write_ids(frame(spark, []), str(tmp_path / "x"), TOKENIZER)
     assert token_planes.read_ids(spark, str(tmp_path / "x")).count() == 0
@@ -241,6 +254,11 @@ def test_languages_are_told_apart(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_marks_alone_have_no_language(spark):
+    docs = frame(spark, ["the house", "das haus", "\u2764\ufe0f 123", "\u0301", "\u0301 the"], ["en", "de", None, None, None], ids=[1, 2, 4, 6, 7])
+    assert [r.lang_pred == "und" for r in langid.identify(docs, PIECES).orderBy("doc_id").collect()] == [False, False, True, True, False]
+
+
 def test_no_language_to_learn(spark):
     assert [r.lang_pred for r in langid.identify(frame(spark, ["abc"], [None]), PIECES).collect()] == ["und"]
     assert langid.identify(frame(spark, []), PIECES).count() == 0
