@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hex digits of the digest that the join compares; the full digest confirms.
+#: Hex digits of the digest that the first join compares; the full digest confirms.
 SHORT = 8
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -24,8 +24,25 @@ def _labels(host: Column) -> Column:
     return F.size(F.split(host, r"\."))
 
 
-def _expression(host: Column, path: Column) -> Column:
-    return F.concat_ws(" ", host, path)
+def _slashes(path: Column) -> Column:
+    return F.size(F.split(path, "/")) - 1
+
+
+def _before(text: Column, mark: str, n: Column) -> Column:
+    return F.call_function("substring_index", text, F.lit(mark), n.cast("int"))
+
+
+def _folder(path: Column, depth: Column) -> Column:
+    """The path up to its depth-th slash, with it; empty at depth 0."""
+    return F.when(depth > 0, F.concat(_before(path, "/", depth), F.lit("/"))).otherwise("")
+
+
+def _expression(host: Column, folder: Column) -> Column:
+    return F.concat_ws(" ", host, folder)
+
+
+def _short(digest: Column) -> Column:
+    return F.substring(digest, 1, SHORT)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -36,38 +53,40 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     ones block. No rule fits: rule is null and the verdict is ``default``. A null URL or one without :// has an empty host
     and path. Repeated rows are each judged; rules with a null or empty host are void.
 
-    A URL is expanded only to the depths of host and the lengths of path that some rule has, a table as large as the
-    variety of the rules. Each distinct host and path is judged once. The join is on SHORT digits of the digest; Spark
-    broadcasts the rules while they are below its threshold, and else shuffles and splits what is skewed.
+    A rule's expression is its host and its path up to the last slash. A URL is expanded into each suffix of its host with
+    each such prefix of its path, as deep as the deepest rule. Expressions meet the table of short prefixes first; what has
+    a prefix there and is confirmed by the full digest meets the rules, whose whole paths are compared. Spark broadcasts
+    the prefix table and the rules while they are below its threshold, and else shuffles and splits what is skewed. Each
+    distinct host and path is judged once.
     """
     ready = (
         rules.select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
         .where("rule_host != ''")
-        .withColumn("digest", F.sha2(_expression(F.col("rule_host"), F.col("rule_path")), 256))
-        .withColumn("short", F.substring("digest", 1, SHORT))
+        .withColumn("digest", F.sha2(_expression(F.col("rule_host"), _folder(F.col("rule_path"), _slashes(F.col("rule_path")))), 256))
     )
-    shapes = ready.select(_labels(F.col("rule_host")).alias("k"), F.length("rule_path").alias("l")).distinct().collect()
+    # the digests that share a prefix: as good as always one
+    prefixes = ready.select("digest").distinct().groupBy(_short(F.col("digest")).alias("short")).agg(F.collect_list("digest").alias("digests"))
+    deepest = ready.agg(F.coalesce(F.max(_labels(F.col("rule_host"))), F.lit(0)).alias("k"), F.coalesce(F.max(_slashes(F.col("rule_path"))), F.lit(0)).alias("s")).first()
     urls = pages.select(F.col(id_col).alias("__id"), url_host(F.col(url_col)).alias("__host"), url_path(F.col(url_col)).alias("__path"))
-    if not shapes:
-        return urls.select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    parts = F.split("__host", r"\.")
-    expanded = [
-        F.when((F.size(parts) >= s.k) & (F.length("__path") >= s.l), _expression(F.substring_index("__host", ".", -s.k), F.substring(F.col("__path"), 1, s.l)))
-        for s in sorted(shapes)
-    ]
+    folders = F.transform(F.sequence(F.lit(0), F.least(_slashes(F.col("__path")), F.lit(deepest.s))), lambda d: _folder(F.col("__path"), d))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(_labels(F.col("__host")), F.lit(max(1, deepest.k)))), lambda k: _before(F.col("__host"), ".", -k))
     wanted = (
-        urls.select("__host", "__path").distinct()
-        .select("__host", "__path", F.explode(F.array_compact(F.array(*expanded))).alias("expression"))
-        .select("__host", "__path", F.sha2("expression", 256).alias("of_digest"))
-        .withColumn("of_short", F.substring("of_digest", 1, SHORT))
+        urls.where("__host != ''").select("__host", "__path").distinct()
+        .select("__host", "__path", F.explode(suffixes).alias("suffix"), folders.alias("folders"))
+        .select("__host", "__path", "suffix", F.explode("folders").alias("folder"))
+        .select("__host", "__path", "suffix", F.sha2(_expression(F.col("suffix"), F.col("folder")), 256).alias("of_digest"))
     )
+    confirmed = wanted.join(prefixes, _short(F.col("of_digest")) == F.col("short")).where(F.array_contains("digests", F.col("of_digest")))
     length = F.length("rule_host") + F.length("rule_path")
     rank = F.struct(length.alias("n"), F.length("rule_host").alias("h"), (F.col("verdict") == "block").cast("int").alias("b"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")
     judged = (
-        wanted.join(ready, (F.col("of_short") == F.col("short")) & (F.col("of_digest") == F.col("digest")))
+        confirmed.join(ready, F.col("of_digest") == F.col("digest"))
+        .where((F.col("suffix") == F.col("rule_host")) & F.startswith(F.col("__path"), F.col("rule_path")))
         .groupBy(F.col("__host").alias("__h"), F.col("__path").alias("__p"))
         .agg(F.max(rank).alias("best"))
     )
-    return urls.join(judged, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")), "left").select(
+    # those without a host have nothing to meet: a salt that no host can be deals them out
+    salted = F.when(F.col("__host") == "", F.concat(F.lit("/"), F.pmod(F.xxhash64("__id"), F.lit(9973)))).otherwise(F.col("__host"))
+    return urls.join(judged, (salted == F.col("__h")) & (F.col("__path") == F.col("__p")), "left").select(
         F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"),
         F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

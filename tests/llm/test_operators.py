@@ -342,6 +342,13 @@ def test_urls_are_judged_as_by_comparing_all_rules(spark):
     pages = spark.createDataFrame([(i, u, "h", "clash", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string, n int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
     assert got == {i: judge(u, rules) for i, u in enumerate(urls)}
+    rng = random.Random(2)
+    host, path = lambda: ".".join(rng.choices("ab", k=rng.randrange(1, 5))), lambda: "".join(rng.choices("/ab", k=rng.randrange(0, 7)))
+    many = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(60)]
+    urls2 = [f"x://{host()}/{path()}" for _ in range(400)] + ["x://a.b/" + "a/" * 3000]
+    pages2 = spark.createDataFrame(list(enumerate(urls2)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages2, spark.createDataFrame(many, "host string, path string, verdict string")).collect()}
+    assert got == {i: judge(u, many) for i, u in enumerate(urls2)}
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in url_filter.judge_urls(pages, none).collect()} == {"allow"}
     assert url_filter.judge_urls(pages.limit(0), none).count() == 0
