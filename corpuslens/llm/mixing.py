@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import materialise, mix64, slices
 
@@ -90,10 +89,10 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shards(cuts: np.ndarray, source: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shard whose share of the source's ranks holds each rank."""
-    out = np.zeros(len(rank), np.int64)
-    for s in np.unique(source):
-        out[source == s] = np.searchsorted(cuts[:, s], rank[source == s], "right")
+    """The shard that draws each rank of the source's blocks; len(cuts) where none does."""
+    out, order = np.zeros(len(rank), np.int64), np.argsort(source, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else []:
+        out[own] = np.searchsorted(cuts[:, source[own[0]]], rank[own], "right")
     return out
 
 
@@ -101,19 +100,21 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     """A row for each row of docs: id, size, source_size, target, taken and segments.
 
     Sources, by code point with null last, weigh ``weights`` in turn and share ``share`` of all words; a source gives
-    ``most`` times its size at most. ``segments`` are the parts of the document that the mix takes: output shard, slot
-    within it (ascending slots are the shard's shuffled order), pass over the source, first word and number of words.
-    ``taken`` is the sum of their words. A source's taken words miss its target by less than four
-    of its blocks.
+    ``most`` times its size at most. ``segments`` are the parts of the document that output shards draw: the shard, the slot
+    within it (ascending slots are the shard's shuffled order), pass over the source, first word and number of words. A
+    block is taken because the tree gave some shard the quota that draws it; ``taken`` is the sum of the segments' words. A
+    source's taken words miss its target by less than four of its blocks. Without ``shards`` there is one for each 16
+    million words, 64 at least.
 
     A null text has size 0 and is never taken; a null source is a source; repeated rows are each a part of the stream;
     an empty table gives an empty plan. The same rows and seed give the same plan, however they are partitioned.
-    The driver holds one number for each source and shard.
+    The driver holds one number for each source and shard, and for each source and part of the sorted stream that has any
+    of it (at most one for each source and one for each part).
     """
     return _drawn(docs, [], id_col=id_col, **options).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "segments")
 
 
-def _drawn(docs: DataFrame, carry: list[str], *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, shards: int = 64, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _drawn(docs: DataFrame, carry: list[str], *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, shards: int | None = None, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The plan with the columns to carry, the i-th of them as __c<i>."""
     spark = docs.sparkSession
     kinds = {f"__c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(carry)}
@@ -127,23 +128,28 @@ def _drawn(docs: DataFrame, carry: list[str], *, weights: tuple[float, ...] = (1
         .select("__id", "__source", "__size", F.spark_partition_id().alias("__part"), *kinds)
     )
     sized = materialise(sized.mapInArrow(_running, "__id long, __source string, __size long, __part int, __local long" + more), "mix-sizes")
-    parts = sized.groupBy("__source", "__part").agg(F.sum("__size").alias("n"))
-    before = parts.select(F.col("__source").alias("of"), F.col("__part").alias("of_part"), (F.sum("n").over(Window.partitionBy("__source").orderBy("__part")) - F.col("n")).alias("before"))
-    sources = sorted((r["__source"], r["n"]) for r in parts.groupBy("__source").agg(F.sum("n").alias("n")).collect())
-    sizes = [n for _, n in sources]
+    sources: dict[str, int] = {}
+    before: dict[tuple[str, int], int] = {}
+    for r in sorted(sized.groupBy("__source", "__part").agg(F.sum("__size").alias("n")).collect()):
+        before[r["__source"], r["__part"]] = sources.get(r["__source"], 0)
+        sources[r["__source"]] = sources.get(r["__source"], 0) + r["n"]
+    sizes = list(sources.values())
+    shards = shards or max(64, sum(sizes) >> 24)
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], share * sum(sizes), most)
     least = max(1, -(-int(most * sum(sizes)) // MOST_BLOCKS))
     block = np.array([max(least, min(BLOCK_WORDS, n // FEWEST), 1) for n in sizes], np.int64)
     blocks = np.array([-(-n // b) for n, b in zip(sizes, block, strict=True)], np.int64)
     quota = np.array([min(int(most * b), round(g * b / n)) if n else 0 for n, b, g in zip(sizes, blocks, goal, strict=True)], np.int64)
     cuts = np.cumsum(split_quotas(quota, shards, seed), axis=0) if len(sources) else np.zeros((shards, 0), np.int64)
-    given = spark.sparkContext.broadcast(({s: i for i, (s, _) in enumerate(sources)}, np.array(sizes, np.int64), np.array(goal), block, blocks, quota, cuts))
+    given = spark.sparkContext.broadcast(({s: i for i, s in enumerate(sources)}, before, np.array(sizes, np.int64), np.array(goal), block, blocks, cuts))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, size_of, goal_of, block_of, blocks_of, quota_of, cut_of = given.value
+        place, before, size_of, goal_of, block_of, blocks_of, cut_of = given.value
         for batch in batches:
-            own = np.fromiter((place[s] for s in batch["__source"].to_pylist()), np.int64, batch.num_rows)
-            start, size = batch["__start"].to_numpy(), batch["__size"].to_numpy()
+            names_of = batch["__source"].to_pylist()
+            own = np.fromiter((place[s] for s in names_of), np.int64, batch.num_rows)
+            start = batch["__local"].to_numpy() + np.fromiter((before[x] for x in zip(names_of, batch["__part"].to_pylist(), strict=True)), np.int64, batch.num_rows)
+            size = batch["__size"].to_numpy()
             b = block_of[own]
             first = start // b
             many = np.where(size > 0, (start + size - 1) // b - first + 1, 0)
@@ -155,10 +161,10 @@ def _drawn(docs: DataFrame, carry: list[str], *, weights: tuple[float, ...] = (1
             for p in range(int(np.ceil(most))):
                 key = mix64((np.uint64(seed) << np.uint64(40)) + (src.astype(np.uint64) << np.uint64(8)) + np.uint64(p))
                 rank = permuted(at, blocks_of[src], key) + p * blocks_of[src] if len(at) else at
-                some = np.flatnonzero(rank < quota_of[src])
-                shard = _shards(cut_of, src[some], rank[some])
+                shard = _shards(cut_of, src, rank)
+                some = np.flatnonzero(shard < len(cut_of))
                 slot = (mix64(key[some] ^ mix64(at[some])) >> np.uint64(1)).astype(np.int64)
-                found.append(np.column_stack([row[some], np.full(len(some), p), at[some], shard, slot, lo[some] - start[row[some]], (hi - lo)[some]]))
+                found.append(np.column_stack([row[some], np.full(len(some), p), at[some], shard[some], slot, lo[some] - start[row[some]], (hi - lo)[some]]))
             found = np.concatenate(found)
             found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
             ends = np.searchsorted(found[:, 0], np.arange(batch.num_rows + 1))
@@ -166,9 +172,8 @@ def _drawn(docs: DataFrame, carry: list[str], *, weights: tuple[float, ...] = (1
             parts = pa.StructArray.from_arrays([pa.array(found[:, 3].astype(np.int32)), pa.array(found[:, 4]), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 5]), pa.array(found[:, 6].astype(np.int32))], names=["shard", "slot", "pass", "first_word", "n_words"])
             yield pa.RecordBatch.from_arrays([batch["__id"], batch["__size"], pa.array(size_of[own]), pa.array(goal_of[own]), pa.array(taken[ends[1:]] - taken[ends[:-1]]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts), *[batch[f"__c{i}"] for i in range(len(carry))]], names=names)
 
-    started = sized.join(before, (F.col("__source") == F.col("of")) & (F.col("__part") == F.col("of_part"))).select("__id", "__source", "__size", (F.col("__local") + F.col("before")).alias("__start"), *kinds)
     names = ["id", "size", "source_size", "target", "taken", "segments", *kinds]
-    return started.mapInArrow(draw, "id long, size long, source_size long, target double, taken long, segments " + SEGMENT + more)
+    return sized.mapInArrow(draw, "id long, size long, source_size long, target double, taken long, segments " + SEGMENT + more)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -176,7 +181,8 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Where a pass takes all of a document, its text stays as it is; else the row has the taken stretches of it, each
     verbatim, in order, with a line end between those that don't touch. Other columns are kept as they are, but a column
-    ``n_chars`` is that of the new text. Documents without words are not taken.
+    ``n_chars`` is that of the new text. Documents without words are not taken. A row belongs to the shard that draws its
+    first block; the rows of a shard lie together, shuffled by that block's slot.
     """
     names = docs.columns
     plan = _drawn(docs, names, id_col=id_col, text_col=text_col, source_col=source_col, **options)
@@ -185,10 +191,12 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(iter([whole]), text, 8 << 20):
-                rows, texts = [], []
+                rows, texts, dealt = [], [], []
                 for i, (old, size, parts) in enumerate(zip(batch[text].to_pylist(), batch["size"].to_pylist(), batch["segments"].to_pylist(), strict=True)):
                     passes: dict[int, list[list[int]]] = {}
                     for s in parts:
+                        if s["pass"] not in passes:
+                            dealt.append((s["shard"], s["slot"]))
                         runs = passes.setdefault(s["pass"], [])
                         if runs and runs[-1][1] == s["first_word"]:
                             runs[-1][1] += s["n_words"]
@@ -206,15 +214,19 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 columns = {c: made[f"__c{i}"] for i, c in enumerate(names)} | {text_col: pa.array(texts, pa.string())}
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array(list(map(len, texts)), pa.int64()).cast(columns["n_chars"].type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+                shard, slot = (pa.array([d[k] for d in dealt], kind) for k, kind in ((0, pa.int32()), (1, pa.int64())))
+                yield pa.RecordBatch.from_arrays([shard, slot, *columns.values()], names=["shard", "slot", *inner])
 
-    return plan.select("size", "segments", *[f"__c{i}" for i in range(len(names))]).mapInArrow(cut, docs.schema)
+    inner = [f"__c{i}" for i in range(len(names))]
+    kinds = "".join(f", {c} {docs.schema[name].dataType.simpleString()}" for c, name in zip(inner, names, strict=True))
+    mixed = plan.select("size", "segments", *inner).mapInArrow(cut, "shard int, slot long" + kinds)
+    return mixed.repartition("shard").sortWithinPartitions("shard", "slot").select(*[F.col(c).alias(name) for c, name in zip(inner, names, strict=True)])
 
 
-def write_mix(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 64, **options) -> None:
+def write_mix(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
     """Writes the mix below path, a folder for each output shard, with its blocks' words in the shard's shuffled order."""
-    plan = _drawn(docs, [text_col], id_col=id_col, text_col=text_col, shards=shards, **options)
+    plan = _drawn(docs, [text_col], id_col=id_col, text_col=text_col, **options)
     words = F.regexp_extract_all(F.col("__c0"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
     rows = plan.where("taken > 0").select(F.col("id").alias(id_col), words.alias("words"), F.explode("segments").alias("s")).select(
         "s.shard", "s.slot", "s.pass", id_col, F.concat_ws(" ", F.slice("words", (F.col("s.first_word") + 1).cast("int"), F.col("s.n_words"))).alias("text"))
-    rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot", id_col).write.partitionBy("shard").parquet(path)
+    rows.repartition("shard").sortWithinPartitions("shard", "slot", id_col).write.partitionBy("shard").parquet(path)

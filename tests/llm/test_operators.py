@@ -304,6 +304,26 @@ def test_mix_meets_its_targets(spark):
     assert all(abs(taken[s] - target[s]) < 4 * max(1, size[s] // mixing.FEWEST) for s in size)
 
 
+def test_the_tree_decides_what_the_shards_draw(spark, monkeypatch):
+    docs = frame(spark, [words(n, n) for n in range(200, 260)] + [words(30_000, 1)], sources=["a", "b", None] * 20 + ["b"])
+    drawn = lambda **o: {(r.doc_id, s.first_word, s["pass"]): (s.shard, s.n_words) for r in mixing.plan_mix(docs, **o).collect() for s in r.segments}
+    few, many = drawn(shards=3), drawn(shards=16)
+    assert few.keys() == many.keys() and few != many  # the quotas are exact, their shares are the tree's
+    split, quota = mixing.split_quotas, {}
+
+    def halved(q, shards, seed):
+        monkeypatch.setattr(mixing, "split_quotas", split)
+        return quota.setdefault("cut", split(q, shards, seed) // 2)
+
+    monkeypatch.setattr(mixing, "split_quotas", halved)
+    half = drawn(shards=16)
+    assert half.keys() < many.keys()
+    blocks = Counter(s for s, _ in half.values())
+    assert all(blocks[s] >= quota["cut"][s].sum() for s in range(16))  # a block may lie in several documents
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, shards, seed: np.zeros((shards, len(q)), np.int64))
+    assert drawn(shards=16) == {}
+
+
 def test_mixed_documents_are_the_plan_s_words(spark):
     docs = frame(spark, [words(n, n) for n in range(50, 90)] + [None, ""], sources=["a", "b"] * 21)
     plan = {r.doc_id: r.taken for r in mixing.plan_mix(docs).collect()}
