@@ -7,10 +7,12 @@ word, so that an overlap is found with substituted words in it. Every overlap ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,21 +156,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     Words are lower-cased runs of letters, marks and digits. The overlap is without gaps, has LEAST_WORDS words (or all of
     the item's, if it has fewer) and SIMILARITY of them are equal. Null or empty texts overlap nothing; repeated rows are
-    each reported; repeated items are reported by item. Every window of every text is looked up.
+    each reported; repeated items are reported by item; items without an id are void. Every window of every text is looked up.
 
     The benchmark's hashes go to the tasks while it has at most ``part_words`` words; a larger one is dealt into parts by
     a hash of the item, and the texts are read once for each part, whose overlaps are written to the shared folder.
     """
-    spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    words = items.agg(F.sum(F.size(F.split("text", NO_WORD)))).first()[0] or 0
-    parts = max(1, -(-words // part_words))
-
-    def part(i: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).sort("id", "text").collect()
-        given = spark.sparkContext.broadcast(([r["id"] for r in own], [r["text"] for r in own]))
 
+    def part(given: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(*given.value)
             for batch in slices(batches, "text", 8 << 20):
@@ -179,7 +174,42 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
         return chosen.mapInArrow(run, OVERLAP)
 
-    found = part(0) if parts == 1 else materialise(part(0), "overlaps")
-    for i in range(1, parts):
-        found = found.unionByName(materialise(part(i), "overlaps"))
+    first, *rest = _parts(benchmark, item_col, item_text_col, part_words)
+    found = materialise(part(first()), "overlaps") if rest else part(first())
+    for given in rest:
+        found = found.unionByName(materialise(part(given()), "overlaps"))
     return found
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_words: int = PART_WORDS) -> DataFrame:
+    """The rows of docs that overlap no benchmark item (see find_overlaps), with the columns of docs. Each row is judged by its own text, whatever its id."""
+    names, text = docs.columns, f"__c{docs.columns.index(text_col)}"
+    inner = [f"__c{i}" for i in range(len(names))]
+    kinds = ", ".join(f"{c} {docs.schema[name].dataType.simpleString()}" for c, name in zip(inner, names, strict=True))
+    kept = docs.select(*[F.col(name).alias(c) for c, name in zip(inner, names, strict=True)])
+    for i, given in enumerate(_parts(benchmark, item_col, item_text_col, part_words)):
+        given = given()
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(*given.value)
+            for batch in slices(batches, text, 8 << 20):
+                codes, distinct, offsets = text_words(batch[text].cast(pa.string()))
+                keep = np.ones(batch.num_rows, bool)
+                keep[[t for t, *_ in bench.overlaps(word_hashes(distinct)[codes], offsets)]] = False
+                yield batch.filter(pa.array(keep))
+
+        kept = (materialise(kept, "clean") if i else kept).mapInArrow(run, kinds)
+    return kept.select(*[F.col(c).alias(name) for c, name in zip(inner, names, strict=True)])
+
+
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_words: int) -> list[Callable[[], Broadcast]]:
+    """The items as ids and texts in parts of about so many words, each broadcast when it is called for; one part at least."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    words = items.agg(F.sum(F.size(F.split("text", NO_WORD)))).first()[0] or 0
+    parts = max(1, -(-words // part_words))
+
+    def part(i: int) -> Broadcast:
+        own = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).sort("id", "text").collect()
+        return benchmark.sparkSession.sparkContext.broadcast(([r["id"] for r in own], [r["text"] for r in own]))
+
+    return [partial(part, i) for i in range(parts)]

@@ -32,7 +32,7 @@ COMPANY = 8
 TILE, PAIRS = 1024, 1 << 15
 #: A part of a bucket has about this many bytes of texts at most.
 TILE_BYTES = 4 << 20
-#: The texts that pairs are confirmed with are picked by a broadcast of their ids up to this many (8 bytes each), else by a shuffle.
+#: The texts that pairs are confirmed with are picked by a broadcast of their ids up to this many (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,11 +123,11 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return *shingles(h, offsets), digest
 
 
-SIGNED = "id long, a long, b long, signature binary, bands array<long>"
+SIGNED = "id long, h long, a long, b long, signature binary, bands array<long>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Of (id, text): the digest of the words, a byte a coordinate, and the hashes of the bands. Texts without words have no bands."""
+    """Of (id, h, text): id and h, the digest of the words, a byte a coordinate, and the hashes of the bands. Texts without words have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -141,10 +141,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 bands = mix64(bands + np.arange(K // BAND, dtype=np.uint64) * _GOLD).view(np.int64)
             ends = np.r_[0, np.cumsum(np.where(some, K // BAND, 0))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch["id"], pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)),
+                batch["id"], batch["h"], pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)),
                 pa.array([x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel())),
-            ], names=["id", "a", "b", "signature", "bands"])
+            ], names=["id", "h", "a", "b", "signature", "bands"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -308,26 +308,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     at least ``threshold``; a class is what links connect, named by its least id. Texts with the same words are copies:
     ``copy_of`` is the least id among them, and only that one is compared with others. ``n_links`` counts the confirmed
     links by which the class was joined together, at its representatives. Null texts and texts without words are alone.
-    Rows with the same id are one document. Empty tables give an empty result.
+    Rows with the same id are one document, of whose texts one is compared; rows without an id are in the class of a
+    document with the same words, if there is one, else their class is null. Empty tables give an empty result.
 
     Two documents are candidates if they share a bucket and their signatures agree enough. In the first turn the members of
     a bucket meet a hub and small random companies, in the second the member with most links so far; each document has its
     most promising candidate confirmed. Then the signatures of all members of a bucket that are still of different classes
     are compared, and the texts of every pair that agrees, so that no candidates of different classes stay untried.
     """
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = materialise(signed(chosen), "signed")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    sig = materialise(signed(chosen.select("id", "h", "text")), "signed")
     wordless = F.size("bands") == 0
     first = materialise(sig.where(~wordless & F.col("id").isNotNull()).groupBy("a", "b").agg(F.min("id").alias("v")), "texts", True)
-    vertices = sig.join(first.select("v"), F.col("id") == F.col("v")).select("v", "signature", "bands").dropDuplicates(["v"])
+    # of rows that share an id, the one with the greatest hash stands for the document
+    vertices = sig.where(~wordless).join(first.select("v").distinct(), F.col("id") == F.col("v")).groupBy("v").agg(F.max(F.struct("h", "signature", "bands")).alias("x")).select("v", "x.h", "x.signature", "x.bands")
     vertices = materialise(vertices, "vertices")
     every = vertices.select("v", F.explode("bands").alias("key"))
     members = materialise(every.join(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi").select("key", "v"), "members", True)
-    known = materialise(vertices.join(members.select("v").distinct(), "v", "left_semi").select("v", "signature"), "signatures", True)
-    wanted = known.select(F.col("v").alias("id"))
+    known = materialise(vertices.join(members.select("v").distinct(), "v", "left_semi").select("v", "h", "signature"), "signatures", True)
+    wanted = known.select(F.col("v").alias("id"), "h")
     wanted = F.broadcast(wanted) if known.count() <= BROADCAST_IDS else wanted
-    # of rows that share an id, the greatest text stands for the document
-    texts = materialise(chosen.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "wanted")
+    texts = materialise(chosen.join(wanted, ["id", "h"], "left_semi").groupBy("id").agg(F.max("text").alias("text")), "wanted")
     links = checked = None
     for turn in range(2):
         left, by = members, _hash("v", F.lit(turn))
@@ -355,3 +356,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = materialise(found, "found", True)
     return sig.select("id", F.when(~wordless, F.col("a")).alias("a"), F.when(~wordless, F.col("b")).alias("b")).join(found, ["a", "b"], "left").select(
         F.col("id").alias(id_col), F.coalesce("c", "id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("v", "id").alias("copy_of"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row of docs for each class of near duplicates, with the columns of docs.
+
+    Each row is a document, whatever its id: rows are told apart by a 64-bit hash of id and text, so two that share an id
+    are near duplicates only if their texts are. Rows with null texts or texts without words are kept, one of those that
+    have the same id and text.
+    """
+    name = "__row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    keyed = docs.withColumn(name, F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col)))
+    classes = near_duplicates(keyed.select(F.col(name), F.col(text_col).alias("text")), id_col=name, threshold=threshold)
+    first = classes.where(F.col(name) == F.col("class_id")).select(name).distinct()
+    return keyed.join(first, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -84,15 +84,16 @@ def _matrix(rows: pa.ListArray) -> np.ndarray:
     return rows.flatten().to_numpy().reshape(-1, len(STATISTICS))
 
 
-def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the statistics (array<double>) of each row of docs."""
+def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id and the statistics (array<double>) of each row of docs, and the columns to carry, the i-th of them as __c<i>."""
+    kinds = {f"__c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(carry)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(list(document_statistics(batch["text"])), pa.list_(pa.float64()))], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(list(document_statistics(batch["text"])), pa.list_(pa.float64())), *[batch[c] for c in kinds]], names=["id", "x", *kinds])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, x array<double>")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(k) for c, k in zip(carry, kinds, strict=True)])
+    return chosen.mapInArrow(run, "id long, x array<double>" + "".join(f", {c} {t}" for c, t in kinds.items()))
 
 
 def isotonic(at: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +148,15 @@ def fit(train: DataFrame, *, ridge: float = 1e-3, size: int = 192, bins: int = 2
     return QualityModel(features, weights, *isotonic(found["b"].to_numpy() / bins * 3 - 1, found["n"].to_numpy(), found["p"].to_numpy()))
 
 
+def _learnt(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> QualityModel | None:
+    known = labels.select(F.col(id_col).cast("long").alias("of"), F.col(label_col).cast("double").alias("y")).where(F.col("of").isNotNull() & F.col("y").isNotNull() & ~held_out("of"))
+    return fit(materialise(stats.join(known.groupBy("of").agg(F.avg("y").alias("y")), F.col("id") == F.col("of")).select("x", "y"), "quality-train"))
+
+
+def _scores(model: QualityModel | None, batch: pa.RecordBatch) -> np.ndarray:
+    return np.clip(model(_matrix(batch["x"])), 0, 1) if model else np.full(batch.num_rows, 0.5)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """id, held_out, score and predicted of each row of docs.
 
@@ -155,14 +165,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     Without a label to learn from, every score is 0.5. Repeated rows are each scored.
     """
     stats = materialise(statistics_table(docs, id_col, text_col), "quality-statistics")
-    known = labels.select(F.col(id_col).cast("long").alias("of"), F.col(label_col).cast("double").alias("y")).where(F.col("of").isNotNull() & F.col("y").isNotNull() & ~held_out("of"))
-    train = materialise(stats.join(known.groupBy("of").agg(F.avg("y").alias("y")), F.col("id") == F.col("of")).select("x", "y"), "quality-train")
-    model = fit(train)
+    model = _learnt(stats, labels, id_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch["x"])
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.clip(model(x), 0, 1) if model else np.full(len(x), 0.5))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(_scores(model, batch))], names=["id", "score"])
 
     scored = stats.mapInArrow(run, "id long, score double")
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score_quality predicts 1 for, with the columns of docs. Each row is judged by its own text, whatever its id."""
+    names = docs.columns
+    stats = materialise(statistics_table(docs, id_col, text_col, tuple(names)), "quality-statistics")
+    model = _learnt(stats, labels, id_col, label_col)
+    inner = [f"__c{i}" for i in range(len(names))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch) >= threshold)).select(inner)
+
+    kept = stats.mapInArrow(run, ", ".join(f"{c} {docs.schema[name].dataType.simpleString()}" for c, name in zip(inner, names, strict=True)))
+    return kept.select(*[F.col(c).alias(name) for c, name in zip(inner, names, strict=True)])
