@@ -9,34 +9,33 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, mixing, near_dup, quality, token_planes
 from corpuslens.llm.shared import materialise, shared_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    good = scored.where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("__id"), "left_semi")
+    """The rows whose text scores as good; a null text is judged as an empty one, a null or shared id changes nothing."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_first_of_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_dup.near_duplicates(docs)
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class of near duplicates; rows without words are kept, null and shared ids are rows like others."""
+    return near_dup.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+    """The rows whose text overlaps no benchmark item; null and empty texts overlap nothing."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass that takes words of a document; rows without words are not taken, a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests read back from the files, in order of id; null ids come first, a null text has the end id only."""
     path = shared_path(spark, "pipeline-ids")
     token_planes.write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return token_planes.digests(spark, path)
