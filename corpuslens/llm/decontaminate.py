@@ -25,7 +25,7 @@ LEAST_WORDS, SIMILARITY = 13, 0.8
 #: four runs of three: those have the second mask.
 MASKS = ("1111", "1110111")
 #: So many hits of a mask are compared at once.
-HITS = 1 << 18
+HITS = 1 << 16
 #: A benchmark of more words than this is taken in parts, each of which is broadcast: 20 bytes a word.
 PART_WORDS = 4_000_000
 
