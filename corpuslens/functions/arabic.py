@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Letters and marks that the keys are defined by.
 ALIFS, HAMZAS = "ٱآأإ", "ءئؤ"
@@ -19,20 +19,20 @@ PLACES = ("ءهعحغخ", "قك", "جشي", "ضلنر", "طدت", "صزس", "ظ
 NAME_VARIANTS = {"ميكاييل": "ميكال", "ميكايل": "ميكال", "جبراييل": "جبريل", "جبرييل": "جبريل", "غابرييل": "جبريل", "داوود": "داود"}
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(words: pd.Series) -> pd.Series:
-    return words.str.normalize("NFKC")
+def _presentation_forms() -> tuple[str, str]:
+    """The Arabic presentation forms of one letter, and the letters."""
+    forms = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for a, b in ((0xFB50, 0xFDFF), (0xFE70, 0xFEFD)) for c in range(a, b)]
+    return tuple("".join(x) for x in zip(*((f, n) for f, n in forms if len(n) == 1 and n != f), strict=True))
 
 
-def compatible(word: Column) -> Column:
-    """Compatibility composition; Spark has no function for it, so only strings with presentation forms take the detour."""
-    return F.when(word.rlike("[ﭐ-﷿ﹰ-ﻼ＀-￯]"), _nfkc(word)).otherwise(word)
+FORMS = _presentation_forms()
 
 
-def norm(word: Column, fold: bool = True, presentation_forms: bool = False) -> Column:
-    """Letters only: marks and tatweel go, alifs become one; with ``fold`` also final taa and maqsura and the hamza seats."""
-    s = F.coalesce(compatible(word) if presentation_forms else word, F.lit(""))
-    s = F.translate(F.regexp_replace(F.translate(s, *LOOKALIKES), MARKS + "|" + TATWEEL, ""), ALIFS, "ا" * len(ALIFS))
+def norm(word: Column, fold: bool = True) -> Column:
+    """Letters only: presentation forms are letters (of the joined ones lam-alif and the name of God), marks and tatweel go, alifs become one; with ``fold`` also final taa and maqsura and the hamza seats."""
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(word, F.lit("")), "[ﻵ-ﻼ]", "لا"), "ﷲ", "الله")
+    s = F.translate(s, FORMS[0] + LOOKALIKES[0], FORMS[1] + LOOKALIKES[1])
+    s = F.translate(F.regexp_replace(s, MARKS + "|" + TATWEEL, ""), LOOKALIKES[0] + ALIFS, LOOKALIKES[1] + "ا" * len(ALIFS))
     if fold:
         s = F.translate(s, "ةىؤئ", "هيوي")
     return F.regexp_replace(s, "[^ء-ي]", "")
@@ -95,13 +95,12 @@ def pron_key(word: Column) -> Column:
 
 
 def de_affix(key: Column) -> Column:
-    """Stems of a key: up to three leading proclitics peeled one after another, and the article; of two letters at least."""
-    out, s, going = [], key, F.lit(True)
+    """Stems of a key: one to three leading proclitics peeled, and the article; of two letters at least."""
     article = lambda x: F.when(x.startswith("ال") & (F.length(x) >= 4), F.substring(x, F.lit(3), F.length(x)))
-    for _ in range(3):
-        going = going & (F.length(s) > 2) & s.rlike(f"^[{PROCLITICS}]")
-        s = F.when(going, F.substring(s, F.lit(2), F.length(s))).otherwise(s)
-        out += [F.when(going, s), F.when(going, article(s))]
+    out = []
+    for n in (1, 2, 3):
+        goes, stem = (F.length(key) > n + 1) & key.rlike(f"^[{PROCLITICS}]{{{n}}}"), F.substring(key, F.lit(n + 1), F.length(key))
+        out += [F.when(goes, stem), F.when(goes, article(stem))]
     return F.array_distinct(F.array_compact(F.array(*out, article(key))))
 
 
@@ -186,20 +185,27 @@ def spaced_root(text: Column) -> Column:
 # --- Latin script --------------------------------------------------------------------------------------------------------
 
 # Arabic letters and the Latin consonant that stands for each in a skeleton.
-ROMAN = ("بتثجحخدذرزسشصضطظعغفقكلمنهة", "bttjhkddrzsssdtz gfkklmnhh")
+ROMAN = ("بتثجحخدذرزسشصضطظغفقكلمنهة", "bttjhkddrzsssdtzgfkklmnhh")
+# What people type for one consonant or a long vowel, in this order.
+DIGRAPHS = (("th", "t"), ("dh", "d"), ("kh", "k"), ("sh", "s"), ("gh", "g"), ("ph", "f"), ("ck", "k"), ("ch", "s"), ("ee", "y"), ("oo", "w"), ("ou", "w"), ("ai", "y"), ("au", "w"))
+
+
+def _once(s: Column) -> Column:
+    return F.regexp_replace(s, r"(.)\1+", "$1")
 
 
 def arabic_skeleton(key: Column) -> Column:
-    """A Latin consonant skeleton of an Arabic key; weak letters and hamza have none, repeats are one."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.regexp_replace(key, "[^بتثجحخدذرزسشصضطظعغفقكلمنهة]", ""), *ROMAN), " ", ""), r"(.)\1+", "$1")
+    """A Latin consonant skeleton of an Arabic key: the first letter may be waw or yaa, else weak letters and hamza have none; repeats are one."""
+    initial = F.translate(F.regexp_extract(key, "^[وي]", 0), "وي", "wy")
+    return _once(F.concat(initial, F.translate(F.regexp_replace(key, f"[^{ROMAN[0]}]", ""), *ROMAN)))
 
 
 def latin_skeleton(query: Column) -> Column:
-    """The same skeleton of a romanised word."""
-    s = F.regexp_replace(F.lower(query), "[^a-z]", "")
-    for pattern, to in (("th", "t"), ("dh", "d"), ("kh", "k"), ("gh", "g"), ("sh", "s"), ("q", "k"), ("[aeiouwyv]", "")):
-        s = F.regexp_replace(s, pattern, to)
-    return F.regexp_replace(s, r"(.)\1+", "$1")
+    """The same skeleton of a romanised word: digraphs are one letter, short vowels go, c, q and x are k, p is b, v is f."""
+    s = F.regexp_replace(F.lower(query), "['`’ʾʿ-]", "")
+    for pattern, to in DIGRAPHS:
+        s = F.replace(s, F.lit(pattern), F.lit(to))
+    return _once(F.translate(F.regexp_replace(s, "[^a-z]|[aeiou]", ""), "cqxpv", "kkkbf"))
 
 
 def is_latin(query: Column) -> Column:

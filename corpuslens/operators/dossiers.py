@@ -69,3 +69,10 @@ def root_dossier(tokens: DataFrame, groups: DataFrame, root: str, neighbours: Da
         .unionByName(row(related, "relation", F.col("other"), F.col("frames")))
         .unionByName(row(postings(own, "root").agg(F.count("*").alias("n")), "passages", F.lit(root), F.col("n")))
     )
+
+
+def passage_shapes(tokens: DataFrame, term: str, mode: str = "exact") -> DataFrame:
+    """The passages that have a term: pid, grp, ord, text, the positions that match, and each word's form, key, root, lemma and analysis."""
+    word = F.struct("pos", F.col("orig").alias("form"), F.col("key").alias("normalized"), "root", "lemma", F.col("m").alias("morphology") if "m" in tokens.columns else F.lit(None).cast("string").alias("morphology"))
+    rows = tokens.groupBy("pid", "grp", "ord").agg(F.array_sort(F.collect_list(word), lambda a, b: a["pos"] - b["pos"]).alias("words"), F.array_sort(F.collect_list(F.when(mode_key(mode) == term, F.col("pos")))).alias("matches"))
+    return rows.where(F.size("matches") > 0).select("pid", "grp", "ord", F.array_join(F.transform("words", lambda w: w["form"]), " ").alias("text"), "matches", "words")

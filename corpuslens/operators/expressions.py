@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.functions.association import association
 
-from .morphology import definite
+from .morphology import GOVERNORS, definite
 
-#: The prepositions that frames are mined for.
-GOVERNORS = ("من", "الى", "عن", "على", "في", "ب", "ل", "مع", "ك")
-NOUNS = ("noun", "pn", "adj", "actpcpl", "passpcpl")
+# Parts of speech that a preposition may be governed by, and those of nouns in chains and collocations.
+HEADS = ("verb", "noun", "actpcpl", "passpcpl")
+NOUNS = ("noun", "pn", "actpcpl", "passpcpl")
 
 
 def _w():
     return Window.partitionBy("pid").orderBy("pos")
 
 
+def governing(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS) -> DataFrame:
+    """Tokens with prep and det from their segments; where these aren't known, a preposition is a word of its own and an article is a written one."""
+    prep = F.col("prep") if "prep" in tokens.columns else F.when(F.col("norm").isin(*governors), F.col("norm"))
+    det = F.coalesce(F.col("det"), F.lit(False)) if "det" in tokens.columns else F.col("norm").startswith("ال")
+    return tokens.withColumn("prep", prep).withColumn("det", det)
+
+
+def _content(parts: tuple[str, ...], m: Column | str = "m") -> Column:
+    m = F.col(m) if isinstance(m, str) else m
+    return F.coalesce(m["pos"].isin(*parts) & m["root"].isNotNull(), F.lit(False))
+
+
 def frame_occurrences(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS) -> DataFrame:
-    """pid, head, its part of speech, preposition and both places: the head is the nearest verb or noun up to two words before."""
-    head = F.when(F.col("m.pos").isin("verb", *NOUNS) & F.col("m.lemma").isNotNull(), F.struct("m.lemma", "m.pos", "m.root", F.col("pos").alias("at")))
-    rows = tokens.select("pid", "grp", "ord", "pos", F.col("norm").alias("prep"), F.last(head, ignorenulls=True).over(_w().rowsBetween(-2, -1)).alias("h"))
-    return rows.where(F.col("prep").isin(*governors) & F.col("h").isNotNull()).select("pid", "grp", "ord", F.col("h.lemma").alias("head"), F.col("h.pos").alias("head_pos"), F.col("h.root").alias("root"), "prep", F.col("h.at").alias("head_idx"), F.col("pos").alias("prep_idx"))
+    """pid, head, its part of speech, preposition and both places: the head is the nearest verb or common noun with a root up to two words before.
+
+    The preposition is that of a word's segments, so one written as one with its word is found at that word.
+    """
+    head = F.when(_content(HEADS), F.struct("m.lemma", "m.pos", "m.root", F.col("pos").alias("at")))
+    rows = governing(tokens, governors).select("pid", "grp", "ord", "pos", "prep", F.last(head, ignorenulls=True).over(_w().rowsBetween(-2, -1)).alias("h"))
+    return rows.where(F.col("prep").isNotNull() & F.col("h").isNotNull()).select("pid", "grp", "ord", F.col("h.lemma").alias("head"), F.col("h.pos").alias("head_pos"), F.col("h.root").alias("root"), "prep", F.col("h.at").alias("head_idx"), F.col("pos").alias("prep_idx"))
 
 
 def frames(occurrences: DataFrame, least: int = 2) -> DataFrame:
@@ -31,7 +46,7 @@ def frames(occurrences: DataFrame, least: int = 2) -> DataFrame:
 
 
 def head_totals(tokens: DataFrame) -> DataFrame:
-    return tokens.where(F.col("m.pos").isin("verb", *NOUNS) & F.col("m.lemma").isNotNull()).groupBy(F.col("m.lemma").alias("head"), F.col("m.pos").alias("head_pos")).agg(F.count("*").alias("total"))
+    return tokens.where(_content(HEADS)).groupBy(F.col("m.lemma").alias("head"), F.col("m.pos").alias("head_pos")).agg(F.count("*").alias("total"))
 
 
 def frame_contrast(frames_: DataFrame, totals: DataFrame) -> DataFrame:
@@ -42,11 +57,11 @@ def frame_contrast(frames_: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def verb_nouns(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS, least: int = 3, top: int = 700) -> DataFrame:
-    """Verbs with the first content word within three after them, if it is a noun and not governed: counts and association over such slots."""
-    ahead = F.collect_list(F.struct("m", "norm")).over(_w().rowsBetween(1, 3))
-    content = lambda x: x["norm"].isin(*governors) | x["m"]["pos"].isin("verb", *NOUNS)
-    slots = tokens.select("pid", "m", ahead.alias("ahead")).where("m.pos = 'verb' and m.lemma is not null").select("pid", F.col("m.lemma").alias("verb"), F.col("m.root").alias("verb_root"), F.try_element_at(F.filter("ahead", content), F.lit(1)).alias("n"))
-    pairs = slots.where(F.col("n.m.pos").isin(*NOUNS) & ~F.col("n.norm").isin(*governors) & F.col("n.m.lemma").isNotNull()).select("verb", "verb_root", F.col("n.m.lemma").alias("noun"), F.col("n.m.root").alias("noun_root"))
+    """Verbs with the noun among the three words after them that nothing but pronouns and particles parts from them and no preposition governs: counts and association over such slots."""
+    ahead = F.collect_list(F.struct("m", "prep")).over(_w().rowsBetween(1, 3))
+    stops = lambda x: x["prep"].isNotNull() | ~F.coalesce(x["m"]["pos"].isin("pron", "particle"), F.lit(False))
+    slots = governing(tokens, governors).select("pid", "m", ahead.alias("ahead")).where(_content(("verb",))).select("pid", F.col("m.lemma").alias("verb"), F.col("m.root").alias("verb_root"), F.try_element_at(F.filter("ahead", stops), F.lit(1)).alias("n"))
+    pairs = slots.where(F.col("n.prep").isNull() & _content(NOUNS, F.col("n.m"))).select("verb", "verb_root", F.col("n.m.lemma").alias("noun"), F.col("n.m.root").alias("noun_root"))
     total = pairs.agg(F.count("*").alias("n"))
     a, b = (pairs.groupBy(c).agg(F.count("*").alias(n)) for c, n in (("verb", "a"), ("noun", "b")))
     joint = pairs.groupBy("verb", "verb_root", "noun", "noun_root").agg(F.count("*").alias("count")).where(F.col("count") >= least)
@@ -55,14 +70,14 @@ def verb_nouns(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS, least:
 
 
 def genitive_chains(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS, least: int = 2, top: int = 800) -> DataFrame:
-    """Chains of a noun without article and the genitive nouns that follow it, each as long as it goes: lemmas, words, count."""
-    noun = F.col("m.pos").isin(*NOUNS) & F.col("m.lemma").isNotNull()
-    governed = F.coalesce(F.lag("norm").over(_w()), F.lit("")).isin(*governors)
-    goes_on = noun & (F.col("m.gcase") == "gen") & ~governed & F.coalesce(F.lag(noun).over(_w()), F.lit(False))
-    rows = tokens.select("pid", "pos", F.col("m.lemma").alias("lemma"), F.col("orig"), noun.alias("noun"), F.coalesce(goes_on, F.lit(False)).alias("on"), (~F.col("norm").startswith("ال")).alias("open"))
-    chains = rows.withColumn("chain", F.sum((~F.col("on")).cast("int")).over(_w())).where("noun").groupBy("pid", "chain").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "orig", "open"))).alias("ws"))
+    """Chains of a noun without article or preposition and the genitive nouns without preposition that follow it, each as long as it goes: lemmas, words, count, occurrences."""
+    noun = _content(NOUNS)
+    after_noun = F.coalesce(F.lag(noun).over(_w()), F.lit(False)) & F.coalesce(F.col("m.gcase") == "gen", F.lit(False))
+    free = F.col("prep").isNull()
+    rows = governing(tokens, governors).select("pid", "pos", F.col("m.lemma").alias("lemma"), noun.alias("noun"), (noun & after_noun & free).alias("on"), (free & ~F.col("det") & ~after_noun).alias("open"))
+    chains = rows.withColumn("chain", F.sum((~F.col("on")).cast("int")).over(_w())).where("noun").groupBy("pid", "chain").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "open"))).alias("ws"))
     good = chains.where((F.size("ws") >= 2) & F.col("ws")[0]["open"]).select(F.array_join(F.transform("ws", lambda x: x["lemma"]), " ").alias("lemmas"), F.size("ws").alias("n_words"), F.struct("pid", F.col("ws")[0]["pos"].alias("start")).alias("at"))
-    return good.groupBy("lemmas", "n_words").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("at")).alias("occurrences")).where(F.col("count") >= least).orderBy(F.desc("count"), "lemmas").limit(top)
+    return good.groupBy("lemmas", "n_words").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("at")).alias("occurrences")).where(F.col("count") >= least).orderBy(F.desc("count"), F.desc("n_words"), "lemmas").limit(top)
 
 
 def valency(occurrences: DataFrame, root: str) -> DataFrame:
@@ -73,7 +88,7 @@ def valency(occurrences: DataFrame, root: str) -> DataFrame:
 def construction(tokens: DataFrame, occurrences: DataFrame, head: str, *, prep: str | None = None, present: bool = True, span: int = 3, object_definite: bool | None = None, context: int = 3) -> DataFrame:
     """Occurrences of a head lemma: its particle (mined frame, else a standalone one within the span), its object and their context.
 
-    The object is the particle's word, else the next nominal of the span. ``prep`` asks for a particle, or with ``present``
+    The object is the particle's own word where they are written as one, else the first nominal after it, else the next nominal of the span. ``prep`` asks for a particle, or with ``present``
     false for its absence; ``object_definite`` for the object's definiteness.
     """
     ahead = F.collect_list(F.struct("pos", "orig", "norm", "m")).over(_w().rowsBetween(1, span))
@@ -83,7 +98,7 @@ def construction(tokens: DataFrame, occurrences: DataFrame, head: str, *, prep:
     rows = rows.join(framed, ["pid", "pos"], "left")
     standalone = F.try_element_at(F.filter("ahead", lambda x: x["norm"].isin(*GOVERNORS)), F.lit(1))
     rows = rows.withColumn("particle", F.coalesce("frame_prep", standalone["norm"])).withColumn("particle_at", F.coalesce("prep_idx", standalone["pos"]))
-    nominal = lambda x: x["m"]["pos"].isin(*NOUNS, "pron") & (F.col("particle_at").isNull() | (x["pos"] > F.col("particle_at")))
+    nominal = lambda x: x["m"]["pos"].isin(*NOUNS, "adj", "pron") & (F.col("particle_at").isNull() | (x["pos"] >= F.col("particle_at")))
     rows = rows.withColumn("object", F.try_element_at(F.filter("ahead", nominal), F.lit(1))).withColumn("definite", definite(F.col("object.orig"), F.col("object.m")))
     if prep is not None:
         has = F.coalesce(F.col("particle") == prep, F.lit(False))

@@ -15,14 +15,21 @@ PREPOSITIONS = ("من", "الى", "عن", "على", "في", "حتى", "منذ",
 CONDITIONALS = ("اذا", "لو", "لولا", "لوما", "كلما", "لئن", "اذما", "اينما", "حيثما", "مهما", "متى", "انى")
 OATHS = ("تالله", "لعمرك")
 NEGATIONS, ADVERSATIVES = ("لا", "ما", "لم", "لن", "ليس", "ليست", "غير"), ("بل", "لكن", "ولكن")
+#: The prepositions that govern a word, by norm; ب, ل and ك are written as one with it.
+GOVERNORS = ("ب", "ل", "ك", "من", "في", "علي", "الي", "عن", "حتي")
 NOMINAL = ("noun", "pn", "adj", "actpcpl", "passpcpl", "pron")
 
 
 def words_from_segments(segments: DataFrame) -> DataFrame:
-    """pid, word, form and the analysis of its stem: the first segment with a root, else the first that is no affix, else the first."""
-    rows = segments.select("pid", "word", "seg", "form", arabic.parse_tags(F.col("features"), F.col("pos_class")).alias("m"))
+    """pid, word, form and the analysis m of its stem: the first segment with a root, else the first that is no affix, else the first.
+
+    ``prep`` is the norm of the lemma of its first segment that is a governing preposition, ``det`` whether it has an article.
+    """
+    tagged = lambda t: F.array_contains(F.split(F.coalesce("features", F.lit("")), r"\|"), t)
+    rows = segments.select("pid", "word", "seg", "form", arabic.parse_tags(F.col("features"), F.col("pos_class")).alias("m"), tagged("P").alias("p"), tagged("DET").alias("det"))
+    rows = rows.withColumn("prep", F.when(F.col("p") & arabic.norm(F.col("m.lemma")).isin(*GOVERNORS), arabic.norm(F.col("m.lemma"))))
     rank = F.when(F.col("m.root").isNotNull(), 0).when(~F.col("m.pref") & ~F.col("m.suff"), 1).otherwise(2)
-    return rows.groupBy("pid", "word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", F.coalesce("form", F.lit("")).alias("form")))), lambda x: x["form"]), "").alias("form"), F.min_by("m", F.struct(rank, "seg")).alias("m"))
+    return rows.groupBy("pid", "word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", F.coalesce("form", F.lit("")).alias("form")))), lambda x: x["form"]), "").alias("form"), F.min_by("m", F.struct(rank, "seg")).alias("m"), F.min_by("prep", F.when(F.col("prep").isNotNull(), F.col("seg"))).alias("prep"), F.max("det").alias("det"))
 
 
 def roles(tokens: DataFrame) -> DataFrame:
@@ -106,38 +113,43 @@ def rhetoric(tokens: DataFrame) -> DataFrame:
 
 
 def antithesis_frames(tokens: DataFrame, negations: tuple[str, ...] = NEGATIONS, adversatives: tuple[str, ...] = ADVERSATIVES, most: int = 4) -> DataFrame:
-    """Pairs of roots that a negation and an adversative set against each other: a, b, frames.
+    """Pairs of roots that a negation and an adversative set against each other: a, b, frames (units) and passages (where units begin).
 
     A unit is a passage, or a passage and the next of its group. Its first adversative, with a negation before it, parts it;
-    each side has up to ``most`` roots. Roots at the same place on either side are paired, and the last before with the
-    first after.
+    units with no root or more than ``most`` on a side are left out. Roots at the same place on either side are paired, and
+    the last before with the first after; a pair counts once in a unit.
     """
     per = tokens.groupBy("grp", "pid", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "root"))).alias("ws"))
-    w = Window.partitionBy("grp").orderBy("ord")
-    next_ = F.when(F.lead("ord").over(w) == F.col("ord") + 1, F.lead("ws").over(w))
-    units = per.withColumn("more", next_).select("grp", "pid", F.explode(F.array_compact(F.array(F.col("ws"), F.concat("ws", "more")))).alias("u"))
+    more = F.lead("ws").over(Window.partitionBy("grp").orderBy("ord"))
+    units = per.withColumn("more", more).select("pid", F.explode(F.array_compact(F.array("ws", F.concat("ws", "more")))).alias("u"))
     is_in = lambda x, words: x["key"].isin(*words)
-    cut = F.aggregate("u", F.struct(F.lit(0).alias("i"), F.lit(0).alias("at")), lambda s, x: F.struct((s["i"] + 1).alias("i"), F.when((s["at"] == 0) & is_in(x, adversatives), s["i"] + 1).otherwise(s["at"]).alias("at")))["at"]
-    parted = units.withColumn("cut", cut).where("cut > 1").select("grp", "pid", F.slice("u", F.lit(1), F.col("cut") - 1).alias("l"), F.slice("u", F.col("cut") + 1, F.size("u")).alias("r")).where(F.exists("l", lambda x: is_in(x, negations)))
-    start = F.aggregate("l", F.struct(F.lit(0).alias("i"), F.lit(0).alias("at")), lambda s, x: F.struct((s["i"] + 1).alias("i"), F.when((s["at"] == 0) & is_in(x, negations), s["i"] + 1).otherwise(s["at"]).alias("at")))["at"]
-    roots = lambda c: F.slice(F.transform(F.filter(c, lambda x: x["root"].isNotNull() & ~is_in(x, negations + adversatives)), lambda x: x["root"]), 1, most)
-    sides = parted.select("grp", "pid", roots(F.slice("l", start + 1, F.size("l"))).alias("l"), roots(F.col("r")).alias("r")).where((F.size("l") > 0) & (F.size("r") > 0))
-    zipped = F.filter(F.zip_with("l", "r", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-    pairs = F.array_distinct(F.concat(zipped, F.array(F.struct(F.element_at("l", -1).alias("a"), F.element_at("r", 1).alias("b")))))
-    rows = sides.select("grp", "pid", F.explode(pairs).alias("p")).where("p.a != p.b")
-    return rows.groupBy(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).agg(F.countDistinct("pid").alias("frames"))
+    cut = F.array_position(F.transform("u", lambda x: is_in(x, adversatives)), True)
+    roots = lambda c: F.transform(F.filter(c, lambda x: x["root"].isNotNull()), lambda x: x["root"])
+    parted = units.withColumn("cut", cut.cast("int")).where("cut > 1").select("pid", F.slice("u", F.lit(1), F.greatest(F.lit(0), F.col("cut") - 1)).alias("l"), roots(F.slice("u", F.greatest(F.lit(1), F.col("cut") + 1), F.size("u"))).alias("r"))
+    sides = parted.where(F.exists("l", lambda x: is_in(x, negations))).select("pid", roots("l").alias("l"), "r").where(F.size("l").between(1, most) & F.size("r").between(1, most))
+    both = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    at = F.transform(F.sequence(F.lit(1), F.least(F.size("l"), F.size("r"))), lambda i: both(F.get("l", i - 1), F.get("r", i - 1)))
+    pairs = F.array_distinct(F.concat(at, F.array(both(F.element_at("l", -1), F.element_at("r", 1)))))
+    return sides.select("pid", F.inline(pairs)).where("a != b").groupBy("a", "b").agg(F.count("*").alias("frames"), F.countDistinct("pid").alias("passages"))
 
 
 def pair_evidence(tokens: DataFrame, a: str, b: str, near: int = 3) -> DataFrame:
-    """Passages that show a pair of roots: level 1 both in one (up to 12), 2 one within ``near`` passages of the other (8 of each), 3 any (4 of each)."""
+    """Passages that show a pair of roots, and the level of all of them.
+
+    Level 1 are those with both (the first 12); where there is none, level 2 those with one within ``near`` passages of the
+    other in its group (the first 8 of each root, 12 in all); where there is none either, level 3 the first 4 of each root.
+    If the tokens lack one of the roots there is no evidence.
+    """
     rows = tokens.where(F.col("root").isin(a, b)).select("root", "pid", "grp", "ord").distinct()
-    other = rows.select(F.col("root").alias("r2"), "grp", F.col("ord").alias("o2"))
-    met = rows.join(other, "grp").where((F.col("root") != F.col("r2")) & (F.abs(F.col("ord") - F.col("o2")) <= near))
-    levels = met.select("root", "pid", "grp", "ord", F.when(F.col("ord") == F.col("o2"), 1).otherwise(2).alias("level")).unionByName(rows.withColumn("level", F.lit(3)))
-    best = levels.groupBy("root", "pid", "grp", "ord").agg(F.min("level").alias("level"))
-    n = F.row_number().over(Window.partitionBy("level", F.when(F.col("level") == 1, "").otherwise(F.col("root"))).orderBy("grp", "ord", "root"))
-    limit = F.when(F.col("level") == 1, 24).when(F.col("level") == 2, 8).otherwise(4)
-    return best.withColumn("n", n).where(F.col("n") <= limit).groupBy("pid", "grp", "ord").agg(F.min("level").alias("level"))
+    w = Window.partitionBy("grp").orderBy("ord").rangeBetween(-near, near)
+    with_other = F.max(F.when(F.col("root") == a, 1).otherwise(0)).over(w) + F.max(F.when(F.col("root") == b, 1).otherwise(0)).over(w) == 2
+    both = F.count("*").over(Window.partitionBy("pid")) == 2
+    levels = rows.withColumn("level", F.when(both, 1).when(with_other, 2).otherwise(3))
+    found = levels.agg(F.min("level").alias("best"), F.countDistinct("root").alias("roots"))
+    chosen = levels.join(F.broadcast(found)).where((F.col("roots") == 2) & (F.col("level") <= F.col("best")))
+    n = F.row_number().over(Window.partitionBy("root").orderBy("grp", "ord"))
+    limit = F.when(F.col("best") == 1, 12).when(F.col("best") == 2, 8).otherwise(4)
+    return chosen.withColumn("n", n).where(F.col("n") <= limit).select("pid", "grp", "ord", F.col("best").alias("level")).distinct().orderBy("grp", "ord").limit(12)
 
 
 def relations(curated: DataFrame, frames: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +33,36 @@ def resolve(alias: DataFrame, query: str, frequency: DataFrame, *, stems: bool =
     return ranked.orderBy(F.desc("tier"), "dist", F.desc("df"), "key").limit(limit)
 
 
+def resolve_term(alias: DataFrame, query: str, frequency: DataFrame, *, variants: list[str] | None = None, alternatives: int = 8) -> DataFrame:
+    """key, source, tier, dist, df and rank of what a typed term resolves to: rank 1 is the key to look up, then the alternatives.
+
+    ``alias`` has (alias, tier, key) as from tokens.aliases; ``frequency`` (key, df) of the mode. First the key that the
+    query's own norm or alias names (direct), then the forgiving candidates in the order of resolve: by the strong aliases,
+    and by the fuzzy ones where those give none. Only a query in Latin letters that gives neither goes by its consonants.
+    """
+    asked = variants or [query]
+    typed = alias.sparkSession.range(1).select(F.explode(F.array_distinct(F.flatten(F.array(*[F.concat(F.array(F.lit(v)), arabic.strong_keys(F.lit(v))) for v in asked])))).alias("typed"))
+    strong = alias.where("tier = 'strong'").select("alias", "key")
+    forms = [F.lit(v) for v in asked] + [arabic.norm(F.lit(v)) for v in asked]
+    own = frequency.where(F.col("key").isin(*forms)).select("key", F.lit(0).alias("order"), "df")
+    named = strong.join(F.broadcast(typed), F.col("alias") == F.col("typed")).select("key").distinct().join(frequency, "key").select("key", F.lit(1).alias("order"), "df")
+    direct = own.unionByName(named).orderBy("order", F.desc("df"), "key").limit(1).select("key", F.lit("direct").alias("source"), F.lit(4).alias("tier"), F.lit(0).alias("dist"), "df", F.lit(0).alias("step"))
+    normed = [n for n in (re.sub("[^ء-ي]", "", unicodedata.normalize("NFKC", v).translate(str.maketrans("ٱآأإةىؤئ", "اااا" + "هيوي"))) for v in asked) if n]
+    found = lambda step, name, df: df.select("key", F.lit(name).alias("source"), "tier", F.col("dist").cast("int").alias("dist"), "df", F.lit(step).alias("step"))
+    steps = direct
+    if normed:
+        steps = steps.unionByName(found(1, "alias", resolve(strong, normed[0], frequency, variants=normed)))
+        steps = steps.unionByName(found(2, "fuzzy", resolve(alias.where("tier = 'fuzzy'").select("alias", "key"), normed[0], frequency, variants=normed)))
+    if re.search("[A-Za-z]", query) and not re.search("[\u0600-\u06ff]", query):
+        steps = steps.unionByName(found(3, "romanised", romanised(frequency, query, frequency)))
+    least = steps.agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("first"), F.min("step").alias("any"))
+    kept = steps.join(F.broadcast(least)).where((F.col("step") == 0) | (F.col("step") == F.col("first")) & ((F.col("step") < 3) | (F.col("any") == 3)))
+    one = kept.groupBy("key").agg(F.min(F.struct("step", (-F.col("tier")).alias("t"), "dist", (-F.col("df")).alias("d"), "source", "tier", "df")).alias("x"))
+    # a handful of rows: the limits of resolve and romanised
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("x.step", "x.t", "x.dist", "x.d", "key"))
+    return one.select("key", "x.source", "x.tier", "x.dist", "x.df", rank.alias("rank")).where(F.col("rank") <= alternatives + 1)
+
+
 def romanised(alias: DataFrame, query: str, frequency: DataFrame, particles: tuple[str, ...] = (), limit: int = 8) -> DataFrame:
     """Keys whose consonant skeleton a romanised query has: tier 3 equal, 2 begins with it (three letters longer at most), 1 within an edit distance."""
     q = arabic.latin_skeleton(F.lit(query))

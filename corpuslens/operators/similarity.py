@@ -67,17 +67,18 @@ def shared_roots(tokens: DataFrame, one: str, two: str) -> DataFrame:
     return r.where(F.col("pid") == one).select("key").intersect(r.where(F.col("pid") == two).select("key"))
 
 
-def ppmi(tokens: DataFrame, least: int = 3, most_share: float = 0.25) -> DataFrame:
+def ppmi(tokens: DataFrame, least: int = 3, most_share: float = 0.25, only: list[str] | None = None) -> DataFrame:
     """(key, other, w, k, df, other_df): positive PMI of keys that share passages, both with a df in the band.
 
-    The band bounds what a passage contributes: the square of its distinct roots of middle frequency.
+    ``only`` leaves out the vectors of all other keys before anything is joined; contexts and frequencies stay whole. The band bounds what a passage contributes: the square of its distinct roots of middle frequency.
     """
     rows = roots_of(tokens).select("key", "pid")
     n = tokens.select("pid").distinct().agg(F.count("*").alias("n"))
     df = rows.groupBy("key").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most_share * F.col("n")))
     kept = rows.join(df.select("key"), "key", "left_semi")
     used = kept.select("pid").distinct().agg(F.count("*").alias("n"))
-    joint = kept.join(kept.select(F.col("key").alias("other"), "pid"), "pid").where("key != other").groupBy("key", "other").agg(F.count("*").alias("k"))
+    wanted = kept if only is None else kept.where(F.col("key").isin(only))
+    joint = wanted.join(kept.select(F.col("key").alias("other"), "pid"), "pid").where("key != other").groupBy("key", "other").agg(F.count("*").alias("k"))
     d = df.select("key", "df")
     scored = joint.join(d, "key").join(d.select(F.col("key").alias("other"), F.col("df").alias("other_df")), "other").join(F.broadcast(used))
     return scored.withColumn("w", F.log2(F.col("k") * F.col("n") / (F.col("df") * F.col("other_df")))).where("w > 0").select("key", "other", "w", "k", "df", "other_df")
@@ -115,16 +116,22 @@ def shared_phrases(tokens: DataFrame, pid: str, least: int = 3, seed: int = 2) -
     """phrase, n_words and the number of other passages that share it with a passage: runs of ``least`` words at least.
 
     Seeds that both have are joined; on a diagonal (the difference of positions) those that follow one another make a
-    maximal run. A phrase within a wider one goes unless more passages share it.
+    maximal run. From each place where a run begins, the phrases as long as some passage's match from there are counted by
+    the passages that match as far; any other phrase is within a longer one that as many share. A phrase within a longer
+    one goes unless more passages share it.
     """
     grams = ngrams(tokens, seed)
     centre = grams.where(F.col("pid") == pid).select("gram", F.col("pos").alias("at"))
     met = grams.where(F.col("pid") != pid).join(centre, "gram").select(F.col("pid").alias("other"), (F.col("pos") - F.col("at")).alias("diagonal"), "at")
     w = Window.partitionBy("other", "diagonal").orderBy("at")
-    runs = met.withColumn("island", F.col("at") - F.row_number().over(w)).groupBy("other", "diagonal", "island").agg(F.min("at").alias("start"), (F.count("*") + seed - 1).alias("n_words")).where(F.col("n_words") >= least)
+    runs = met.withColumn("island", F.col("at") - F.row_number().over(w)).groupBy("other", "diagonal", "island").agg(F.min("at").alias("first"), (F.max("at") + seed).alias("end"))
+    starts = runs.select(F.col("first").alias("start")).distinct()
+    # the places of one passage: bounded by its words
+    matched = runs.join(F.broadcast(starts), F.col("start").between(F.col("first"), F.col("end") - least)).groupBy("start", "other").agg(F.max(F.col("end") - F.col("start")).alias("n_words"))
+    by_length = matched.groupBy("start", "n_words").agg(F.count("*").alias("n"))
+    longest = by_length.select("start", "n_words", F.sum("n").over(Window.partitionBy("start").orderBy(F.desc("n_words"))).alias("others"))
     words = tokens.where(F.col("pid") == pid).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
-    longest = runs.groupBy("other", "start").agg(F.max("n_words").alias("n_words")).join(F.broadcast(words))
-    phrases = longest.select("other", F.array_join(F.slice("ws", (F.col("start") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("phrase"), "n_words").groupBy("phrase").agg(F.max("n_words").cast("int").alias("n_words"), F.countDistinct("other").alias("others"))
+    phrases = longest.join(F.broadcast(words)).select(F.array_join(F.slice("ws", (F.col("start") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("phrase"), "n_words", "others").groupBy("phrase").agg(F.max("n_words").cast("int").alias("n_words"), F.max("others").alias("others"))
     wider = phrases.select(F.col("phrase").alias("wide"), F.col("n_words").alias("wide_words"), F.col("others").alias("wide_others"))
     inside = F.concat(F.lit(" "), F.col("wide"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     # the phrases of one passage: bounded by its words
@@ -150,6 +157,32 @@ def word_diff(a: Column, b: Column) -> Column:
     return F.struct(same.alias("same"), (F.size(a) + F.size(b) - 2 * same).alias("changed"), (2 * same / F.greatest(F.size(a) + F.size(b), F.lit(1))).alias("ratio"))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("word", T.StringType())])))
+def diff_operations(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The steps from one array of words to the other along a longest common subsequence: same, del and ins, deletions first."""
+
+    def steps(x, y) -> list[tuple[str, str]]:
+        length = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                length[i][j] = length[i + 1][j + 1] + 1 if x[i] == y[j] else max(length[i + 1][j], length[i][j + 1])
+        i = j = 0
+        out = []
+        while i < len(x) or j < len(y):
+            if i < len(x) and j < len(y) and x[i] == y[j]:
+                out.append(("same", x[i]))
+                i, j = i + 1, j + 1
+            elif i < len(x) and (j == len(y) or length[i + 1][j] >= length[i][j + 1]):
+                out.append(("del", x[i]))
+                i += 1
+            else:
+                out.append(("ins", y[j]))
+                j += 1
+        return out
+
+    return pd.Series([[{"op": o, "word": w} for o, w in steps(x, y)] for x, y in zip(a, b, strict=True)])
+
+
 def _edits(most: int) -> Callable[[Column, Column], Column]:
     """Words to leave out and put in to get from one array to the other, or null beyond ``most``: work grows with their length times most."""
 
@@ -172,14 +205,14 @@ def _edits(most: int) -> Callable[[Column, Column], Column]:
     return edits
 
 
-def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_same: int = 3, bucket: int = 400) -> DataFrame:
+def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_same: int = 3, bucket: int | None = 400) -> DataFrame:
     """Pairs of passages that share a seed and differ by few words: a, b, same, changed.
 
-    Seeds that more than ``bucket`` passages have make no candidates (part of the operator's definition). Lengths that
-    differ by more than the changes allowed are left out before the words are aligned.
+    Seeds that more than ``bucket`` passages have make no candidates (part of the operator's definition; None is without
+    that limit). Lengths that differ by more than the changes allowed are left out before the words are aligned.
     """
     grams = ngrams(tokens, seed).select("gram", "pid").distinct()
-    good = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("gram")
+    good = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= 2 if bucket is None else F.col("n").between(2, bucket)).select("gram")
     words = tokens.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
     size = words.select("pid", F.size("ws").alias("n"))
     rows = grams.join(good, "gram", "left_semi").join(size, "pid")

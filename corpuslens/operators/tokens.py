@@ -13,6 +13,10 @@ NO_WORD = "[^a-zäöüßéèêàâçñáíóúîôûëï]+"
 #: Very frequent words of the English tables: the default stop set of the queries.
 STOP = ("the", "of", "and", "to", "is", "in", "that", "it", "for", "with", "as", "was", "on", "be", "at", "by", "this", "are", "an", "or")
 
+# The Arabic stop words, by norm: particles, and frequent content words that may be let through.
+ARABIC_PARTICLES = tuple("في من على الى عن ان لا ما هو لم قد بل ثم او كل هم هن هي نحن الذي الذين التي ذلك هذا هذه تلك الا اذا اذ حتى لن لو مع بين عند فيه فيها منه منها عليه عليها اليه اليها به بها له لها لهم لكم لنا بكم منكم عليكم فيهم منهم عليهم وما فما بما مما عما كما لما فلا ولا يا ايها انه انها انا لك ذا اولئك هولاء كيف اين متى هل انما ذلكم".split())
+ARABIC_CONTENT = tuple("الله رب ربك ربكم ربه ربهم قل قال قالوا كان كانوا كانت".split())
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda w: F.length(w) >= 2)

@@ -12,6 +12,7 @@ from corpuslens.functions.typed import fnv1a
 from corpuslens.operators import association as assoc
 from corpuslens.operators import counts, dossiers, graph, morphology, search, similarity
 from corpuslens.operators import tokens as tk
+from corpuslens.plans import annotated
 from corpuslens.sources import sinks
 from corpuslens.sources.tables import chat, dense, documents, table
 from corpuslens.streaming.rate import rate_windows
@@ -330,8 +331,9 @@ def sm05(spark, folder):
 
 @query("sm06_relatedness", f"{_PPMI}, g as (select * from (values ('wth', 'frm'), ('fr', 'wth'), ('zzz', 'th')) v(a, b)), gd as (select g.a, g.b, sum(x.w * y.w) as dot from g join pv x on x.key = g.a join pv y on y.key = g.b and y.other = x.other group by 1, 2) select g.a, g.b, round(coalesce(gd.dot / (m.norm * n2.norm), 0), 5) as score from g left join gd using (a, b) left join nm m on m.key = g.a left join nm n2 on n2.key = g.b")
 def sm06(spark, folder):
-    pairs = spark.createDataFrame([("wth", "frm"), ("fr", "wth"), ("zzz", "th")], "a string, b string")
-    return _rounded(similarity.relatedness(similarity.ppmi(_tokens(spark, folder)), pairs), "score")
+    pairs = [("wth", "frm"), ("fr", "wth"), ("zzz", "th")]
+    vectors = similarity.ppmi(_tokens(spark, folder), only=sorted({k for p in pairs for k in p}))
+    return _rounded(similarity.relatedness(vectors, spark.createDataFrame(pairs, "a string, b string")), "score")
 
 
 @query("ag24_compare_keys", f"{_KEYNESS}, r2 as (select * from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn where grp in (1, 2)) where rank <= 24) select key, case when count(distinct grp) = 2 then 'both' when min(grp) = 1 then 'one' else 'two' end as side from r2 group by 1")
@@ -339,13 +341,14 @@ def ag24(spark, folder):
     return assoc.compare_keys(assoc.keyness(_tokens(spark, folder), stops=tk.STOP), 1, 2)
 
 
-@query("sm07_shared_phrases")
+@query("sm07_shared_phrases", f"""{_TOK}, c as (select pid as centre, ws from p where pid in ('3:3', '40:1')), o as (select pid, ' ' || array_to_string(ws, ' ') || ' ' as line from p),
+ph as (select distinct centre, array_to_string(ws[i : i + l - 1], ' ') as phrase, l as n_words from c, unnest(range(1, len(ws) - 1)) x(i), unnest(range(3, len(ws) + 1)) y(l) where i + l - 1 <= len(ws)),
+s as (select centre, phrase, n_words::int as n_words, count(*) as others from ph join o on o.pid <> centre and contains(o.line, ' ' || phrase || ' ') group by 1, 2, 3)
+select * from s where not exists (select 1 from s x where x.centre = s.centre and x.n_words > s.n_words and x.others >= s.others and contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' '))""")
 def sm07(spark, folder):
-    """Of the first passage, by id, that shares a run of three words with another."""
     t = _tokens(spark, folder)
-    grams = similarity.ngrams(t, 3).groupBy("gram").agg(F.min("pid").alias("pid"), F.max("pid").alias("hi")).where("pid < hi")
-    first = grams.agg(F.min("pid")).first()[0]
-    return similarity.shared_phrases(t, first or "")
+    one, two = (similarity.shared_phrases(t, pid).select(F.lit(pid).alias("centre"), "phrase", "n_words", "others") for pid in ("3:3", "40:1"))
+    return one.unionByName(two)
 
 
 @query("sm08_near_twins")
@@ -390,7 +393,7 @@ def sm14(spark, folder):
     return similarity.ending_runs(similarity.endings(_tokens(spark, folder)), _region)
 
 
-@query("sm18_kin")
+@query("sm18_kin", f"{_TOK}, r as (select distinct root as key from t where root is not null and root <> 'tns' and length(root) between 2 and 4), o as (select key, (least(1, length(key) - length(replace(key, 't', ''))) + least(1, length(key) - length(replace(key, 'n', ''))) + least(1, length(key) - length(replace(key, 's', ''))))::int as shared, list_sort(string_split(key, '')) = ['n', 's', 't'] as anagram from r) select * from o where anagram or shared >= 2")
 def sm18(spark, folder):
     return similarity.kin(_tokens(spark, folder).where("root is not null").select(F.col("root").alias("key")).distinct(), "tns")
 
@@ -401,7 +404,15 @@ def sm19(spark, folder):
     return similarity.seams(t, assoc.top_keys(assoc.keyness(t, stops=tk.STOP)))
 
 
-@query("sm21_antithesis")
+@query("sm21_antithesis", f"""{_TOK}, per as (select grp, pid, ord, list(key order by pos) as ks, list(root order by pos) as rs from t group by 1, 2, 3),
+m as (select *, lead(ks) over w as ks2, lead(rs) over w as rs2 from per window w as (partition by grp order by ord)),
+u as (select pid, 1 as j, ks, rs from m union all select pid, 2, list_concat(ks, ks2), list_concat(rs, rs2) from m where ks2 is not null),
+c as (select *, list_position(list_transform(ks, lambda k: k in ('and', 'but')), true) as cut from u),
+s as (select pid, j, list_filter(rs[1 : cut - 1], lambda r: r is not null) as l, list_filter(rs[cut + 1 : len(rs)], lambda r: r is not null) as r from c where cut > 1 and len(list_filter(ks[1 : cut - 1], lambda k: k in ('of', 'with'))) > 0),
+g as (select * from s where len(l) between 1 and 4 and len(r) between 1 and 4),
+x as (select pid, j, l[i] as a, r[i] as b from g, unnest(range(1, 5)) y(i) where i <= least(len(l), len(r)) union all select pid, j, l[len(l)], r[1] from g),
+d as (select distinct pid, j, least(a, b) as a, greatest(a, b) as b from x where a <> b)
+select a, b, count(*) as frames, count(distinct pid) as passages from d group by 1, 2""")
 def sm21(spark, folder):
     return morphology.antithesis_frames(_tokens(spark, folder), ("of", "with"), ("and", "but"))
 
@@ -467,7 +478,9 @@ def gr02(spark, folder):
     return graph.descendants(links, region.agg(F.min("r_name")).first()[0])
 
 
-@query("sx02_rate_windows")
+@query("sx02_rate_windows", """with recursive w(user_id, window_start) as (select user_id, min(ts) from events group by 1 union all select user_id, n from (select w.user_id, (select min(e.ts) from events e where e.user_id = w.user_id and e.ts >= w.window_start + interval 1 day) as n from w) where n is not null),
+p as (select e.user_id, e.event_id, e.ts, max(w.window_start) as window_start from events e join w on w.user_id = e.user_id and w.window_start <= e.ts group by 1, 2, 3)
+select *, row_number() over (partition by user_id, window_start order by ts, event_id) as nth, row_number() over (partition by user_id, window_start order by ts, event_id) <= 3 as allowed from p""")
 def sx02(spark, folder):
     return rate_windows(table(spark, folder, "events").select("user_id", "event_id", "ts"), 86_400, 3)
 
@@ -480,3 +493,7 @@ def docs_frequency(spark, folder):
 @query("docs_dense_order", "select doc_id::varchar as pid, source as grp, row_number() over (partition by source order by doc_id) - 1 as ord from documents")
 def docs_dense(spark, folder):
     return dense(documents(spark, folder)).select("pid", "grp", "ord")
+
+
+QUERIES |= annotated.QUERIES
+ORACLE |= annotated.ORACLE
