@@ -409,12 +409,12 @@ m as (select *, lead(ks) over w as ks2, lead(rs) over w as rs2 from per window w
 u as (select pid, 1 as j, ks, rs from m union all select pid, 2, list_concat(ks, ks2), list_concat(rs, rs2) from m where ks2 is not null),
 c as (select *, list_position(list_transform(ks, lambda k: k in ('and', 'but')), true) as cut from u),
 s as (select pid, j, list_filter(rs[1 : cut - 1], lambda r: r is not null) as l, list_filter(rs[cut + 1 : len(rs)], lambda r: r is not null) as r from c where cut > 1 and len(list_filter(ks[1 : cut - 1], lambda k: k in ('of', 'with'))) > 0),
-g as (select * from s where len(l) between 1 and 4 and len(r) between 1 and 4),
-x as (select pid, j, l[i] as a, r[i] as b from g, unnest(range(1, 5)) y(i) where i <= least(len(l), len(r)) union all select pid, j, l[len(l)], r[1] from g),
+g as (select * from s where len(l) between 1 and 40 and len(r) between 1 and 40),
+x as (select pid, j, l[i] as a, r[i] as b from g, unnest(range(1, 41)) y(i) where i <= least(len(l), len(r)) union all select pid, j, l[len(l)], r[1] from g),
 d as (select distinct pid, j, least(a, b) as a, greatest(a, b) as b from x where a <> b)
 select a, b, count(*) as frames, count(distinct pid) as passages from d group by 1, 2""")
 def sm21(spark, folder):
-    return morphology.antithesis_frames(_tokens(spark, folder), ("of", "with"), ("and", "but"))
+    return morphology.antithesis_frames(_tokens(spark, folder), ("of", "with"), ("and", "but"), most=40)
 
 
 # --- search ---------------------------------------------------------------------------------------------------------------

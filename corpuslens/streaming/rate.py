@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
 RESULT = "user_id long, event_id long, ts timestamp, window_start timestamp, nth long, allowed boolean"
 
@@ -26,16 +28,30 @@ def _windows(events: pd.DataFrame, start: pd.Timestamp | None, count: int, secon
 def rate_windows(events: DataFrame, seconds: int = 3600, budget: int = 600) -> DataFrame:
     """Each event (user_id, event_id, ts) with its window and whether it is within the budget.
 
-    A window opens with the first event after the last one closed, so it can't be computed without going through a user's
-    events in order. Only the times that open windows are gone through: events fold into an array by user of times alone.
+    A window opens with the first event after the last one closed, so a user's events are gone through in order: they
+    stream by, sorted, a batch at a time, and only the open window is kept. Events without a time are left out.
     """
-    step = F.expr(f"interval {int(seconds)} seconds")
-    opens = events.groupBy("user_id").agg(F.array_sort(F.collect_list("ts")).alias("ts")).select("user_id", F.aggregate(
-        "ts", F.array().cast("array<timestamp_ntz>"),
-        lambda starts, t: F.when((F.size(starts) == 0) | (t >= F.element_at(starts, -1) + step), F.concat(starts, F.array(t))).otherwise(starts)).alias("starts"))
-    placed = events.join(opens, "user_id").withColumn("window_start", F.array_max(F.filter("starts", lambda s: s <= F.col("ts"))))
-    nth = F.row_number().over(Window.partitionBy("user_id", "window_start").orderBy("ts", "event_id"))
-    return placed.select("user_id", "event_id", "ts", "window_start", nth.cast("long").alias("nth")).withColumn("allowed", F.col("nth") <= budget)
+    step = int(seconds) * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, start, count = None, 0, 0
+        for batch in batches:
+            users, ts = batch["user_id"].to_pylist(), batch["ts"].cast(pa.int64()).to_numpy()
+            opened, nth = np.empty(len(ts), np.int64), np.empty(len(ts), np.int64)
+            at = 0
+            while at < len(ts):
+                if users[at] != user or not count or ts[at] >= start + step:
+                    user, start, count = users[at], int(ts[at]), 0
+                same = bisect_right(users, user, at) if user is not None else at + next((i for i, u in enumerate(users[at:]) if u is not None), len(users) - at)
+                end = at + int(np.searchsorted(ts[at:same], start + step))
+                opened[at:end], nth[at:end] = start, count + np.arange(1, end - at + 1)
+                at, count = end, count + end - at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opened).cast(batch["ts"].type), pa.array(nth)], names=[*batch.schema.names, "window_start", "nth"])
+
+    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts")).where("ts is not null")
+    ordered = rows.repartition("user_id").sortWithinPartitions(F.asc_nulls_first("user_id"), "ts", "event_id")
+    placed = ordered.mapInArrow(run, "user_id long, event_id long, ts timestamp_ntz, window_start timestamp_ntz, nth long")
+    return placed.withColumn("allowed", F.col("nth") <= budget)
 
 
 def rate_stream(events: DataFrame, seconds: int = 3600, budget: int = 600) -> DataFrame:
