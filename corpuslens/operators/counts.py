@@ -69,6 +69,21 @@ def passage_profile(tokens: DataFrame, rarest: int = 5) -> DataFrame:
     return words.join(marked, "pid", "left").select("pid", "words", "letters", F.coalesce("roots", F.lit(0)).alias("roots"), F.coalesce("unique_roots", F.lit(0)).alias("unique_roots"), F.coalesce("rarest", F.lit("")).alias("rarest"))
 
 
+def dominant_ending(ends: DataFrame) -> DataFrame:
+    """The commonest ending of each group's passages (grp, ending), of equally common ones the one that comes first; n is how many have it."""
+    counted = ends.where("ending is not null").groupBy("grp", "ending").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return counted.groupBy("grp").agg(F.min(F.struct((-F.col("n")).alias("m"), "first", "ending", "n")).alias("x")).select("grp", "x.ending", "x.n")
+
+
+def passage_analyses(tokens: DataFrame) -> DataFrame:
+    """Word classes with their counts, in fixed order, and the verb forms of each passage of analysed tokens."""
+    # fixed values: the order in which classes are shown
+    order = ("noun", "verb", "particle", "pn", "pron", "adj", "actpcpl", "passpcpl")
+    counted = tokens.groupBy("pid").agg(*[F.count(F.when(F.col("m.pos") == p, 1)).alias(p) for p in order], F.sort_array(F.collect_set(F.when(F.col("m.vf") > 0, F.col("m.vf")))).alias("forms"))
+    mix = F.filter(F.array(*[F.struct(F.lit(p).alias("pos"), F.col(p).alias("count")) for p in order]), lambda x: x["count"] > 0)
+    return counted.select("pid", mix.alias("pos_mix"), "forms")
+
+
 def letter_profile(tokens: DataFrame, group, top: int = 10) -> DataFrame:
     """The letters most over-represented in a group: its count, share, the corpus's share and their ratio."""
     per = tokens.groupBy((F.col("grp") == group).alias("own"), "key").agg(F.count("*").alias("n")).select("own", "n", F.explode(F.split("key", "")).alias("letter")).where("letter != ''")

@@ -43,9 +43,50 @@ def defective(tokens: DataFrame, closed_class: tuple[str, ...] = ()) -> DataFram
     return rows.groupBy("rasm", "plene", "category").agg(F.count("*").alias("count"), F.countDistinct("grp").alias("groups"))
 
 
+def timeline(tokens: DataFrame, word_id: str) -> DataFrame:
+    """The occurrences of a word of several forms: grp, ord, pid, pos, rasm, orig, and whether the writing switches there."""
+    w = Window.orderBy("grp", "ord", "pos")  # the occurrences of one word
+    rows = _drawn(tokens).where(F.concat_ws("|", "pron", "lemma") == word_id)
+    return rows.select("grp", "ord", "pid", "pos", "rasm", "orig", F.coalesce(F.col("rasm") != F.lag("rasm").over(w), F.lit(False)).alias("switch"))
+
+
+def forms_by_group(tokens: DataFrame, word_id: str) -> DataFrame:
+    """How often each form of a word occurs in each group, and in how many passages."""
+    rows = _drawn(tokens).where(F.concat_ws("|", "pron", "lemma") == word_id)
+    return rows.groupBy("grp", "rasm").agg(F.count("*").alias("count"), F.countDistinct("pid").alias("passages"))
+
+
+def defective_profile(tokens: DataFrame, rasm: str, plene: str) -> DataFrame:
+    """Where a form without its long a occurs: grp, count and the passages with the places in each, in reading order."""
+    rows = tokens.where((arabic.rasm_key(F.col("orig")) == rasm) & (arabic.pron_key(F.col("orig")) == plene))
+    passages = rows.groupBy("grp", "ord", "pid").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return passages.groupBy("grp").agg(F.sum(F.size("positions")).alias("count"), F.array_sort(F.collect_list(F.struct("ord", "pid", "positions"))).alias("passages"))
+
+
+def located(tokens: DataFrame, canon: DataFrame) -> DataFrame:
+    """rule, form, pid and pos of the words that stand for a canonical form or an alternate of it.
+
+    Forms of several words are found where words that match them follow one another. A word matches if its drawn skeleton,
+    or a stem of it, is that of the form's word; words of a form of one letter don't count.
+    """
+    spellings = canon.select("rule", "form", F.explode(F.concat(F.array("form"), F.coalesce("alternates", F.array().cast("array<string>")))).alias("spelling"))
+    keys = F.filter(F.transform(F.split(F.trim("spelling"), r"\s+"), arabic.rasm_key), lambda k: F.length(k) >= 2)
+    asked = spellings.select("rule", "form", "spelling", F.size(keys).alias("n"), F.posexplode(keys).alias("j", "key"))
+    drawn = arabic.rasm_key(F.col("orig"))
+    stems = tokens.where(F.length(drawn) >= 2).select("pid", "pos", F.explode(F.array_distinct(F.concat(F.array(drawn), arabic.de_affix(drawn)))).alias("key"))
+    starts = asked.join(stems, "key").groupBy("rule", "form", "spelling", "n", "pid", (F.col("pos") - F.col("j")).alias("start")).agg(F.countDistinct("j").alias("matched")).where("matched = n")
+    return starts.select("rule", "form", "pid", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
+
+
 def reconcile(tokens: DataFrame, canon: DataFrame) -> DataFrame:
-    """How often each canonical form (rule, form, alternates, modern) is found among drawn skeletons of tokens and their stems, and whether modern spelling differs."""
-    asked = canon.select("rule", "form", "modern", F.explode(F.concat(F.array("form"), F.coalesce("alternates", F.array().cast("array<string>")))).alias("spelling")).withColumn("key", arabic.rasm_key(F.col("spelling")))
-    stems = tokens.select("pid", "pos", F.explode(F.array_distinct(F.concat(F.array(arabic.rasm_key(F.col("orig"))), arabic.de_affix(arabic.rasm_key(F.col("orig")))))).alias("key"))
-    found = asked.join(stems, "key").select("rule", "form", "pid", "pos").distinct().groupBy("rule", "form").agg(F.count("*").alias("found"))
-    return canon.join(found, ["rule", "form"], "left").select("rule", "form", "modern", F.coalesce("found", F.lit(0)).alias("found"), (arabic.rasm_key(F.col("form")) != arabic.rasm_key(F.col("modern"))).alias("differs"))
+    """How many words of the tokens stand for each canonical form (rule, form, alternates, modern), and whether modern spelling differs.
+
+    Modern spelling may be two readings with a slash between, of which the first counts. Forms without a modern spelling
+    differ, as do those that a column ``keep`` marks, if there is one.
+    """
+    found = located(tokens, canon).groupBy("rule", "form").agg(F.count("*").alias("found"))
+    modern = F.trim(F.split(F.coalesce("modern", F.lit("")), "/")[0])
+    differs = (modern == "") | (arabic.rasm_key(F.col("form")) != arabic.rasm_key(modern))
+    if "keep" in canon.columns:
+        differs = F.coalesce("keep", F.lit(False)) | differs
+    return canon.join(found, ["rule", "form"], "left").select("rule", "form", "modern", F.coalesce("found", F.lit(0)).alias("found"), differs.alias("differs"))

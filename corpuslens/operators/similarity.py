@@ -205,17 +205,32 @@ def _edits(most: int) -> Callable[[Column, Column], Column]:
     return edits
 
 
-def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_same: int = 3, bucket: int | None = 400) -> DataFrame:
+def _texts(tokens: DataFrame) -> DataFrame:
+    words = tokens.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
+    return words.withColumn("text", F.sha2(F.array_join("ws", " "), 256))
+
+
+def equal_passages(tokens: DataFrame) -> DataFrame:
+    """pid of each passage and the first (by pid) with the same words in the same order (same_as), which may be itself."""
+    texts = _texts(tokens).select("pid", "text")
+    # each passage meets the one row of its text
+    return texts.join(texts.groupBy("text").agg(F.min("pid").alias("same_as")), "text").select("pid", "same_as")
+
+
+def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_same: int = 3, bucket: int | None = 400, classes: bool = False) -> DataFrame:
     """Pairs of passages that share a seed and differ by few words: a, b, same, changed.
 
     Seeds that more than ``bucket`` passages have make no candidates (part of the operator's definition; None is without
-    that limit). Lengths that differ by more than the changes allowed are left out before the words are aligned.
+    that limit). Lengths that differ by more than the changes allowed are left out before the words are aligned. With
+    ``classes`` the first of the passages with the same words stands for them all (equal_passages tells which), so copies
+    are neither paired out nor count towards ``bucket``.
     """
-    grams = ngrams(tokens, seed).select("gram", "pid").distinct()
-    good = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= 2 if bucket is None else F.col("n").between(2, bucket)).select("gram")
-    words = tokens.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
-    size = words.select("pid", F.size("ws").alias("n"))
-    rows = grams.join(good, "gram", "left_semi").join(size, "pid")
+    words = _texts(tokens)
+    words = words.groupBy("text").agg(F.min(F.struct("pid", "ws")).alias("x")).select("x.pid", "x.ws") if classes else words.select("pid", "ws")
+    runs = F.when(F.size("ws") >= seed, F.transform(F.sequence(F.lit(1), F.size("ws") - (seed - 1)), lambda i: F.array_join(F.slice("ws", i, seed), " ")))
+    rows = words.select("pid", F.size("ws").alias("n"), F.explode(F.array_distinct(runs)).alias("gram"))
+    good = rows.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= 2 if bucket is None else F.col("n").between(2, bucket)).select("gram")
+    rows = rows.join(good, "gram", "left_semi")
     one, two = (rows.select("gram", F.col("pid").alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
     pairs = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= most_changed)).select("a", "b").distinct()
     side = lambda c: words.select(F.col("pid").alias(c), F.col("ws").alias(f"w{c}"))

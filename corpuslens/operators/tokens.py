@@ -126,3 +126,22 @@ def in_range(passages: DataFrame, group, lo: int | None = None, hi: int | None =
 def hits(tokens_: DataFrame, term: str, mode: str = "exact") -> DataFrame:
     """pid, n_tokens and the positions of the term in each passage that has it."""
     return tokens_.groupBy("pid", "grp", "ord").agg(F.count("*").alias("n_tokens"), F.array_sort(F.collect_list(F.when(mode_key(mode) == term, F.col("pos")))).alias("positions")).where(F.size("positions") > 0)
+
+
+#: Fields of an analysis that a passage shows; those that say nothing are left out.
+SHOWN = ("pos", "vf", "aspect", "voice", "mood", "person", "gender", "number", "gcase")
+
+
+def passage_view(passages: DataFrame, tokens_: DataFrame, term: str | None = None, mode: str = "exact") -> DataFrame:
+    """pid, grp, ord, text, the places of a term (matches) and the words of each passage, with their keys and analyses as JSON.
+
+    Words are gathered by passage, so a row is as large as a passage. Passages without words have none.
+    """
+    fields = {f.name for f in tokens_.schema["m"].dataType.fields} if "m" in tokens_.columns and hasattr(tokens_.schema["m"].dataType, "fields") else set()
+    said = [F.when((F.col(f"m.{f}").cast("string") != "") & (F.col(f"m.{f}").cast("string") != "0"), F.col(f"m.{f}")).alias(f) for f in SHOWN if f in fields]
+    morphology = F.when(F.col("m").isNotNull(), F.to_json(F.struct(*said))) if said else F.lit(None).cast("string")
+    normalized = F.col("norm") if "norm" in tokens_.columns else F.col("key")
+    word = F.struct(F.col("pos").alias("index"), F.col("orig").alias("form"), normalized.alias("normalized"), "root", "lemma", morphology.alias("morphology"))
+    matches = F.array_sort(F.collect_list(F.when(mode_key(mode) == term, F.col("pos")))) if term is not None else F.array().cast("array<int>")
+    words = tokens_.groupBy("pid").agg(F.array_sort(F.collect_list(word)).alias("words"), matches.alias("matches"))
+    return passages.join(words, "pid", "left").select("pid", "grp", "ord", "text", "words", "matches")

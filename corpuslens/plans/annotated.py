@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import arabic, typed
 from corpuslens.operators import counts, dossiers, expressions, graph, lexicon, morphology, orthography, search, similarity
 from corpuslens.operators import tokens as tk
+from corpuslens.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -434,6 +435,29 @@ def _(spark):
     return orthography.reconcile(_written(spark), canon).where("form = 'ابرهم'").select("form", F.col("found").cast("long").alias("found"), "differs")
 
 
+@inline("rs02_timeline", "pid varchar, rasm varchar, switch boolean", [("1:1", "ابرهم", False), ("1:2", "ابرهم", False), ("2:1", "ابرهيم", True)])
+def _(spark):
+    return orthography.timeline(_written(spark), orthography.variants(_written(spark)).first()["id"])
+
+
+@inline("rs02_forms_by_group", "grp bigint, rasm varchar, count bigint, passages bigint", [(1, "ابرهم", 2, 2), (2, "ابرهيم", 1, 1)])
+def _(spark):
+    return orthography.forms_by_group(_written(spark), orthography.variants(_written(spark)).first()["id"])
+
+
+@inline("rs04_defective_profile", "grp bigint, count bigint, pids varchar", [(1, 2, "1:1 1:2"), (2, 1, "2:1")])
+def _(spark):
+    found = [orthography.defective_profile(_written(spark), r["rasm"], r["plene"]) for r in orthography.defective(_written(spark)).select("rasm", "plene").collect()]  # two spellings
+    return found[0].unionByName(found[1]).select("grp", "count", _joined(F.transform("passages", lambda p: p["pid"])).alias("pids"))
+
+
+@inline("rs05_located_words", "form varchar, pid varchar, pos integer", [("كتب ربك", "1:1", 1), ("كتب ربك", "1:1", 2), ("قال", "1:1", 0), ("قال", "1:2", 1), ("مد", "1:2", 0)])
+def _(spark):
+    t = spark.createDataFrame([("1:1", 0, "قال"), ("1:1", 1, "وكتب"), ("1:1", 2, "ربك"), ("1:2", 0, "مدد"), ("1:2", 1, "فقال"), ("1:2", 2, "كتب"), ("1:3", 0, "كتب")], "pid string, pos int, orig string")
+    canon = spark.createDataFrame([("r", "كتب ربك", "", None), ("r", "قال", "قال", None), ("r", "مد", "مد", ["مدد"])], "rule string, form string, modern string, alternates array<string>")
+    return orthography.located(t, canon)
+
+
 def _headers(spark):
     roots = spark.createDataFrame([("كتب",), ("مدد",), ("سأل",), ("xyz",)], "root string")
     return lexicon.match_headers(roots, spark.createDataFrame([("كتب",), ("مد",), ("سال",)], "header string"))
@@ -549,6 +573,17 @@ def _(spark):
     return similarity.near_twins(plain(spark, {(1, 1): "aa bb cc dd ee", (1, 2): "xx aa bb cc dd yy", (1, 3): "bb cc dd zz", (2, 1): "aa bb cc dd ee ff"}))
 
 
+@inline("sm08_twins_of_classes", "a varchar, b varchar, same integer, changed integer", [("1:1", "1:3", 4, 1)])
+def _(spark):
+    t = plain(spark, {(1, 1): "aa bb cc dd", (1, 2): "aa bb cc dd", (1, 3): "aa bb cc dd ee", (1, 4): "aa bb cc dd"})
+    return similarity.near_twins(t, bucket=2, classes=True)
+
+
+@inline("sm08_same_words", "pid varchar, same_as varchar", [("1:1", "1:1"), ("1:2", "1:1"), ("1:3", "1:3")])
+def _(spark):
+    return similarity.equal_passages(plain(spark, {(1, 1): "aa bb", (1, 2): "aa bb", (1, 3): "bb aa"}))
+
+
 @inline("sm09_word_diff", "same integer, changed integer, ratio double, steps varchar", [(2, 2, round(2 / 3, 6), "same a, del b, ins x, same c")])
 def _(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c"])], "a array<string>, b array<string>")
@@ -584,3 +619,45 @@ def _(spark):
 def _(spark):
     tree = graph.expand(plain(spark, _GRAPH), "1:1", ["aa", "bb"], branch=2)[1].where("kind = 'tree'")
     return graph.path_to(tree, "1:2")
+
+
+# --- projections and citations --------------------------------------------------------------------------------------------
+
+
+@inline("pr01_passage_view", "pid varchar, matches varchar, words varchar", [("1:1", "0 2", "0 aa aa {\"pos\":\"noun\"}, 1 bb bb {\"pos\":\"verb\",\"vf\":2}, 2 aa aa {}"), ("1:2", None, None)])
+def _(spark):
+    t = corpus(spark, {(1, 1): [("aa", analysis("noun")), ("bb", analysis("verb", vf=2)), ("aa", analysis())]})
+    passages = spark.createDataFrame([("1:1", 1, 1, "aa bb aa"), ("1:2", 1, 2, "")], "pid string, grp long, ord long, text string")
+    words = F.transform("words", lambda w: F.concat_ws(" ", w["index"].cast("string"), w["form"], w["normalized"], w["morphology"]))
+    return tk.passage_view(passages, t, "aa").select("pid", _joined(F.transform("matches", lambda p: p.cast("string"))).alias("matches"), _joined(words, ", ").alias("words"))
+
+
+@inline("ag10_dominant_ending", "grp bigint, ending varchar, n bigint", [(1, "na", 2), (2, "xa", 1)])
+def _(spark):
+    return counts.dominant_ending(similarity.endings(plain(spark, {(1, 1): "aa tuna", (1, 2): "bb", (1, 3): "lina", (2, 1): "xa", (2, 2): "ab"})))
+
+
+@inline("ag11_passage_analyses", "pid varchar, pos_mix varchar, forms varchar", [("1:1", "noun 1, verb 2", "1 4"), ("1:2", "", "")])
+def _(spark):
+    t = corpus(spark, {(1, 1): [("aa", analysis("verb", vf=4)), ("bb", analysis("noun")), ("cc", analysis("verb", vf=1))], (1, 2): [("dd", analysis())]})
+    mix = F.transform("pos_mix", lambda x: F.concat_ws(" ", x["pos"], x["count"].cast("string")))
+    return counts.passage_analyses(t).select("pid", _joined(mix, ", ").alias("pos_mix"), _joined(F.transform("forms", lambda f: f.cast("string"))).alias("forms"))
+
+
+@inline("sk05_citations", "kind varchar, cited varchar", [
+    ("entry_bibtex", "@book{mylexicon2_ktb1863,|  author = {A (d. 1876)},|  title = {T},|  year = {1863},|  volume = {2},|  note = {s.v. ktb, vol. 2}|}|"),
+    ("entry_ris", "TY  - BOOK|AU  - A|TI  - T|PY  - 1863|VL  - 2|KW  - ktb|N1  - s.v. ktb, vol. 2|ER  - |"),
+    ("result_bibtex", "@misc{k,|  author = {{Me}},|  title = {T}|}|"),
+    ("result_ris", "TY  - DATA|AU  - Me|TI  - T|KW  - x|KW  - y|ER  - |"),
+])
+def _(spark):
+    none = F.lit(None).cast("string")
+    entry = {"root": F.lit("ktb"), "lexicon": F.lit("My Lexicon 2"), "title": F.lit("{T}"), "author": F.lit("A"), "died": F.lit(1876), "year": F.lit("1863"), "volume": F.lit(2)}
+    cited = {
+        "entry_bibtex": sinks.entry_bibtex(**entry),
+        "entry_ris": sinks.entry_ris(**(entry | {"title": F.lit("T")})),
+        "result_bibtex": sinks.result_bibtex("Me", F.lit("k"), F.lit("T"), none, none, none),
+        "result_ris": sinks.result_ris("Me", F.lit("T"), none, none, none, F.array(F.lit("x"), F.lit(""), F.lit("y"))),
+    }
+    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("cited")) for k, c in cited.items()])).alias("r"))
+    return rows.select("r.kind", F.regexp_replace("r.cited", r"\r?\n", "|").alias("cited"))

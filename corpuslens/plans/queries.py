@@ -353,7 +353,12 @@ def sm07(spark, folder):
 
 @query("sm08_near_twins")
 def sm08(spark, folder):
-    return similarity.near_twins(tk.tokens(documents(spark, folder)))
+    return similarity.near_twins(tk.tokens(documents(spark, folder)), classes=True)
+
+
+@query("sm08_equal_passages", f"q as (select doc_id::varchar as pid, list_filter(regexp_split_to_array(lower(text), '{tk.NO_WORD}'), lambda w: length(w) >= 2) as ws from documents) select pid, min(pid) over (partition by ws) as same_as from q where len(ws) > 0")
+def sm08_equal(spark, folder):
+    return similarity.equal_passages(tk.tokens(documents(spark, folder)))
 
 
 @query("sm10_bonds", f"{_TOK}, {_KEY_DF} select grp, key, count(*) as passages, min(ord) as first, max(ord) as last from post join df using (key) where df <= 3 group by 1, 2 having count(*) >= 2 and max(ord) - min(ord) >= 2")

@@ -42,6 +42,12 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"], 'q"x')], "id long, ws array<string>, t string")
     sinks.write_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first().asDict() == {"id": "1", "ws": "a b", "t": 'q"x'}
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "s"), spreadsheet=True)
+    assert next((tmp_path / "s").glob("*.csv")).read_bytes() == '\ufeffid,ws,t\r\n1,a b,"q""x"\r\n'.encode()
+    roots = spark.createDataFrame([(r, i) for i, r in enumerate(["كتب", "قول", "نور"])], "root string, n int")
+    sinks.write_shards(roots, str(tmp_path / "shards"), "root")
+    read = sinks.read_shard(spark, str(tmp_path / "shards"), "root", "قول")
+    assert [tuple(r) for r in read.collect()] == [("قول", 1)] and "shard" not in read.columns
     sinks.write_bundle(df, str(tmp_path / "b"), "m", {"k": "v"})
     assert spark.read.json(str(tmp_path / "b")).first().data.id == 1
     t = spark.createDataFrame([("1:1", 1, 1, i, w) for i, w in enumerate("a b c d".split())], "pid string, grp long, ord long, pos int, orig string")
