@@ -2,61 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.sources.stored import materialise, shared_folder, shared_path  # noqa: F401  for the modules beside this one
+
 #: Everything that is neither letter, mark nor number separates words.
 NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 NO_LETTER = r"[^\p{L}\p{M}]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of this machine only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="corpuslens-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Removes an intermediate table when the application ends, after which nothing can read it."""
-    with contextlib.suppress(Exception):  # the JVM may be gone
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def materialise(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and no executor's loss reaches behind it.
-
-    ``narrow`` tables have a few numbers a row, where others have texts: an eighth of the usual partitions write them.
-    """
-    path = shared_path(df.sparkSession, name)
-    atexit.register(_remove, df.sparkSession, path)
-    if narrow:
-        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(id_col: str):
     """True for the fifth of the rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
