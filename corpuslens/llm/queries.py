@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, importance, langid, mixing, near_dup, pseudonyms, quality, token_counts, token_planes, top_k, toxicity, url_filter
+from . import alignment, decontaminate, importance, langid, mixing, near_dup, pseudonyms, quality, token_counts, token_planes, top_k, toxicity, url_filter
 from .shared import shared_path
 
 #: host, path and verdict of the rules of op6.
@@ -65,6 +65,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_planes, op2_spaced_seeds, op3_toxicity_chain, op4_language, op5_source_mix, op6_url_rules, op7_dart_minhash, op8_pseudonyms, op9_quality, op10_bm25, op11_token_counts, op13_importance, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_planes, op2_spaced_seeds, op3_toxicity_chain, op4_language, op5_source_mix, op6_url_rules, op7_dart_minhash, op8_pseudonyms, op9_quality, op10_bm25, op11_token_counts, op12_alignment, op13_importance, pipeline)}
 
 _OP6 = """
 with u as (
