@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuslens.functions.association import association, rarity_weight
@@ -12,30 +10,11 @@ from corpuslens.functions.typed import fnv1a
 from corpuslens.operators import association as assoc
 from corpuslens.operators import counts, dossiers, graph, morphology, search, similarity
 from corpuslens.operators import tokens as tk
-from corpuslens.plans import annotated
+from corpuslens.plans.registry import KEY_DF, ORACLE, QUERIES, ROOTS, STOP, TOK, chat_tokens, query, rounded  # noqa: F401
 from corpuslens.sources import sinks
 from corpuslens.sources.tables import chat, dense, documents, table
 from corpuslens.streaming.rate import rate_windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-_STOP = ", ".join(f"'{w}'" for w in tk.STOP)
-#: The token table of the conversations in SQL, and of what most queries need besides.
-_TOK = f"""
-p as (select conv_id as grp, turn as ord, concat(conv_id, ':', turn) as pid, list_filter(regexp_split_to_array(lower(text), '{tk.NO_WORD}'), lambda w: length(w) >= 2) as ws from conversations),
-t0 as (select grp, ord, pid, unnest(ws) as key, unnest(range(len(ws))) as pos from p),
-t as (select grp, ord, pid, key, pos,
-  case when length(regexp_replace(key, '(ing|ed|er|es|s|e)$', '')) >= 2 then regexp_replace(key, '(ing|ed|er|es|s|e)$', '') else key end as lemma,
-  nullif(substr(regexp_replace(key, '[aeiouyäöüéèêàâáíóúîôûëï]', '', 'g'), 1, 3), '') as root from t0)"""
-_KEY_DF = "post as (select distinct key, pid, grp, ord from t), df as (select key, count(*) as df from post group by 1)"
-_ROOTS = """
-rp as (select distinct root as key, pid, grp, ord from t where root is not null),
-n as (select count(distinct pid) as n from t),
-w as (select rp.*, ln(n.n / d.df) as w from rp join (select key, count(*) as df from rp group by 1) d using (key) cross join n)"""
-
-
 def _g2(k: str, a: str, b: str, n: str) -> str:
     cell = lambda o, e: f"(case when {o} > 0 and {e} > 0 then ({o}) * ln(({o}) / ({e})) else 0 end)"
     k, a, b, n = (f"{x}::double" for x in (k, a, b, n))
@@ -48,137 +27,119 @@ def _pmi(k: str, a: str, b: str, n: str) -> str:
     return f"log2({k}::double * {n} / ({a}::double * {b}))"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = "with " + sql.strip() if sql.lstrip().startswith(("p as", "q as")) else sql.strip()
-        return f
-
-    return add
-
-
-def _tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return tk.tokens(chat(spark, folder))
-
-
-def _rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 # --- counts --------------------------------------------------------------------------------------------------------------
 
 
-@query("ag01_distribution", f"{_TOK} select c.grp, coalesce(x.n, 0) as n from (select distinct grp from p) c left join (select grp, count(*) as n from t where key = 'the' group by 1) x using (grp)")
+@query("ag01_distribution", f"{TOK} select c.grp, coalesce(x.n, 0) as n from (select distinct grp from p) c left join (select grp, count(*) as n from t where key = 'the' group by 1) x using (grp)")
 def ag01(spark, folder):
-    return counts.distribution(_tokens(spark, folder), chat(spark, folder), "the")
+    return counts.distribution(chat_tokens(spark, folder), chat(spark, folder), "the")
 
 
-@query("ag02_root_frequency", f"{_TOK} select root as key, count(*) as tokens, count(distinct pid) as passages from t where root is not null group by 1")
+@query("ag02_root_frequency", f"{TOK} select root as key, count(*) as tokens, count(distinct pid) as passages from t where root is not null group by 1")
 def ag02(spark, folder):
-    return counts.key_frequency(_tokens(spark, folder))
+    return counts.key_frequency(chat_tokens(spark, folder))
 
 
-@query("ag03_hapax", f"{_TOK} select root as key, min(pid) as pid from t where root is not null group by 1 having count(*) = 1")
+@query("ag03_hapax", f"{TOK} select root as key, min(pid) as pid from t where root is not null group by 1 having count(*) = 1")
 def ag03(spark, folder):
-    return counts.hapax(_tokens(spark, folder))
+    return counts.hapax(chat_tokens(spark, folder))
 
 
-@query("ag06_vote", f"{_TOK}, c as (select root, key, count(*) as votes, min((grp, ord, pos)) as first from t where root is not null group by 1, 2) select root, key, votes from (select *, row_number() over (partition by root order by votes desc, first, key) as i from c) where i = 1")
+@query("ag06_vote", f"{TOK}, c as (select root, key, count(*) as votes, min((grp, ord, pos)) as first from t where root is not null group by 1, 2) select root, key, votes from (select *, row_number() over (partition by root order by votes desc, first, key) as i from c) where i = 1")
 def ag06(spark, folder):
-    return tk.vote(_tokens(spark, folder).where("root is not null"), "root", "key", ["grp", "ord", "pos"])
+    return tk.vote(chat_tokens(spark, folder).where("root is not null"), "root", "key", ["grp", "ord", "pos"])
 
 
-@query("ag08_coverage", f"{_TOK} select count(*) as tokens, count(root) as rooted, round(count(root) / count(*), 6) as root_share, round(count(lemma) / count(*), 6) as lemma_share from t")
+@query("ag08_coverage", f"{TOK} select count(*) as tokens, count(root) as rooted, round(count(root) / count(*), 6) as root_share, round(count(lemma) / count(*), 6) as lemma_share from t")
 def ag08(spark, folder):
-    return _rounded(counts.coverage(_tokens(spark, folder)), "root_share", "lemma_share", digits=6)
+    return rounded(counts.coverage(chat_tokens(spark, folder)), "root_share", "lemma_share", digits=6)
 
 
-@query("ag09_field", f"{_TOK}, f as (select * from t where root in ('th', 'wth', 'ths')) select case when grouping(root) = 0 then 'root' when grouping(grp) = 0 then 'group' else 'all' end as level, root, grp::varchar as grp, count(*) as tokens, count(distinct pid) as passages from f group by grouping sets ((root), (grp), ())")
+@query("ag09_field", f"{TOK}, f as (select * from t where root in ('th', 'wth', 'ths')) select case when grouping(root) = 0 then 'root' when grouping(grp) = 0 then 'group' else 'all' end as level, root, grp::varchar as grp, count(*) as tokens, count(distinct pid) as passages from f group by grouping sets ((root), (grp), ())")
 def ag09(spark, folder):
-    return counts.field_stats(_tokens(spark, folder), ["th", "wth", "ths"]).withColumn("grp", F.col("grp").cast("string"))
+    return counts.field_stats(chat_tokens(spark, folder), ["th", "wth", "ths"]).withColumn("grp", F.col("grp").cast("string"))
 
 
-@query("ag10_group_profile", f"{_TOK}, l as (select grp, array_to_string(ws, ' ') as line, count(*) as n from p where len(ws) >= 2 group by 1, 2 having count(*) >= 2) select a.grp, a.passages, coalesce(b.words, 0) as words, coalesce(b.roots, 0) as roots, coalesce(c.refrains, 0) as refrains, coalesce(c.refrain_passages, 0)::bigint as refrain_passages from (select grp, count(*) as passages from p group by 1) a left join (select grp, count(*) as words, count(distinct root) as roots from t group by 1) b using (grp) left join (select grp, count(*) as refrains, sum(n) as refrain_passages from l group by 1) c using (grp)")
+@query("ag10_group_profile", f"{TOK}, l as (select grp, array_to_string(ws, ' ') as line, count(*) as n from p where len(ws) >= 2 group by 1, 2 having count(*) >= 2) select a.grp, a.passages, coalesce(b.words, 0) as words, coalesce(b.roots, 0) as roots, coalesce(c.refrains, 0) as refrains, coalesce(c.refrain_passages, 0)::bigint as refrain_passages from (select grp, count(*) as passages from p group by 1) a left join (select grp, count(*) as words, count(distinct root) as roots from t group by 1) b using (grp) left join (select grp, count(*) as refrains, sum(n) as refrain_passages from l group by 1) c using (grp)")
 def ag10(spark, folder):
-    return counts.group_profile(_tokens(spark, folder), chat(spark, folder))
+    return counts.group_profile(chat_tokens(spark, folder), chat(spark, folder))
 
 
-@query("ag11_passage_profile", f"{_TOK}, r as (select distinct pid, root as key from t where root is not null), d as (select key, count(*) as df from r group by 1), k as (select r.pid, r.key, df, row_number() over (partition by pid order by df, r.key) as i from r join d using (key)) select a.pid, a.words, a.letters, coalesce(b.roots, 0) as roots, coalesce(b.unique_roots, 0)::bigint as unique_roots, coalesce(b.rarest, '') as rarest from (select pid, count(*) as words, sum(length(key))::bigint as letters from t group by 1) a left join (select pid, count(*) as roots, sum(case when df <= 1 then 1 else 0 end) as unique_roots, string_agg(key, ' ' order by i) filter (where i <= 5) as rarest from k group by 1) b using (pid)")
+@query("ag11_passage_profile", f"{TOK}, r as (select distinct pid, root as key from t where root is not null), d as (select key, count(*) as df from r group by 1), k as (select r.pid, r.key, df, row_number() over (partition by pid order by df, r.key) as i from r join d using (key)) select a.pid, a.words, a.letters, coalesce(b.roots, 0) as roots, coalesce(b.unique_roots, 0)::bigint as unique_roots, coalesce(b.rarest, '') as rarest from (select pid, count(*) as words, sum(length(key))::bigint as letters from t group by 1) a left join (select pid, count(*) as roots, sum(case when df <= 1 then 1 else 0 end) as unique_roots, string_agg(key, ' ' order by i) filter (where i <= 5) as rarest from k group by 1) b using (pid)")
 def ag11(spark, folder):
-    return counts.passage_profile(_tokens(spark, folder))
+    return counts.passage_profile(chat_tokens(spark, folder))
 
 
-@query("ag12_letters", f"{_TOK}, l as (select grp, unnest(string_split(key, '')) as letter from t), c as (select letter, sum(case when grp = 0 then 1 else 0 end)::double as own, count(*)::double as total from l where letter <> '' group by 1), s as (select sum(own) as o, sum(total) as a from c) select letter, own::bigint as count, round(own / o, 6) as share, round(total / a, 6) as corpus_share, round((own / o) / (total / a), 6) as ratio from c, s where own > 0 order by round((own / o) / (total / a), 9) desc, letter limit 10")
+@query("ag12_letters", f"{TOK}, l as (select grp, unnest(string_split(key, '')) as letter from t), c as (select letter, sum(case when grp = 0 then 1 else 0 end)::double as own, count(*)::double as total from l where letter <> '' group by 1), s as (select sum(own) as o, sum(total) as a from c) select letter, own::bigint as count, round(own / o, 6) as share, round(total / a, 6) as corpus_share, round((own / o) / (total / a), 6) as ratio from c, s where own > 0 order by round((own / o) / (total / a), 9) desc, letter limit 10")
 def ag12(spark, folder):
-    return _rounded(counts.letter_profile(_tokens(spark, folder), 0), "share", "corpus_share", "ratio", digits=6)
+    return rounded(counts.letter_profile(chat_tokens(spark, folder), 0), "share", "corpus_share", "ratio", digits=6)
 
 
 _PAIR = "('the', 'of', 'and', 'hethe')"
 
 
-@query("ag16_pairing_matrix", f"{_TOK}, {_KEY_DF}, x as (select unnest(['the', 'of', 'and', 'zzz']) as term, unnest([0, 1, 2, 3]) as i), j as (select a.key as row, b.key as col, count(*) as n from post a join post b using (pid) group by 1, 2) select a.term as row, b.term as col, a.i::int as row_i, b.i::int as col_i, coalesce(j.n, 0) as n, coalesce(d.df, 0) as df_row, coalesce(e.df, 0) as df_col from x a cross join x b left join j on j.row = a.term and j.col = b.term left join df d on d.key = a.term left join df e on e.key = b.term")
+@query("ag16_pairing_matrix", f"{TOK}, {KEY_DF}, x as (select unnest(['the', 'of', 'and', 'zzz']) as term, unnest([0, 1, 2, 3]) as i), j as (select a.key as row, b.key as col, count(*) as n from post a join post b using (pid) group by 1, 2) select a.term as row, b.term as col, a.i::int as row_i, b.i::int as col_i, coalesce(j.n, 0) as n, coalesce(d.df, 0) as df_row, coalesce(e.df, 0) as df_col from x a cross join x b left join j on j.row = a.term and j.col = b.term left join df d on d.key = a.term left join df e on e.key = b.term")
 def ag16(spark, folder):
     terms = ["the", "of", "and", "zzz"]
-    return counts.pairing(_tokens(spark, folder), terms, terms)
+    return counts.pairing(chat_tokens(spark, folder), terms, terms)
 
 
-@query("ag17_pairs", f"{_TOK}, {_KEY_DF}, x as (select unnest(['the', 'of', 'and', 'zzz']) as term), j as (select a.key as a, b.key as b, count(*) as n from post a join post b using (pid) group by 1, 2) select a.term as a, b.term as b, coalesce(j.n, 0) as n from x a join x b on a.term < b.term left join j on j.a = a.term and j.b = b.term")
+@query("ag17_pairs", f"{TOK}, {KEY_DF}, x as (select unnest(['the', 'of', 'and', 'zzz']) as term), j as (select a.key as a, b.key as b, count(*) as n from post a join post b using (pid) group by 1, 2) select a.term as a, b.term as b, coalesce(j.n, 0) as n from x a join x b on a.term < b.term left join j on j.a = a.term and j.b = b.term")
 def ag17(spark, folder):
     return counts.pairing_pairs(ag16(spark, folder))
 
 
-@query("ag22_corpus_stats", f"{_TOK} select (select count(distinct grp) from p) as groups, (select count(*) from p) as passages, count(*) as words, count(distinct key) as forms, count(distinct root) as roots, count(distinct lemma) as lemmas from t")
+@query("ag22_corpus_stats", f"{TOK} select (select count(distinct grp) from p) as groups, (select count(*) from p) as passages, count(*) as words, count(distinct key) as forms, count(distinct root) as roots, count(distinct lemma) as lemmas from t")
 def ag22(spark, folder):
-    return counts.corpus_stats(chat(spark, folder), _tokens(spark, folder))
+    return counts.corpus_stats(chat(spark, folder), chat_tokens(spark, folder))
 
 
-@query("st01_shared_passages", f"{_TOK} select pid, grp, ord from t where key in ('the', 'of', 'and') group by 1, 2, 3 having count(distinct key) = 3")
+@query("st01_shared_passages", f"{TOK} select pid, grp, ord from t where key in ('the', 'of', 'and') group by 1, 2, 3 having count(distinct key) = 3")
 def st01(spark, folder):
-    return counts.shared_passages(_tokens(spark, folder), ["the", "of", "and"])
+    return counts.shared_passages(chat_tokens(spark, folder), ["the", "of", "and"])
 
 
-@query("sl06_top_per_group", f"{_TOK}, c as (select grp, key, count(*) as n from t where key not in ({_STOP}) group by 1, 2) select * from (select *, row_number() over (partition by grp order by n desc, key) as rank from c) where rank <= 3")
+@query("sl06_top_per_group", f"{TOK}, c as (select grp, key, count(*) as n from t where key not in ({STOP}) group by 1, 2) select * from (select *, row_number() over (partition by grp order by n desc, key) as rank from c) where rank <= 3")
 def sl06(spark, folder):
-    return counts.top_per_group(_tokens(spark, folder), tk.STOP)
+    return counts.top_per_group(chat_tokens(spark, folder), tk.STOP)
 
 
-@query("sl04_page", f"{_TOK}, c as (select key, count(*) as n from t group by 1) select key, n, (select count(*) from c) as total, (select count(*) from c) > 70 as has_more from c order by n desc, key limit 50 offset 20")
+@query("sl04_page", f"{TOK}, c as (select key, count(*) as n from t group by 1) select key, n, (select count(*) from c) as total, (select count(*) from c) > 70 as has_more from c order by n desc, key limit 50 offset 20")
 def sl04(spark, folder):
-    freq = _tokens(spark, folder).groupBy("key").agg(F.count("*").alias("n"))
+    freq = chat_tokens(spark, folder).groupBy("key").agg(F.count("*").alias("n"))
     return counts.page(freq, [F.desc("n"), F.col("key")], 20, 50)
 
 
-@query("ag18_passages_by_group", f"{_TOK} select grp, count(distinct pid) as passages from t where key = 'with' group by 1")
+@query("ag18_passages_by_group", f"{TOK} select grp, count(distinct pid) as passages from t where key = 'with' group by 1")
 def ag18(spark, folder):
-    return dossiers.passages_by_group(_tokens(spark, folder).where("key = 'with'"))
+    return dossiers.passages_by_group(chat_tokens(spark, folder).where("key = 'with'"))
 
 
-@query("pr03_term_header", f"{_TOK} select 'th' as term, count(distinct pid) as passages, count(*) as tokens, count(distinct key) as spellings, (select key from t where root = 'th' group by key order by count(*) desc, min((grp, ord, pos)), key limit 1) as label from t where root = 'th'")
+@query("pr03_term_header", f"{TOK} select 'th' as term, count(distinct pid) as passages, count(*) as tokens, count(distinct key) as spellings, (select key from t where root = 'th' group by key order by count(*) desc, min((grp, ord, pos)), key limit 1) as label from t where root = 'th'")
 def pr03(spark, folder):
-    return dossiers.term_header(_tokens(spark, folder), "th", "root")
+    return dossiers.term_header(chat_tokens(spark, folder), "th", "root")
 
 
-@query("sr11_occurrences", f"{_TOK} select grp, ord, pid, array_to_string(list_sort(list(pos)), ' ') as positions from t where lemma = 'with' group by 1, 2, 3")
+@query("sr11_occurrences", f"{TOK} select grp, ord, pid, array_to_string(list_sort(list(pos)), ' ') as positions from t where lemma = 'with' group by 1, 2, 3")
 def sr11(spark, folder):
-    return sinks.flat(dossiers.occurrences(_tokens(spark, folder), "with", "lemma"))
+    return sinks.flat(dossiers.occurrences(chat_tokens(spark, folder), "with", "lemma"))
 
 
-@query("st02_union", f"{_TOK} select distinct pid from t where key = 'with' union select distinct pid from t where key = 'from'")
+@query("st02_union", f"{TOK} select distinct pid from t where key = 'with' union select distinct pid from t where key = 'from'")
 def st02(spark, folder):
-    t = _tokens(spark, folder)
+    t = chat_tokens(spark, folder)
     return t.where("key = 'with'").select("pid").union(t.where("key = 'from'").select("pid")).distinct()
 
 
-@query("st03_except", f"{_TOK} select pid from t where key = 'with' except select pid from t where key = 'from'")
+@query("st03_except", f"{TOK} select pid from t where key = 'with' except select pid from t where key = 'from'")
 def st03(spark, folder):
-    t = _tokens(spark, folder)
+    t = chat_tokens(spark, folder)
     return t.where("key = 'with'").select("pid").subtract(t.where("key = 'from'").select("pid"))
 
 
-@query("sf24_rarity", f"{_TOK}, {_KEY_DF} select key, round(1 / log2(greatest(df, 1) + 2), 6) as weight from df where df <= 100")
+@query("sf24_rarity", f"{TOK}, {KEY_DF} select key, round(1 / log2(greatest(df, 1) + 2), 6) as weight from df where df <= 100")
 def sf24(spark, folder):
-    return tk.document_frequency(_tokens(spark, folder)).where("df <= 100").select("key", F.round(rarity_weight("df"), 6).alias("weight"))
+    return tk.document_frequency(chat_tokens(spark, folder)).where("df <= 100").select("key", F.round(rarity_weight("df"), 6).alias("weight"))
 
 
 @query("sf29_hash", "with recursive c(c_name, i, h) as (select c_name, 0, 2166136261::bigint from customer union all select c_name, i + 1, (xor(h, ascii(substr(c_name, i + 1, 1))::bigint) * 16777619) & 4294967295 from c where i < length(c_name)) select c_name, h as hash from c where i = length(c_name)")
@@ -189,55 +150,55 @@ def sf29(spark, folder):
 # --- tokens, filters, rows ------------------------------------------------------------------------------------------------
 
 
-@query("sr01_postings", f"{_TOK} select distinct key, pid, grp, ord from t")
+@query("sr01_postings", f"{TOK} select distinct key, pid, grp, ord from t")
 def sr01(spark, folder):
-    return tk.postings(_tokens(spark, folder))
+    return tk.postings(chat_tokens(spark, folder))
 
 
-@query("sr02_lemma_postings", f"{_TOK} select distinct lemma as key, pid, grp, ord from t")
+@query("sr02_lemma_postings", f"{TOK} select distinct lemma as key, pid, grp, ord from t")
 def sr02(spark, folder):
-    return tk.postings(_tokens(spark, folder), "lemma")
+    return tk.postings(chat_tokens(spark, folder), "lemma")
 
 
-@query("sr03_reading_order", f"{_TOK} select pid, grp, ord, row_number() over (order by grp, ord) - 1 as nth from p")
+@query("sr03_reading_order", f"{TOK} select pid, grp, ord, row_number() over (order by grp, ord) - 1 as nth from p")
 def sr03(spark, folder):
     return tk.reading_order(chat(spark, folder))
 
 
-@query("fl01_passage_range", f"{_TOK} select pid, grp, ord from p where grp = 3 and ord between 1 and 4")
+@query("fl01_passage_range", f"{TOK} select pid, grp, ord from p where grp = 3 and ord between 1 and 4")
 def fl01(spark, folder):
     return tk.in_range(chat(spark, folder), 3, 4, 1).select("pid", "grp", "ord")
 
 
-@query("fl05_without_stops", f"{_TOK} select key, count(*) as n from t where key not in ({_STOP}) and lemma not in ({_STOP}) group by 1")
+@query("fl05_without_stops", f"{TOK} select key, count(*) as n from t where key not in ({STOP}) and lemma not in ({STOP}) group by 1")
 def fl05(spark, folder):
-    return tk.without_stops(_tokens(spark, folder), tk.STOP, "lemma").groupBy("key").agg(F.count("*").alias("n"))
+    return tk.without_stops(chat_tokens(spark, folder), tk.STOP, "lemma").groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("fl06_substring", f"{_TOK} select root as key, count(*) as n from t where contains(root, 'th') group by 1 having count(*) = 1")
+@query("fl06_substring", f"{TOK} select root as key, count(*) as n from t where contains(root, 'th') group by 1 having count(*) = 1")
 def fl06(spark, folder):
-    return _tokens(spark, folder).where(F.col("root").contains("th")).groupBy(F.col("root").alias("key")).agg(F.count("*").alias("n")).where("n = 1")
+    return chat_tokens(spark, folder).where(F.col("root").contains("th")).groupBy(F.col("root").alias("key")).agg(F.count("*").alias("n")).where("n = 1")
 
 
-@query("pr02_hits", f"{_TOK} select pid, grp, ord, count(*) as n_tokens, array_to_string(list_sort(list(pos) filter (where key = 'the')), ' ') as positions from t group by 1, 2, 3 having count(*) filter (where key = 'the') > 0")
+@query("pr02_hits", f"{TOK} select pid, grp, ord, count(*) as n_tokens, array_to_string(list_sort(list(pos) filter (where key = 'the')), ' ') as positions from t group by 1, 2, 3 having count(*) filter (where key = 'the') > 0")
 def pr02(spark, folder):
-    return sinks.flat(tk.hits(_tokens(spark, folder), "the"))
+    return sinks.flat(tk.hits(chat_tokens(spark, folder), "the"))
 
 
-@query("sk04_concordance", f"""{_TOK} select pid, grp, ord, pos, coalesce("left", '') as "left", key as hit, coalesce("right", '') as "right" from (select *, array_to_string(list(key) over (partition by pid order by pos rows between 5 preceding and 1 preceding), ' ') as "left", array_to_string(list(key) over (partition by pid order by pos rows between 1 following and 5 following), ' ') as "right" from t) where key = 'hethe' or key = 'with'""")
+@query("sk04_concordance", f"""{TOK} select pid, grp, ord, pos, coalesce("left", '') as "left", key as hit, coalesce("right", '') as "right" from (select *, array_to_string(list(key) over (partition by pid order by pos rows between 5 preceding and 1 preceding), ' ') as "left", array_to_string(list(key) over (partition by pid order by pos rows between 1 following and 5 following), ' ') as "right" from t) where key = 'hethe' or key = 'with'""")
 def sk04(spark, folder):
-    return sinks.concordance(_tokens(spark, folder), F.col("key").isin("hethe", "with"))
+    return sinks.concordance(chat_tokens(spark, folder), F.col("key").isin("hethe", "with"))
 
 
-@query("jn07_seeds", f"{_TOK}, g as (select pid, concat_ws(' ', key, lead(key, 1) over w, lead(key, 2) over w, lead(key, 3) over w) as gram, lead(key, 3) over w as l from t window w as (partition by pid order by pos)), d as (select gram, count(distinct pid) as n from g where l is not null group by 1) select gram, n from d where n between 2 and 400")
+@query("jn07_seeds", f"{TOK}, g as (select pid, concat_ws(' ', key, lead(key, 1) over w, lead(key, 2) over w, lead(key, 3) over w) as gram, lead(key, 3) over w as l from t window w as (partition by pid order by pos)), d as (select gram, count(distinct pid) as n from g where l is not null group by 1) select gram, n from d where n between 2 and 400")
 def jn07(spark, folder):
-    grams = similarity.ngrams(_tokens(spark, folder), 4)
+    grams = similarity.ngrams(chat_tokens(spark, folder), 4)
     return grams.groupBy("gram").agg(F.countDistinct("pid").alias("n")).where(F.col("n").between(2, 400))
 
 
-@query("jn09_near", f"{_TOK}, a as (select distinct grp, ord from t where root = 'wth'), b as (select distinct grp, ord from t where root = 'frm') select a.grp, a.ord as a, b.ord as b from a join b on a.grp = b.grp and abs(a.ord - b.ord) <= 3")
+@query("jn09_near", f"{TOK}, a as (select distinct grp, ord from t where root = 'wth'), b as (select distinct grp, ord from t where root = 'frm') select a.grp, a.ord as a, b.ord as b from a join b on a.grp = b.grp and abs(a.ord - b.ord) <= 3")
 def jn09(spark, folder):
-    side = lambda root, c: _tokens(spark, folder).where(F.col("root") == root).select("grp", F.col("ord").alias(c)).distinct()
+    side = lambda root, c: chat_tokens(spark, folder).where(F.col("root") == root).select("grp", F.col("ord").alias(c)).distinct()
     return side("wth", "a").join(side("frm", "b"), "grp").where(F.abs(F.col("a") - F.col("b")) <= 3)
 
 
@@ -247,106 +208,110 @@ def jn09(spark, folder):
 _SCORES = "round({pmi}, 5) as pmi, round({ll}, 5) as ll, round(14 + log2(2 * k::double / (a + b)), 5) as log_dice, case when abs({ll}) >= 10.83 then 3 when abs({ll}) >= 6.63 then 2 when abs({ll}) >= 3.84 then 1 else 0 end as tier".format(pmi=_pmi("k", "a", "b", "n"), ll=_g2("k", "a", "b", "n"))
 
 
-@query("as05_association", f"q as (select * from (values (10, 100, 100, 1000), (50, 100, 100, 1000), (1, 100, 100, 1000), (3, 3, 5, 40)) v(k, a, b, n)) select k, a, b, n, {_SCORES} from q")
+@query("as05_association", f"{TOK}, u as (select concat(conv_id, ':', turn) as pid from conversations where role = 'user'), r as (select distinct key, pid from t), n as (select count(distinct pid) as n, count(distinct pid) filter (where pid in (select pid from u)) as a from t), x as (select key, count(*) filter (where pid in (select pid from u)) as k, count(*) as b from r group by 1), q as (select key, k, a, b, n from x, n where k > 0) select key, k, a, b, n, {_SCORES} from q")
 def as05(spark, folder):
-    cells = spark.createDataFrame([(10, 100, 100, 1000), (50, 100, 100, 1000), (1, 100, 100, 1000), (3, 3, 5, 40)], "k int, a int, b int, n int")
-    return _rounded(cells.withColumn("s", association("k", "a", "b", "n")).select("k", "a", "b", "n", "s.*"), "pmi", "ll", "log_dice")
+    """Words of the users' turns against all turns."""
+    users = chat(spark, folder).where("role = 'user'").select("pid", F.lit(1).alias("own"))
+    seen = chat_tokens(spark, folder).select("pid", "key").distinct().join(users, "pid", "left")
+    sizes = seen.groupBy("pid").agg(F.max("own").alias("own")).agg(F.count("own").alias("a"), F.count("*").alias("n"))
+    cells = seen.groupBy("key").agg(F.count("own").alias("k"), F.count("*").alias("b")).where("k > 0").join(F.broadcast(sizes))  # one row
+    return rounded(cells.withColumn("s", association("k", "a", "b", "n")).select("key", "k", "a", "b", "n", "s.*"), "pmi", "ll", "log_dice")
 
 
-@query("as06_collocations", f"{_TOK}, own as (select distinct pid from t where key = 'with'), k0 as (select distinct key, pid from t where key <> 'with' and key not in ({_STOP})), x as (select key, count(*) as b, count(*) filter (where pid in (select pid from own)) as k, (select count(*) from own) as a, (select count(distinct pid) from t) as n from k0 group by 1) select key, k as count, b, {_SCORES} from x where k > 0")
+@query("as06_collocations", f"{TOK}, own as (select distinct pid from t where key = 'with'), k0 as (select distinct key, pid from t where key <> 'with' and key not in ({STOP})), x as (select key, count(*) as b, count(*) filter (where pid in (select pid from own)) as k, (select count(*) from own) as a, (select count(distinct pid) from t) as n from k0 group by 1) select key, k as count, b, {_SCORES} from x where k > 0")
 def as06(spark, folder):
-    return _rounded(assoc.collocations(_tokens(spark, folder), "with", stops=tk.STOP), "pmi", "ll", "log_dice")
+    return rounded(assoc.collocations(chat_tokens(spark, folder), "with", stops=tk.STOP), "pmi", "ll", "log_dice")
 
 
-@query("as07_windowed", f"{_TOK}, f as (select key, count(*) as b from t group by 1), j as (select y.key, count(*) as k from t x join t y on x.pid = y.pid and y.pos between x.pos - 3 and x.pos + 3 where x.key = 'with' and y.key <> 'with' and y.key not in ({_STOP}) group by 1), s as (select j.key, k, b, (select b from f where key = 'with') as a, (select count(*) from t) as n from j join f using (key)) select key, k as count, b, {_SCORES} from s")
+@query("as07_windowed", f"{TOK}, f as (select key, count(*) as b from t group by 1), j as (select y.key, count(*) as k from t x join t y on x.pid = y.pid and y.pos between x.pos - 3 and x.pos + 3 where x.key = 'with' and y.key <> 'with' and y.key not in ({STOP}) group by 1), s as (select j.key, k, b, (select b from f where key = 'with') as a, (select count(*) from t) as n from j join f using (key)) select key, k as count, b, {_SCORES} from s")
 def as07(spark, folder):
-    return _rounded(assoc.windowed_collocations(_tokens(spark, folder), "with", 3, stops=tk.STOP), "pmi", "ll", "log_dice")
+    return rounded(assoc.windowed_collocations(chat_tokens(spark, folder), "with", 3, stops=tk.STOP), "pmi", "ll", "log_dice")
 
 
 def _neighbours(partition: str, order: str) -> str:
-    return f"{_TOK}, s as (select key, case when abs(lag(ord) over w - ord) <= 1 then lag(key) over w end as l, case when abs(lead(ord) over w - ord) <= 1 then lead(key) over w end as r from t window w as (partition by {partition} order by {order})), x as (select l as key, 1 as b, 0 as a from s where key = 'with' union all select r, 0, 1 from s where key = 'with') select key, sum(b)::bigint as before, sum(a)::bigint as after, count(*) as total from x where key is not null and key <> 'with' group by 1"
+    return f"{TOK}, s as (select key, case when abs(lag(ord) over w - ord) <= 1 then lag(key) over w end as l, case when abs(lead(ord) over w - ord) <= 1 then lead(key) over w end as r from t window w as (partition by {partition} order by {order})), x as (select l as key, 1 as b, 0 as a from s where key = 'with' union all select r, 0, 1 from s where key = 'with') select key, sum(b)::bigint as before, sum(a)::bigint as after, count(*) as total from x where key is not null and key <> 'with' group by 1"
 
 
 @query("as08_neighbours", _neighbours("grp, pid", "pos"))
 def as08(spark, folder):
-    return assoc.neighbours(_tokens(spark, folder), "with")
+    return assoc.neighbours(chat_tokens(spark, folder), "with")
 
 
 @query("as08_neighbours_across", _neighbours("grp", "ord, pos"))
 def as08_across(spark, folder):
-    return assoc.neighbours(_tokens(spark, folder), "with", across=True)
+    return assoc.neighbours(chat_tokens(spark, folder), "with", across=True)
 
 
-@query("as09_compare", f"{_TOK}, k0 as (select distinct key, pid from t where key not in ({_STOP})), c as (select k0.key, count(*) filter (where k0.key <> 'with' and pid in (select pid from t where key = 'with')) as count_one, count(*) filter (where k0.key <> 'from' and pid in (select pid from t where key = 'from')) as count_two from k0 group by 1) select key, count_one, count_two, case when count_one > 0 and count_two > 0 then 'shared' when count_one > 0 then 'one' else 'two' end as side from c where count_one > 0 or count_two > 0")
+@query("as09_compare", f"{TOK}, k0 as (select distinct key, pid from t where key not in ({STOP})), c as (select k0.key, count(*) filter (where k0.key <> 'with' and pid in (select pid from t where key = 'with')) as count_one, count(*) filter (where k0.key <> 'from' and pid in (select pid from t where key = 'from')) as count_two from k0 group by 1) select key, count_one, count_two, case when count_one > 0 and count_two > 0 then 'shared' when count_one > 0 then 'one' else 'two' end as side from c where count_one > 0 or count_two > 0")
 def as09(spark, folder):
-    return assoc.compare(_tokens(spark, folder), "with", "from", stops=tk.STOP)
+    return assoc.compare(chat_tokens(spark, folder), "with", "from", stops=tk.STOP)
 
 
-_KEYNESS = f"{_TOK}, r as (select distinct root as key, pid, grp from t where root is not null and key not in ({_STOP})), d as (select key, count(*) as df from r group by 1), z as (select grp, count(distinct pid) as size from t group by 1), o as (select grp, key, count(*) as count from r group by 1, 2 having count(*) >= 2), x as (select o.grp, o.key, o.count as k, z.size as a, d.df as b, (select count(distinct pid) from t) as n from o join d using (key) join z using (grp)), kn as (select grp, key, k as count, b as df, {_g2('k', 'a', 'b', 'n')} as ll from x where {_g2('k', 'a', 'b', 'n')} > 0)"
+_KEYNESS = f"{TOK}, r as (select distinct root as key, pid, grp from t where root is not null and key not in ({STOP})), d as (select key, count(*) as df from r group by 1), z as (select grp, count(distinct pid) as size from t group by 1), o as (select grp, key, count(*) as count from r group by 1, 2 having count(*) >= 2), x as (select o.grp, o.key, o.count as k, z.size as a, d.df as b, (select count(distinct pid) from t) as n from o join d using (key) join z using (grp)), kn as (select grp, key, k as count, b as df, {_g2('k', 'a', 'b', 'n')} as ll from x where {_g2('k', 'a', 'b', 'n')} > 0)"
 
 
 @query("as10_keyness", f"{_KEYNESS} select grp, key, count, df, round(ll, 5) as ll from kn")
 def as10(spark, folder):
-    return _rounded(assoc.keyness(_tokens(spark, folder), stops=tk.STOP), "ll")
+    return rounded(assoc.keyness(chat_tokens(spark, folder), stops=tk.STOP), "ll")
 
 
 @query("as11_top_keys", f"{_KEYNESS} select grp, key, count, df, round(ll, 5) as ll, rank from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn) where rank <= 25")
 def as11(spark, folder):
-    return _rounded(assoc.top_keys(assoc.keyness(_tokens(spark, folder), stops=tk.STOP)), "ll")
+    return rounded(assoc.top_keys(assoc.keyness(chat_tokens(spark, folder), stops=tk.STOP)), "ll")
 
 
 # --- similarity and sequences ---------------------------------------------------------------------------------------------
 
 
-@query("sm01_similar", f"{_TOK}, {_ROOTS}, c as (select key, w as cw from w where pid = '0:0'), m as (select pid, coalesce(nullif(sqrt(sum(w * w)), 0), 1) as mag from w group by 1), s as (select w.pid, w.grp, w.ord, count(*) as shared, sum(w * cw) as dot from w join c using (key) where w.pid <> '0:0' group by 1, 2, 3), z as (select s.*, dot / (m.mag * (select mag from m where pid = '0:0')) as score from s join m using (pid)) select pid, shared, round(score, 5) as score from z order by round(score, 9) desc, grp, ord limit 10")
+@query("sm01_similar", f"{TOK}, {ROOTS}, c as (select key, w as cw from w where pid = '0:0'), m as (select pid, coalesce(nullif(sqrt(sum(w * w)), 0), 1) as mag from w group by 1), s as (select w.pid, w.grp, w.ord, count(*) as shared, sum(w * cw) as dot from w join c using (key) where w.pid <> '0:0' group by 1, 2, 3), z as (select s.*, dot / (m.mag * (select mag from m where pid = '0:0')) as score from s join m using (pid)) select pid, shared, round(score, 5) as score from z order by round(score, 9) desc, grp, ord limit 10")
 def sm01(spark, folder):
-    return _rounded(similarity.similar(_tokens(spark, folder), "0:0"), "score")
+    return rounded(similarity.similar(chat_tokens(spark, folder), "0:0"), "score")
 
 
-_COSINE = f"{_TOK}, {_ROOTS}, m as (select pid, sum(w * w) as m from w group by 1), d as (select a.grp, a.pid as pa, b.pid as pb, a.ord as a, b.ord as b, count(*) as shared, sum(a.w * b.w) as dot from w a join w b on a.grp = b.grp and a.key = b.key and a.ord < b.ord group by 1, 2, 3, 4, 5), c as (select d.grp, d.a, d.b, d.shared, coalesce(d.dot / nullif(sqrt(x.m * y.m), 0), 0) as score from d join m x on x.pid = pa join m y on y.pid = pb)"
+_COSINE = f"{TOK}, {ROOTS}, m as (select pid, sum(w * w) as m from w group by 1), d as (select a.grp, a.pid as pa, b.pid as pb, a.ord as a, b.ord as b, count(*) as shared, sum(a.w * b.w) as dot from w a join w b on a.grp = b.grp and a.key = b.key and a.ord < b.ord group by 1, 2, 3, 4, 5), c as (select d.grp, d.a, d.b, d.shared, coalesce(d.dot / nullif(sqrt(x.m * y.m), 0), 0) as score from d join m x on x.pid = pa join m y on y.pid = pb)"
 
 
 @query("sm02_cohesion", f"{_COSINE}, f as (select distinct x.grp, x.ord as a from t x join t y on x.grp = y.grp and y.ord = x.ord + 1) select f.grp, f.a, coalesce(c.shared, 0) as shared, round(coalesce(c.score, 0), 5) as score from f left join c on c.grp = f.grp and c.a = f.a and c.b = f.a + 1")
 def sm02(spark, folder):
-    return _rounded(similarity.cohesion(_tokens(spark, folder)), "score")
+    return rounded(similarity.cohesion(chat_tokens(spark, folder)), "score")
 
 
 @query("sm03_echoes", f"{_COSINE} select grp, a, b, shared, round(score, 5) as score, rank from (select *, row_number() over (partition by grp order by round(score, 9) desc, a, b) as rank from c where b - a >= 2 and score > 0) where rank <= 40")
 def sm03(spark, folder):
-    return _rounded(similarity.echoes(_tokens(spark, folder)), "score")
+    return rounded(similarity.echoes(chat_tokens(spark, folder)), "score")
 
 
-@query("sm04_shared_roots", f"{_TOK} select root as key from t where pid = '0:0' and root is not null intersect select root from t where pid = '0:1' and root is not null")
+@query("sm04_shared_roots", f"{TOK} select root as key from t where pid = '0:0' and root is not null intersect select root from t where pid = '0:1' and root is not null")
 def sm04(spark, folder):
-    return similarity.shared_roots(_tokens(spark, folder), "0:0", "0:1")
+    return similarity.shared_roots(chat_tokens(spark, folder), "0:0", "0:1")
 
 
-_PPMI = f"{_TOK}, {_ROOTS}, d as (select key, count(*) as df from rp group by 1 having count(*) >= 3 and count(*) <= 0.25 * (select n from n)), kp as (select rp.key, pid, df from rp join d using (key)), u as (select count(distinct pid) as n from kp), v as (select a.key, b.key as other, count(*) as k, a.df, b.df as other_df, log2(count(*)::double * (select n from u) / (a.df::double * b.df)) as w from kp a join kp b using (pid) where a.key <> b.key group by 1, 2, a.df, b.df), pv as (select * from v where w > 0), nm as (select key, sqrt(sum(w * w)) as norm from pv group by 1)"
+_PPMI = f"{TOK}, {ROOTS}, d as (select key, count(*) as df from rp group by 1 having count(*) >= 3 and count(*) <= 0.25 * (select n from n)), kp as (select rp.key, pid, df from rp join d using (key)), u as (select count(distinct pid) as n from kp), v as (select a.key, b.key as other, count(*) as k, a.df, b.df as other_df, log2(count(*)::double * (select n from u) / (a.df::double * b.df)) as w from kp a join kp b using (pid) where a.key <> b.key group by 1, 2, a.df, b.df), pv as (select * from v where w > 0), nm as (select key, sqrt(sum(w * w)) as norm from pv group by 1)"
 
 
 @query("sm05_nearest_keys", f"{_PPMI}, dt as (select x.key, y.key as near, sum(x.w * y.w) as dot from pv x join pv y using (other) where x.key <> y.key group by 1, 2), sm as (select dt.key, dt.near, dot / (a.norm * b.norm) as sim from dt join nm a on a.key = dt.key join nm b on b.key = dt.near), rk as (select *, row_number() over (partition by key order by round(sim, 9) desc, near) as rank from sm where sim >= 0.08) select rk.key, rk.near, rank, round(sim, 4) as sim, case when coalesce(pv.k::double / least(pv.df, pv.other_df), 0) >= 0.25 then 'syntagmatic' else 'paradigmatic' end as kind from rk left join pv on pv.key = rk.key and pv.other = rk.near where rank <= 12")
 def sm05(spark, folder):
-    return _rounded(similarity.nearest_keys(similarity.ppmi(_tokens(spark, folder))), "sim", digits=4)
+    return rounded(similarity.nearest_keys(similarity.ppmi(chat_tokens(spark, folder))), "sim", digits=4)
 
 
 @query("sm06_relatedness", f"{_PPMI}, g as (select * from (values ('wth', 'frm'), ('fr', 'wth'), ('zzz', 'th')) v(a, b)), gd as (select g.a, g.b, sum(x.w * y.w) as dot from g join pv x on x.key = g.a join pv y on y.key = g.b and y.other = x.other group by 1, 2) select g.a, g.b, round(coalesce(gd.dot / (m.norm * n2.norm), 0), 5) as score from g left join gd using (a, b) left join nm m on m.key = g.a left join nm n2 on n2.key = g.b")
 def sm06(spark, folder):
     pairs = [("wth", "frm"), ("fr", "wth"), ("zzz", "th")]
-    vectors = similarity.ppmi(_tokens(spark, folder), only=sorted({k for p in pairs for k in p}))
-    return _rounded(similarity.relatedness(vectors, spark.createDataFrame(pairs, "a string, b string")), "score")
+    vectors = similarity.ppmi(chat_tokens(spark, folder), only=sorted({k for p in pairs for k in p}))
+    return rounded(similarity.relatedness(vectors, spark.createDataFrame(pairs, "a string, b string")), "score")
 
 
 @query("ag24_compare_keys", f"{_KEYNESS}, r2 as (select * from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn where grp in (1, 2)) where rank <= 24) select key, case when count(distinct grp) = 2 then 'both' when min(grp) = 1 then 'one' else 'two' end as side from r2 group by 1")
 def ag24(spark, folder):
-    return assoc.compare_keys(assoc.keyness(_tokens(spark, folder), stops=tk.STOP), 1, 2)
+    return assoc.compare_keys(assoc.keyness(chat_tokens(spark, folder), stops=tk.STOP), 1, 2)
 
 
-@query("sm07_shared_phrases", f"""{_TOK}, c as (select pid as centre, ws from p where pid in ('3:3', '40:1')), o as (select pid, ' ' || array_to_string(ws, ' ') || ' ' as line from p),
+@query("sm07_shared_phrases", f"""{TOK}, c as (select pid as centre, ws from p where pid in ('3:3', '40:1')), o as (select pid, ' ' || array_to_string(ws, ' ') || ' ' as line from p),
 ph as (select distinct centre, array_to_string(ws[i : i + l - 1], ' ') as phrase, l as n_words from c, unnest(range(1, len(ws) - 1)) x(i), unnest(range(3, len(ws) + 1)) y(l) where i + l - 1 <= len(ws)),
 s as (select centre, phrase, n_words::int as n_words, count(*) as others from ph join o on o.pid <> centre and contains(o.line, ' ' || phrase || ' ') group by 1, 2, 3)
 select * from s where not exists (select 1 from s x where x.centre = s.centre and x.n_words > s.n_words and x.others >= s.others and contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' '))""")
 def sm07(spark, folder):
-    t = _tokens(spark, folder)
+    t = chat_tokens(spark, folder)
     one, two = (similarity.shared_phrases(t, pid).select(F.lit(pid).alias("centre"), "phrase", "n_words", "others") for pid in ("3:3", "40:1"))
     return one.unionByName(two)
 
@@ -361,27 +326,27 @@ def sm08_equal(spark, folder):
     return similarity.equal_passages(tk.tokens(documents(spark, folder)))
 
 
-@query("sm10_bonds", f"{_TOK}, {_KEY_DF} select grp, key, count(*) as passages, min(ord) as first, max(ord) as last from post join df using (key) where df <= 3 group by 1, 2 having count(*) >= 2 and max(ord) - min(ord) >= 2")
+@query("sm10_bonds", f"{TOK}, {KEY_DF} select grp, key, count(*) as passages, min(ord) as first, max(ord) as last from post join df using (key) where df <= 3 group by 1, 2 having count(*) >= 2 and max(ord) - min(ord) >= 2")
 def sm10(spark, folder):
-    return similarity.bonds(_tokens(spark, folder))
+    return similarity.bonds(chat_tokens(spark, folder))
 
 
-@query("sm11_phrase_bonds", f"{_TOK}, g as (select grp, pid, ord, concat_ws(' ', key, lead(key, 1) over w, lead(key, 2) over w) as gram, lead(key, 2) over w as l from t window w as (partition by pid order by pos)), d as (select distinct gram, grp, pid, ord from g where l is not null) select min(grp) as grp, gram, count(*) as passages, min(ord) as first, max(ord) as last from d group by gram having min(grp) = max(grp) and count(*) between 2 and 3 and max(ord) - min(ord) >= 2")
+@query("sm11_phrase_bonds", f"{TOK}, g as (select grp, pid, ord, concat_ws(' ', key, lead(key, 1) over w, lead(key, 2) over w) as gram, lead(key, 2) over w as l from t window w as (partition by pid order by pos)), d as (select distinct gram, grp, pid, ord from g where l is not null) select min(grp) as grp, gram, count(*) as passages, min(ord) as first, max(ord) as last from d group by gram having min(grp) = max(grp) and count(*) between 2 and 3 and max(ord) - min(ord) >= 2")
 def sm11(spark, folder):
-    return similarity.phrase_bonds(_tokens(spark, folder))
+    return similarity.phrase_bonds(chat_tokens(spark, folder))
 
 
-_ENDS = f"{_TOK}, e as (select pid, grp, ord, right(arg_max(key, pos), 2) as ending from t group by 1, 2, 3)"
+_ENDS = f"{TOK}, e as (select pid, grp, ord, right(arg_max(key, pos), 2) as ending from t group by 1, 2, 3)"
 
 
 @query("sm12_ending_scheme", f"{_ENDS}, c as (select grp, ending, count(*) as n from e group by 1, 2) select *, rank = 1 as dominant from (select *, row_number() over (partition by grp order by n desc, ending) as rank from c)")
 def sm12(spark, folder):
-    return similarity.ending_scheme(similarity.endings(_tokens(spark, folder)))
+    return similarity.ending_scheme(similarity.endings(chat_tokens(spark, folder)))
 
 
 @query("sm13_ending_mates", f"{_ENDS} select pid, grp, ord, ending from e where ending = (select ending from e where pid = '0:0') and pid <> '0:0'")
 def sm13(spark, folder):
-    return similarity.ending_mates(similarity.endings(_tokens(spark, folder)), "0:0")
+    return similarity.ending_mates(similarity.endings(chat_tokens(spark, folder)), "0:0")
 
 
 def _region(ending: Column) -> Column:
@@ -395,21 +360,21 @@ _REGION = "case when right({0}, 1) in ('a','e','i','o','u','y') then 0 when righ
 
 @query("sm14_ending_runs", f"{_ENDS}, l as (select *, lag(ending) over (partition by grp order by ord) as last, row_number() over (partition by grp order by ord) as i from e), k as (select *, case when i = 1 then null when ending = last then 'same' when {_REGION.format('ending')} = {_REGION.format('last')} then 'near' else 'other' end as kind, sum(case when ending = last then 0 else 1 end) over (partition by grp order by ord) as island from l), s as (select grp, island, count(*) as run, count(*) filter (where kind = 'same') as same, count(*) filter (where kind = 'near') as near, count(*) filter (where kind = 'other') as other from k group by 1, 2) select grp, sum(run)::bigint as passages, max(run) as longest_run, sum(same)::bigint as same, sum(near)::bigint as near, sum(other)::bigint as other from s group by 1")
 def sm14(spark, folder):
-    return similarity.ending_runs(similarity.endings(_tokens(spark, folder)), _region)
+    return similarity.ending_runs(similarity.endings(chat_tokens(spark, folder)), _region)
 
 
-@query("sm18_kin", f"{_TOK}, r as (select distinct root as key from t where root is not null and root <> 'tns' and length(root) between 2 and 4), o as (select key, (least(1, length(key) - length(replace(key, 't', ''))) + least(1, length(key) - length(replace(key, 'n', ''))) + least(1, length(key) - length(replace(key, 's', ''))))::int as shared, list_sort(string_split(key, '')) = ['n', 's', 't'] as anagram from r) select * from o where anagram or shared >= 2")
+@query("sm18_kin", f"{TOK}, r as (select distinct root as key from t where root is not null and root <> 'tns' and length(root) between 2 and 4), o as (select key, (least(1, length(key) - length(replace(key, 't', ''))) + least(1, length(key) - length(replace(key, 'n', ''))) + least(1, length(key) - length(replace(key, 's', ''))))::int as shared, list_sort(string_split(key, '')) = ['n', 's', 't'] as anagram from r) select * from o where anagram or shared >= 2")
 def sm18(spark, folder):
-    return similarity.kin(_tokens(spark, folder).where("root is not null").select(F.col("root").alias("key")).distinct(), "tns")
+    return similarity.kin(chat_tokens(spark, folder).where("root is not null").select(F.col("root").alias("key")).distinct(), "tns")
 
 
 @query("sm19_seams")
 def sm19(spark, folder):
-    t = _tokens(spark, folder)
+    t = chat_tokens(spark, folder)
     return similarity.seams(t, assoc.top_keys(assoc.keyness(t, stops=tk.STOP)))
 
 
-@query("sm21_antithesis", f"""{_TOK}, per as (select grp, pid, ord, list(key order by pos) as ks, list(root order by pos) as rs from t group by 1, 2, 3),
+@query("sm21_antithesis", f"""{TOK}, per as (select grp, pid, ord, list(key order by pos) as ks, list(root order by pos) as rs from t group by 1, 2, 3),
 m as (select *, lead(ks) over w as ks2, lead(rs) over w as rs2 from per window w as (partition by grp order by ord)),
 u as (select pid, 1 as j, ks, rs from m union all select pid, 2, list_concat(ks, ks2), list_concat(rs, rs2) from m where ks2 is not null),
 c as (select *, list_position(list_transform(ks, lambda k: k in ('and', 'but')), true) as cut from u),
@@ -419,32 +384,27 @@ x as (select pid, j, l[i] as a, r[i] as b from g, unnest(range(1, 41)) y(i) wher
 d as (select distinct pid, j, least(a, b) as a, greatest(a, b) as b from x where a <> b)
 select a, b, count(*) as frames, count(distinct pid) as passages from d group by 1, 2""")
 def sm21(spark, folder):
-    return morphology.antithesis_frames(_tokens(spark, folder), ("of", "with"), ("and", "but"), most=40)
+    return morphology.antithesis_frames(chat_tokens(spark, folder), ("of", "with"), ("and", "but"), most=40)
 
 
 # --- search ---------------------------------------------------------------------------------------------------------------
 
 
-@query("sr05_resolve", f"{_TOK}, {_KEY_DF}, c as (select key, case when key = 'erth' then 3 when starts_with(key, 'erth') then 2 when contains(key, 'erth') then 1 end as tier, df from df) select key, tier, 0 as dist, df from c where tier is not null order by tier desc, df desc, key limit 12")
+@query("sr05_resolve", f"{TOK}, {KEY_DF}, c as (select key, case when key = 'erth' then 3 when starts_with(key, 'erth') then 2 when contains(key, 'erth') then 1 end as tier, df from df) select key, tier, 0 as dist, df from c where tier is not null order by tier desc, df desc, key limit 12")
 def sr05(spark, folder):
-    df = tk.document_frequency(_tokens(spark, folder))
+    df = tk.document_frequency(chat_tokens(spark, folder))
     return search.resolve(df.select(F.col("key").alias("alias"), "key"), "erth", df, stems=False)
 
 
-@query("sr05_resolve_fuzzy", f"{_TOK}, {_KEY_DF}, c as (select key, case when key = 'thqe' then 3 when starts_with(key, 'thqe') then 2 when contains(key, 'thqe') then 1 end as tier, levenshtein(key, 'thqe') as d, df from df) select key, coalesce(tier, 0) as tier, case when tier is null then d else 0 end::int as dist, df from c where tier is not null or (d <= 1 and (select max(tier) from c) is null) order by 2 desc, 3, df desc, key limit 12")
+@query("sr05_resolve_fuzzy", f"{TOK}, {KEY_DF}, c as (select key, case when key = 'thqe' then 3 when starts_with(key, 'thqe') then 2 when contains(key, 'thqe') then 1 end as tier, levenshtein(key, 'thqe') as d, df from df) select key, coalesce(tier, 0) as tier, case when tier is null then d else 0 end::int as dist, df from c where tier is not null or (d <= 1 and (select max(tier) from c) is null) order by 2 desc, 3, df desc, key limit 12")
 def sr05_fuzzy(spark, folder):
-    df = tk.document_frequency(_tokens(spark, folder))
+    df = tk.document_frequency(chat_tokens(spark, folder))
     return search.resolve(df.select(F.col("key").alias("alias"), "key"), "thqe", df, stems=False)
 
 
-@query("sr06_resolve_phrase", f"{_TOK} select pid, grp, ord, bool_or(key in ('of', 'in') and nxt = 'the') as adjacent from (select *, lead(key) over (partition by pid order by pos) as nxt from t) group by 1, 2, 3 having count(*) filter (where key in ('of', 'in')) > 0 and count(*) filter (where key = 'the') > 0")
+@query("sr06_resolve_phrase", f"{TOK} select pid, grp, ord, bool_or(key in ('of', 'in') and nxt = 'the') as adjacent from (select *, lead(key) over (partition by pid order by pos) as nxt from t) group by 1, 2, 3 having count(*) filter (where key in ('of', 'in')) > 0 and count(*) filter (where key = 'the') > 0")
 def sr06(spark, folder):
-    return search.resolve_phrase(_tokens(spark, folder), [["of", "in"], ["the"]])
-
-
-@query("sr08_full_text")
-def sr08(spark, folder):
-    return sinks.flat(search.full_text(search.content_index(_tokens(spark, folder), False), [["of"], ["the"], ["that"]]))
+    return search.resolve_phrase(chat_tokens(spark, folder), [["of", "in"], ["the"]])
 
 
 @query("sr12_locate", """
@@ -458,9 +418,9 @@ def sr12(spark, folder):
     return search.locate(tk.tokens(documents(spark, folder)), quotes)
 
 
-@query("sr13_phrase", f"{_TOK} select pid, grp, ord, pos as start from (select *, lead(key, 1) over w as k1, lead(key, 2) over w as k2 from t window w as (partition by pid order by pos)) where key = 'of' and k1 = 'the' and k2 = 'and' or key = 'of' and k1 = 'the' and k2 = 'and'")
+@query("sr13_phrase", f"{TOK} select pid, grp, ord, pos as start from (select *, lead(key, 1) over w as k1, lead(key, 2) over w as k2 from t window w as (partition by pid order by pos)) where key = 'of' and k1 = 'the' and k2 = 'and' or key = 'of' and k1 = 'the' and k2 = 'and'")
 def sr13(spark, folder):
-    return search.phrase(_tokens(spark, folder), ["of", "the", "and"])
+    return search.phrase(chat_tokens(spark, folder), ["of", "the", "and"])
 
 
 # --- graph and time -------------------------------------------------------------------------------------------------------
@@ -468,12 +428,12 @@ def sr13(spark, folder):
 
 @query("gr01_graph_nodes")
 def gr01(spark, folder):
-    return graph.expand(_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[0]
+    return graph.expand(chat_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[0]
 
 
 @query("gr01_graph_links")
 def gr01_links(spark, folder):
-    return graph.expand(_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[1]
+    return graph.expand(chat_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[1]
 
 
 @query("gr02_descendants", "with recursive below as (select r_name as source, n_name as target from nation join region on r_regionkey = n_regionkey), x(id, depth) as (select target, 1 from below where source = (select min(r_name) from region) union all select b.target, x.depth + 1 from below b join x on b.source = x.id) select id, min(depth) as depth from x group by 1")
@@ -500,5 +460,4 @@ def docs_dense(spark, folder):
     return dense(documents(spark, folder)).select("pid", "grp", "ord")
 
 
-QUERIES |= annotated.QUERIES
-ORACLE |= annotated.ORACLE
+from corpuslens.plans import search_plans  # noqa: E402, F401  registers its queries

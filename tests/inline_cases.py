@@ -1,8 +1,5 @@
-"""The registered queries of operators on annotated tokens, Arabic keys, orthography and dictionaries.
-
-No annotated corpus comes with the tables, so these run over small corpora written here, and their SQL states the rows that
-follow from the operators' definitions.
-"""
+"""Operators on annotated tokens, Arabic keys, orthography and dictionaries, over small corpora written here, with the rows
+that follow from the operators' definitions."""
 
 from __future__ import annotations
 
@@ -16,29 +13,16 @@ from corpuslens.operators import counts, dossiers, expressions, graph, lexicon,
 from corpuslens.operators import tokens as tk
 from corpuslens.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+#: By name: what makes the rows, the columns, and the rows.
+CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], list[str], list[tuple]]] = {}
 
 M = "struct<pos:string,vf:int,aspect:string,voice:string,mood:string,person:int,gender:string,number:string,gcase:string,lemma:string,root:string>"
 TOKENS = f"pid string, grp long, ord long, pos int, orig string, norm string, key string, lemma string, root string, m {M}"
 
 
-def _literal(v) -> str:
-    if v is None:
-        return "null"
-    return str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-
-
 def inline(name: str, columns: str, rows: list[tuple]) -> Callable[[Callable[[SparkSession], DataFrame]], None]:
-    """Registers a query over a corpus written here, and SQL that states its rows."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    casts = ", ".join(f'"{c}"::{kind} as "{c}"' for c, kind in (c.split() for c in columns.split(", ")))
-    quoted = ", ".join(f'"{c}"' for c in names)
-
     def add(f: Callable[[SparkSession], DataFrame]) -> None:
-        QUERIES[name] = lambda spark, folder: f(spark).select(*names)
-        ORACLE[name] = f"select {casts} from (values {values}) v({quoted})"
+        CASES[name] = f, [c.split()[0] for c in columns.split(", ")], rows
 
     return add
 
