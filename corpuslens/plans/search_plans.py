@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens.operators import inverted, search
+from corpuslens.operators import inverted, lookup, search
+from corpuslens.operators import tokens as tk
 from corpuslens.operators.tokens import words_of
-from corpuslens.plans.registry import TOK, WORDS, chat_tokens, query
+from corpuslens.plans.registry import KEY_DF, TOK, WORDS, chat_tokens, query
 from corpuslens.sources import sinks
 from corpuslens.sources.stored import shared_path
-from corpuslens.sources.tables import chat, documents
+from corpuslens.sources.tables import chat, documents, table
 
 #: Words of the longest query below.
 _MOST = 5
@@ -71,3 +72,38 @@ def sr08_many(spark, folder):
 @query("sr08_full_text", "with " + TOK.strip() + ", " + _full_text_sql("select '' as qid, ['of', 'the', 'that'] as ws", "select pid, grp, ord, key, pos from t", 200).replace("select qid, pid, matched, run, ordered, score, positions, rank::int as rank", "select pid, grp, ord, matched, run, ordered, positions, score"))
 def sr08(spark, folder):
     return sinks.flat(search.full_text(search.content_index(chat_tokens(spark, folder), False), [["of"], ["the"], ["that"]]))
+
+
+# --- forgiving lookup ------------------------------------------------------------------------------------------------------
+
+#: DuckDB's edit distance counts bytes: letters of two bytes are changed for capitals, which no word has.
+_EDITS = "levenshtein(translate(key, 'äöüßéèêàâçñáíóúîôûëï', 'ABCDEFGHIJKLMNOPQRST'), translate(qid, 'äöüßéèêàâçñáíóúîôûëï', 'ABCDEFGHIJKLMNOPQRST'))"
+_ITEM_WORDS = f"qs as (select distinct unnest({WORDS.format('text')}) as qid from benchmark)"
+
+
+def _item_words(spark, folder):
+    return table(spark, folder, "benchmark").select(F.explode(words_of(F.col("text"))).alias("qid")).distinct()
+
+
+@query("sr05_resolve_many", f"""{TOK}, {KEY_DF}, {_ITEM_WORDS},
+m as (select qid, key, case when key = qid then 3 when starts_with(key, qid) then 2 else 1 end as tier, 0 as dist, df from qs join df on starts_with(key, qid) or length(qid) >= 3 and contains(key, qid)),
+z as (select qid, key, 0 as tier, {_EDITS} as dist, df from qs join df on abs(length(key) - length(qid)) <= 2 where qid not in (select qid from m)),
+u as (select * from m union all select * from z where dist <= case when length(qid) <= 4 then 1 else 2 end)
+select qid, key, tier, dist::int as dist, df, rank::int as rank from (select *, row_number() over (partition by qid order by tier desc, dist, df desc, key) as rank from u) where rank <= 12""")
+def sr05_many(spark, folder):
+    """Every word of the benchmark among the words of the conversations."""
+    path = shared_path(spark, "forms")
+    known = tk.document_frequency(chat_tokens(spark, folder))
+    lookup.write_forms(known.select(F.col("key").alias("alias"), "key"), path)
+    return lookup.resolve_terms(spark, path, _item_words(spark, folder).select("qid", F.array("qid").alias("variants")), known)
+
+
+@query("sf26_name_hints", f"""{TOK}, {_ITEM_WORDS}, na as (select distinct key from t),
+m as (select qid, key, case when contains(key, qid) or starts_with(qid, key) then 0 else {_EDITS} end as dist from qs join na on contains(key, qid) or starts_with(qid, key) or abs(length(key) - length(qid)) <= 2)
+select qid, key, dist::int as dist, rank::int as rank from (select *, row_number() over (partition by qid order by dist, key) as rank from m where dist <= 2) where rank <= 5""")
+def sf26_hints(spark, folder):
+    """The words of the conversations that are nearest to each word of the benchmark, taken as names."""
+    path = shared_path(spark, "names")
+    names = chat_tokens(spark, folder).select("key").distinct()
+    lookup.write_forms(names.select(F.col("key").alias("alias"), "key"), path)
+    return lookup.near_names(spark, path, _item_words(spark, folder).select("qid", F.col("qid").alias("name")))
