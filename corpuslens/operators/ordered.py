@@ -42,3 +42,18 @@ def numbered(df: DataFrame, order: list[Column], name: str, within: str | None =
     else:  # one row for each part
         joined = placed.join(F.broadcast(carried), F.col("__part") == F.col("__of__part"))
     return joined.select(*df.columns, (F.col("__before") + F.col("__row")).alias(name))
+
+
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str, within: str | None = None, parts: int | None = None) -> DataFrame:
+    """df with ``name``: the sum of ``value`` over all earlier rows (with ``within``, those of the same value of it). In two passes, as in numbered."""
+    key = [F.col(within)] if within else []
+    placed = parts_in_order(df, [*key, *order], parts)
+    group = ["__part", *([within] if within else [])]
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*group).orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = placed.groupBy(*group).agg(F.sum(value).alias("__n"))
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(c).alias(f"__of{c}") for c in group], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__of__part")
+    if within:
+        same = same & F.col(within).eqNullSafe(F.col(f"__of{within}"))
+    return placed.withColumn("__own", own).join(carried, same).select(*df.columns, (F.col("__before") + F.col("__own")).alias(name))

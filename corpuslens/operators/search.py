@@ -141,24 +141,6 @@ def resolve_phrase(tokens: DataFrame, forms: list[list[str]]) -> DataFrame:
     return found.select("pid", "grp", "ord", adjacent.alias("adjacent"))
 
 
-def locate(tokens: DataFrame, quotes: DataFrame) -> DataFrame:
-    """qid, pid and start of each place where a quotation's words follow one another in a passage, and whether it is the whole passage.
-
-    ``quotes`` is a token table with qid for pid. The join is on the quotation's first two words (one, if it has no more),
-    so only places that begin alike are compared word by word.
-    """
-    w = Window.partitionBy("pid").orderBy("pos")
-    begin = lambda c: F.concat_ws(" ", "key", F.lead("key").over(c))
-    asked = quotes.groupBy(F.col("pid").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("q"))
-    asked = asked.withColumn("seed", F.array_join(F.slice("q", 1, 2), " "))
-    single = asked.where(F.size("q") == 1)
-    places = tokens.select("pid", "grp", "ord", "pos", "key", begin(w).alias("seed"))
-    met = places.join(asked.where(F.size("q") > 1).select("qid", "seed"), "seed").select("pid", "pos", "qid").unionByName(places.join(single.select("qid", F.col("seed").alias("key")), "key").select("pid", "pos", "qid"))
-    texts = tokens.groupBy("pid", "grp", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
-    both = met.join(texts.join(met.select("pid").distinct(), "pid", "left_semi"), "pid").join(asked.select("qid", "q"), "qid")
-    return both.where(F.slice("ws", F.col("pos") + 1, F.size("q")) == F.col("q")).select("qid", "pid", "grp", "ord", F.col("pos").alias("start"), (F.size("ws") == F.size("q")).alias("whole"))
-
-
 def locate_across(tokens: DataFrame, query: list[list[str]]) -> DataFrame:
     """grp, first passage and position of a quotation given by alternative keys for each word, which may run over into the next passages of a group.
 

@@ -407,17 +407,6 @@ def sr06(spark, folder):
     return search.resolve_phrase(chat_tokens(spark, folder), [["of", "in"], ["the"]])
 
 
-@query("sr12_locate", """
-q as (select item_id as qid, list_filter(regexp_split_to_array(lower(text), '""" + tk.NO_WORD + """'), lambda w: length(w) >= 2) as ws from benchmark),
-d as (select doc_id::varchar as pid, source as grp, doc_id as ord, list_filter(regexp_split_to_array(lower(text), '""" + tk.NO_WORD + """'), lambda w: length(w) >= 2) as ws from documents),
-s as (select *, unnest(range(len(ws)))::int as start from d),
-m as (select q.qid, s.pid, s.grp, s.ord, s.start, q.ws as q, s.ws as w from s join q on s.ws[s.start + 1] = q.ws[1] and coalesce(s.ws[s.start + 2], '') = coalesce(q.ws[2], ''))
-select qid, pid, grp, ord, start, len(w) = len(q) as whole from m where w[start + 1 : start + len(q)] = q""")
-def sr12(spark, folder):
-    quotes = tk.tokens(table(spark, folder, "benchmark").select(F.col("item_id").alias("pid"), F.lit(0).alias("grp"), F.lit(0).alias("ord"), "text"))
-    return search.locate(tk.tokens(documents(spark, folder)), quotes)
-
-
 @query("sr13_phrase", f"{TOK} select pid, grp, ord, pos as start from (select *, lead(key, 1) over w as k1, lead(key, 2) over w as k2 from t window w as (partition by pid order by pos)) where key = 'of' and k1 = 'the' and k2 = 'and' or key = 'of' and k1 = 'the' and k2 = 'and'")
 def sr13(spark, folder):
     return search.phrase(chat_tokens(spark, folder), ["of", "the", "and"])

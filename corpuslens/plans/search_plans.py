@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpuslens.operators import inverted, lookup, search
+from corpuslens.operators import inverted, lookup, quotes, search
 from corpuslens.operators import tokens as tk
 from corpuslens.operators.tokens import words_of
 from corpuslens.plans.registry import KEY_DF, TOK, WORDS, chat_tokens, query
@@ -107,3 +108,43 @@ def sf26_hints(spark, folder):
     names = chat_tokens(spark, folder).select("key").distinct()
     lookup.write_forms(names.select(F.col("key").alias("alias"), "key"), path)
     return lookup.near_names(spark, path, _item_words(spark, folder).select("qid", F.col("qid").alias("name")))
+
+
+# --- quotations ------------------------------------------------------------------------------------------------------------
+
+
+def _items_in_documents(spark, folder, joined: bool):
+    """Places of the benchmark's items in the documents, a source being one text."""
+    alone = lambda w: F.array(w)
+    text = quotes.running_text(documents(spark, folder), F.transform(words_of(F.col("text")), alone))
+    asked = quotes.quotations(table(spark, folder, "benchmark").withColumnRenamed("item_id", "qid"), words_of(F.col("text")), alone)
+    if not joined:
+        asked = asked.withColumn("joined", F.transform("words", lambda w: F.array().cast("array<string>")))
+    return quotes.locate_quotations(text, asked)
+
+
+@query("sr12_quotations", f"""with recursive q as (select item_id as qid, {WORDS.format('text')} as ws from benchmark),
+t as (select source as grp, doc_id as ord, key, pos, n, row_number() over (partition by source order by doc_id, pos) - 1 as wno from (select *, unnest(ws) as key, unnest(range(len(ws))) as pos, len(ws) as n from (select *, {WORDS.format('text')} as ws from documents))),
+m(qid, grp, place, wno, j) as (
+  select qid, grp, wno, wno, case when key = ws[1] then 1 else 2 end from t join q on key = ws[1] or key = ws[1] || ws[2]
+  union all
+  select m.qid, m.grp, m.place, t.wno, case when t.key = q.ws[m.j + 1] then m.j + 1 else m.j + 2 end
+  from m join q using (qid) join t on t.grp is not distinct from m.grp and t.wno = m.wno + 1 where m.j < len(q.ws) and (t.key = q.ws[m.j + 1] or t.key = q.ws[m.j + 1] || q.ws[m.j + 2])),
+f as (select m.* from m join q using (qid) where m.j = len(q.ws))
+select f.qid, t.grp, t.ord, t.ord::varchar as pid, array_to_string(list_sort(list(distinct t.pos)), ' ') as positions, count(distinct t.pos) = any_value(t.n) as whole
+from f join t on t.grp is not distinct from f.grp and t.wno between f.place and f.wno group by 1, 2, 3""")
+def sr12_quotations(spark, folder):
+    """What each benchmark item touches of the documents, over their borders too."""
+    return sinks.flat(quotes.quoted_passages(_items_in_documents(spark, folder, True)))
+
+
+@query("sr12_locate", f"""
+q as (select item_id as qid, {WORDS.format('text')} as ws from benchmark),
+d as (select doc_id::varchar as pid, source as grp, doc_id as ord, {WORDS.format('text')} as ws from documents),
+s as (select *, unnest(range(len(ws)))::int as start from d),
+m as (select q.qid, s.pid, s.grp, s.ord, s.start, q.ws as q, s.ws as w from s join q on s.ws[s.start + 1] = q.ws[1] and coalesce(s.ws[s.start + 2], '') = coalesce(q.ws[2], ''))
+select qid, pid, grp, ord, start, len(w) = len(q) as whole from m where w[start + 1 : start + len(q)] = q""")
+def sr12(spark, folder):
+    """Those that lie within one document, word for word."""
+    places = _items_in_documents(spark, folder, False).withColumn("parts", F.count("*").over(Window.partitionBy("qid", "grp", "place")))
+    return places.where("parts = 1").select("qid", "pid", "grp", "ord", F.col("at").cast("int").alias("start"), (F.col("count") == F.col("words")).alias("whole"))
