@@ -15,13 +15,17 @@ count each, an empty table gives no rows, texts and words of any length are whol
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +35,7 @@ from .shared import materialise, record, slices
 
 SPACE = "▁"
 #: Bytes of text in a batch, and chunks whose tokens a worker remembers from batch to batch.
-BATCH, REMEMBERED = 6 << 20, 300_000
+BATCH, REMEMBERED = 1 << 20, 150_000
 DIGESTS = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
 BATCHES = pa.schema([("batch", pa.int64()), *((n, pa.list_(t)) for n, t in DIGESTS), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("links", pa.binary())])
 _BATCHES_SQL = "batch long, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, pairs array<bigint>, counts array<bigint>, links binary"
@@ -43,22 +47,28 @@ _OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_OF = {chr(b): b for b in _OWN} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 
+#: How a byte-level tokenizer of this kind cuts a text before it merges bytes.
+_CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose kind is the same in every edition of Unicode, in a chunk that doesn't end with white space.
+_SETTLED = re.compile(r"[\x00-\u036f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3]*(?<!\s)")
+
+
 class Ragged:
     """Rows of small numbers, end to end."""
 
-    def __init__(self, rows: list[list[int]]):
-        self.size = np.fromiter(map(len, rows), np.int32, len(rows))
-        self.flat = np.fromiter((x for row in rows for x in row), np.int32, int(self.size.sum()))
+    def __init__(self, size: np.ndarray, flat: np.ndarray):
+        self.size, self.flat = size.astype(np.int32), flat.astype(np.int32)
+
+    @staticmethod
+    def of(rows: list[list[int]]) -> Ragged:
+        size = np.fromiter(map(len, rows), np.int32, len(rows))
+        return Ragged(size, np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum())))
 
     def __add__(self, other: Ragged) -> Ragged:
-        both = Ragged([])
-        both.size, both.flat = np.r_[self.size, other.size], np.r_[self.flat, other.flat]
-        return both
+        return Ragged(np.r_[self.size, other.size], np.r_[self.flat, other.flat])
 
     def head(self, n: int) -> Ragged:
-        first = Ragged([])
-        first.size, first.flat = self.size[:n], self.flat[: int(self.size[:n].sum())]
-        return first
+        return Ragged(self.size[:n], self.flat[: int(self.size[:n].sum())])
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         """The numbers of these rows, end to end."""
@@ -67,45 +77,83 @@ class Ragged:
         first = np.cumsum(self.size, dtype=np.int64) - self.size
         return self.flat[np.repeat(first[rows] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64)
 
+    def spells(self, raw: list[bytes], names: list[bytes]) -> np.ndarray:
+        """Whether the names of each row's numbers are its bytes: all at once, or row by row where they are not."""
+        of = names.__getitem__
+        if b"".join(map(of, self.flat.tolist())) == b"".join(raw):
+            sizes = np.fromiter(map(len, names), np.int64, len(names))[self.flat]
+            ends = np.r_[0, np.cumsum(sizes)][np.cumsum(self.size, dtype=np.int64)]
+            if (ends == np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))).all():
+                return np.ones(len(raw), bool)
+        rows = np.split(self.flat, np.cumsum(self.size)[:-1])
+        return np.fromiter((b"".join(map(of, row.tolist())) == x for row, x in zip(rows, raw, strict=True)), bool, len(raw))
+
 
 class Encoders:
     """Both tokenizers, and the bytes of each of their tokens.
 
     Neither makes a token across a space that follows a character that is no white space, so texts are cut there and each
-    distinct chunk is encoded once in a batch, A with its space, B without, which adds one itself.
+    distinct chunk is encoded once in a batch, A with its space, B without, which adds one itself. Where A merges in order
+    of id and a chunk's characters are settled, many chunks go end to end through a faster library with A's vocabulary.
     """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        names = sorted(self.a.get_vocab().items(), key=lambda x: x[1])
-        if [i for _, i in names] != list(range(len(names))):
+        import tiktoken
+
+        self.path_a, self._slow = path_a, None
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        names = {i: name for name, i in (spec["model"]["vocab"] | special).items()}
+        if sorted(names) != list(range(len(names))):
             raise ValueError(f"{path_a}: ids have gaps")
-        self.bytes_a = [bytes(_BYTE_OF.get(c, 0) for c in name) for name, _ in names]
+        self.bytes_a = [bytes(_BYTE_OF.get(c, 0) for c in names[i]) for i in range(len(names))]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        ids = spec["model"]["vocab"]
+        known = [*_BYTE_OF, *("".join(m) for m in merges)]
+        cuts = spec["pre_tokenizer"]
+        in_order = spec["normalizer"] is None and cuts["type"] == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"] and not spec["model"]["ignore_merges"] and len(known) == len(ids) and all(ids[m] == 256 + i for i, m in enumerate(known[256:]))
+        self.fast = tiktoken.Encoding("a", pat_str=_CUTS, mergeable_ranks={self.bytes_a[i]: i for i in ids.values()}, special_tokens={}) if in_order else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace(SPACE, " ").encode() for i in range(self.b.vocab_size())]
         self.size_a, self.size_b = (np.fromiter(map(len, table), np.int64, len(table)) for table in (self.bytes_a, self.bytes_b))
         self.lone = self.b.piece_to_id(SPACE)
         self.seen: dict[str, int] = {}
-        self.tokens_a, self.tokens_b, self.same = Ragged([]), Ragged([]), np.empty(0, bool)
+        self.tokens_a, self.tokens_b, self.same = Ragged.of([]), Ragged.of([]), np.empty(0, bool)
+
+    def _encode_a(self, chunks: list[str], raw: list[bytes]) -> Ragged:
+        settled = np.fromiter((self.fast is not None and _SETTLED.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        order = np.argsort(~settled, kind="stable")
+        n = int(settled.sum())
+        flat = np.array(self.fast.encode_ordinary("".join(chunks[i] for i in order[:n])) if n else [], np.int32)
+        ends = np.searchsorted(np.cumsum(self.size_a[flat]), np.cumsum([len(raw[i]) for i in order[:n]])) + 1
+        both = Ragged(np.diff(np.r_[0, ends]), flat)
+        if n < len(chunks):
+            if self._slow is None:
+                from tokenizers import Tokenizer
+
+                self._slow = Tokenizer.from_file(self.path_a)
+                self._slow.encode_special_tokens = True
+            both += Ragged.of([e.ids for e in self._slow.encode_batch_fast([chunks[i] for i in order[n:]], add_special_tokens=False)])
+        back = np.argsort(order)
+        return Ragged(both.size[back], both.take(back))
 
     def encode(self, chunks: list[str]) -> tuple[Ragged, Ragged, np.ndarray]:
         """Ids of A and of B of each chunk, and whether both have its bytes."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        same = np.ones(len(chunks), bool)
-        for i, chunk in enumerate(chunks):
-            if chunk == " ":
+        a, b, same = Ragged.of([]), Ragged.of([]), []
+        for lo in range(0, len(chunks), 8192):  # the libraries' own results take much memory
+            part = chunks[lo : lo + 8192]
+            raw = [c.encode() for c in part]
+            ids_b = self.b.encode([c[1:] for c in part], num_threads=1)
+            for i in [i for i, c in enumerate(part) if c == " "]:
                 ids_b[i] = [self.lone]
-            raw = chunk.encode()
-            same[i] = b"".join(map(of_a, ids_a[i])) == raw and b"".join(map(of_b, ids_b[i])) == raw
-        return Ragged(ids_a), Ragged(ids_b), same
+            one, two = self._encode_a(part, raw), Ragged.of(ids_b)
+            same.append(one.spells(raw, self.bytes_a) & two.spells(raw, self.bytes_b))
+            a, b = a + one, b + two
+        return a, b, np.concatenate([np.empty(0, bool), *same])
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, Ragged, Ragged, np.ndarray]:
         """The row of each chunk in the tables of tokens of A, of B and of whether both have its bytes."""
@@ -207,8 +255,23 @@ def encoded_batch(encoders: Encoders, texts: pa.Array) -> Aligned:
     return Aligned(a, encoders.size_a[a], b, encoders.size_b[b], doc_ends)
 
 
+def _coded(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The distinct pairs, commonest first, how often each comes, and each link's place among them, in two bytes if they suffice, packed."""
+    coded = pc.dictionary_encode(pa.array(links))
+    codes, pairs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False)
+    counts = np.bincount(codes, minlength=len(pairs))
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), "<u2" if len(order) <= 1 << 16 else "<u4")
+    place[order] = np.arange(len(order))
+    return pairs[order], counts[order], zstandard.ZstdCompressor(level=1).compress(place[codes].tobytes())
+
+
+def _unpacked(links: bytes, n_pairs: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(links), "<u2" if n_pairs <= 1 << 16 else "<u4")
+
+
 def aligned_batches(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each batch: its documents' numbers and digests, its id pairs (a * 2^32 + b) with counts, and the links' codes."""
+    """A row for each batch: its documents' numbers and digests, its id pairs (a * 2^32 + b) with counts, and the links' packed codes."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders, number = _encoders(path_a, path_b), TaskContext.get().partitionId() << 32
@@ -216,10 +279,8 @@ def aligned_batches(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
             found = encoded_batch(encoders, batch["text"])
             text, ends = found.written()
             digests = [hashlib.sha256(text[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-            coded = pc.dictionary_encode(pa.array(found.link_a << 32 | found.link_b))
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            pairs = coded.dictionary.to_numpy(zero_copy_only=False)
-            row = (number, batch["id"].to_pylist(), found.n_a, found.n_b, found.n_groups, found.n_links, digests, pairs, np.bincount(codes, minlength=len(pairs)), codes.astype("<u4").tobytes())
+            pairs, counts, links = _coded(found.link_a << 32 | found.link_b)
+            row = (number, batch["id"].to_pylist(), found.n_a, found.n_b, found.n_groups, found.n_links, digests, pairs, counts, links)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BATCHES, strict=True)], schema=BATCHES)
             number += 1
 
@@ -237,8 +298,8 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             n_links = batch["n_links"][i].values.to_numpy(zero_copy_only=False)
-            codes = np.frombuffer(batch["links"][i].as_buffer(), "<u4")
-            known = 0 if batch["codes"][i].as_py() is None else len(batch["codes"][i])
+            known = len(batch["codes"][i]) if batch["codes"][i].is_valid else 0
+            codes = _unpacked(batch["links"][i].as_buffer(), known)
             count, best = np.zeros(known, np.int64), np.zeros(known, np.int64)
             if known:
                 at = batch["codes"][i].values.to_numpy(zero_copy_only=False)
