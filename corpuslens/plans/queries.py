@@ -415,16 +415,6 @@ def sr13(spark, folder):
 # --- graph and time -------------------------------------------------------------------------------------------------------
 
 
-@query("gr01_graph_nodes")
-def gr01(spark, folder):
-    return graph.expand(chat_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[0]
-
-
-@query("gr01_graph_links")
-def gr01_links(spark, folder):
-    return graph.expand(chat_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[1]
-
-
 @query("gr02_descendants", "with recursive below as (select r_name as source, n_name as target from nation join region on r_regionkey = n_regionkey), x(id, depth) as (select target, 1 from below where source = (select min(r_name) from region) union all select b.target, x.depth + 1 from below b join x on b.source = x.id) select id, min(depth) as depth from x group by 1")
 def gr02(spark, folder):
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
@@ -449,4 +439,4 @@ def docs_dense(spark, folder):
     return dense(documents(spark, folder)).select("pid", "grp", "ord")
 
 
-from corpuslens.plans import search_plans  # noqa: E402, F401  registers its queries
+from corpuslens.plans import graph_plans, search_plans  # noqa: E402, F401  these register their queries
