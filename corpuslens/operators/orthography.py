@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuslens.functions import arabic
 
+from .ordered import last_before, running_sum
+
 
 def _drawn(tokens: DataFrame) -> DataFrame:
     """Adds the drawn skeleton, the one as read (both without proclitics before the article) and the lemma."""
@@ -23,12 +24,18 @@ def variants(tokens: DataFrame) -> DataFrame:
     return words.where(F.size("forms") >= 2).select(F.concat_ws("|", "pron", "lemma").alias("id"), "pron", "lemma", "total", "groups", "forms")
 
 
+def _switches(tokens: DataFrame, word_id: str) -> DataFrame:
+    """The occurrences of a word, and whether the writing switches there from the one before, found in ranges of the reading order."""
+    rows = _drawn(tokens).where(F.concat_ws("|", "pron", "lemma") == word_id).select("grp", "ord", "pid", "pos", "rasm", "orig")
+    marked = last_before(rows, [F.col("grp"), F.col("ord"), F.col("pos")], "rasm", "last")
+    return marked.withColumn("switch", F.coalesce(F.col("rasm") != F.col("last"), F.lit(False))).drop("last")
+
+
 def profile(tokens: DataFrame, word_id: str) -> DataFrame:
     """A word's forms in reading order: count, longest run, and the places where the writing switches to it."""
-    rows = _drawn(tokens).where(F.concat_ws("|", "pron", "lemma") == word_id)
-    w = Window.orderBy("grp", "ord", "pos")  # the occurrences of one word
-    marked = rows.select("grp", "ord", "pos", "rasm", F.coalesce(F.col("rasm") != F.lag("rasm").over(w), F.lit(False)).alias("switch"))
-    runs = marked.withColumn("run", F.sum(F.col("switch").cast("int")).over(w)).groupBy("rasm", "run").agg(F.count("*").alias("n"), F.min(F.struct("grp", "ord", "pos")).alias("start"), F.max(F.col("switch").cast("int")).alias("switch"))
+    marked = _switches(tokens, word_id).withColumn("n", F.col("switch").cast("int"))
+    numbered_runs = running_sum(marked, [F.col("grp"), F.col("ord"), F.col("pos")], "n", "before").withColumn("run", F.col("before") + F.col("n"))
+    runs = numbered_runs.groupBy("rasm", "run").agg(F.count("*").alias("n"), F.min(F.struct("grp", "ord", "pos")).alias("start"), F.max("n").alias("switch"))
     return runs.groupBy("rasm").agg(F.sum("n").alias("count"), F.max("n").alias("longest_run"), F.array_sort(F.collect_list(F.when(F.col("switch") == 1, F.col("start")))).alias("switches"))
 
 
@@ -45,9 +52,7 @@ def defective(tokens: DataFrame, closed_class: tuple[str, ...] = ()) -> DataFram
 
 def timeline(tokens: DataFrame, word_id: str) -> DataFrame:
     """The occurrences of a word of several forms: grp, ord, pid, pos, rasm, orig, and whether the writing switches there."""
-    w = Window.orderBy("grp", "ord", "pos")  # the occurrences of one word
-    rows = _drawn(tokens).where(F.concat_ws("|", "pron", "lemma") == word_id)
-    return rows.select("grp", "ord", "pid", "pos", "rasm", "orig", F.coalesce(F.col("rasm") != F.lag("rasm").over(w), F.lit(False)).alias("switch"))
+    return _switches(tokens, word_id)
 
 
 def forms_by_group(tokens: DataFrame, word_id: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from corpuslens.functions import arabic
 
+from .ordered import numbered
+
 #: Between the words of the Latin-script tables; words are lower-cased and have two letters at least.
 NO_WORD = "[^a-zäöüßéèêàâçñáíóúîôûëï]+"
 #: Very frequent words of the English tables: the default stop set of the queries.
@@ -86,11 +88,8 @@ def document_frequency(tokens_: DataFrame, mode: str = "exact") -> DataFrame:
 
 
 def reading_order(passages: DataFrame) -> DataFrame:
-    """Passages with the number of their place (nth): counts of the groups before, by group, then the place in the group."""
-    sizes = passages.groupBy("grp").agg(F.count("*").alias("n"))
-    before = sizes.select("grp", (F.sum("n").over(Window.orderBy("grp")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("grp").orderBy("ord"))
-    return passages.select("pid", "grp", "ord", own.alias("own")).join(before, "grp").select("pid", "grp", "ord", (F.col("before") + F.col("own") - 1).alias("nth"))
+    """Passages with the number of their place (nth) in the order of groups and of passages in them, counted in ranges."""
+    return numbered(passages.select("pid", "grp", "ord"), [F.col("grp"), F.col("ord")], "nth")
 
 
 def vote(pairs: DataFrame, key: str, value: str, at: list[str]) -> DataFrame:

@@ -13,7 +13,6 @@ from corpuslens.operators import tokens as tk
 from corpuslens.plans.registry import KEY_DF, ORACLE, QUERIES, ROOTS, STOP, TOK, chat_tokens, query, rounded  # noqa: F401
 from corpuslens.sources import sinks
 from corpuslens.sources.tables import chat, dense, documents, table
-from corpuslens.streaming.rate import rate_windows
 
 def _g2(k: str, a: str, b: str, n: str) -> str:
     cell = lambda o, e: f"(case when {o} > 0 and {e} > 0 then ({o}) * ln(({o}) / ({e})) else 0 end)"
@@ -422,13 +421,6 @@ def gr02(spark, folder):
     return graph.descendants(links, region.agg(F.min("r_name")).first()[0])
 
 
-@query("sx02_rate_windows", """with recursive w(user_id, window_start) as (select user_id, min(ts) from events group by 1 union all select user_id, n from (select w.user_id, (select min(e.ts) from events e where e.user_id = w.user_id and e.ts >= w.window_start + interval 1 day) as n from w) where n is not null),
-p as (select e.user_id, e.event_id, e.ts, max(w.window_start) as window_start from events e join w on w.user_id = e.user_id and w.window_start <= e.ts group by 1, 2, 3)
-select *, row_number() over (partition by user_id, window_start order by ts, event_id) as nth, row_number() over (partition by user_id, window_start order by ts, event_id) <= 3 as allowed from p""")
-def sx02(spark, folder):
-    return rate_windows(table(spark, folder, "events").select("user_id", "event_id", "ts"), 86_400, 3)
-
-
 @query("docs_frequency", f"q as (select unnest(list_filter(regexp_split_to_array(lower(text), '{tk.NO_WORD}'), lambda w: length(w) >= 2)) as key, doc_id from documents) select key, count(*) as tokens, count(distinct doc_id) as passages from q group by 1")
 def docs_frequency(spark, folder):
     return counts.key_frequency(tk.tokens(documents(spark, folder)), "key")
@@ -439,4 +431,4 @@ def docs_dense(spark, folder):
     return dense(documents(spark, folder)).select("pid", "grp", "ord")
 
 
-from corpuslens.plans import graph_plans, search_plans  # noqa: E402, F401  these register their queries
+from corpuslens.plans import graph_plans, search_plans, time_plans  # noqa: E402, F401  these register their queries

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,5 +23,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dense(passages: DataFrame) -> DataFrame:
-    """Numbers the passages of each group from 0; a group's passages are sorted together, so groups must be of bounded size."""
-    return passages.withColumn("ord", (F.row_number().over(Window.partitionBy("grp").orderBy("ord")) - 1).cast("long"))
+    """Numbers the passages of each group from 0, in ranges of its order: a hot group is many tasks."""
+    from corpuslens.operators.ordered import numbered
+
+    return numbered(passages.withColumnRenamed("ord", "__given"), [F.col("__given")], "ord", within="grp").drop("__given").select(*passages.columns)
