@@ -140,15 +140,7 @@ def shared_phrases(tokens: DataFrame, pid: str, least: int = 3, seed: int = 2) -
 
 @F.pandas_udf(T.IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    def length(x, y) -> int:
-        row = [0] * (len(y) + 1)
-        for w in x:
-            last = 0
-            for j, v in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
-        return row[-1]
-
-    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    return pd.Series([None if x is None or y is None else _common(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def word_diff(a: Column, b: Column) -> Column:
@@ -157,30 +149,66 @@ def word_diff(a: Column, b: Column) -> Column:
     return F.struct(same.alias("same"), (F.size(a) + F.size(b) - 2 * same).alias("changed"), (2 * same / F.greatest(F.size(a) + F.size(b), F.lit(1))).alias("ratio"))
 
 
+def _rows(x, y, keep: set[int] | None = None, of: int = 0, begin: tuple[int, int] | None = None) -> dict[int, int]:
+    """What x[i:] shares with ends of y, as bits, for the rows i that are kept: bit p is unset where y's end of p + 1 words shares one more than that of p.
+
+    One row needs the row below it only; ``begin`` (i, bits) is where to go on from, ``of`` the last row wanted.
+    """
+    places: dict = {}
+    for p, w in enumerate(reversed(y)):
+        places[w] = places.get(w, 0) | 1 << p
+    full = (1 << len(y)) - 1
+    i, bits = begin or (len(x), full)
+    kept = {i: bits}
+    while i > of:
+        i -= 1
+        met = bits & places.get(x[i], 0)
+        bits = ((bits + met) | (bits - met)) & full
+        if keep is None or i in keep:
+            kept[i] = bits
+    return kept
+
+
+def _common(x, y) -> int:
+    """The length of a longest common subsequence."""
+    return len(y) - _rows(x, y, {0})[0].bit_count()
+
+
+def edit_script(x, y) -> list[tuple[str, str]]:
+    """The steps from x to y along a longest common subsequence: equal words stay, else a word goes if that loses nothing, else one comes in.
+
+    A row of the table of common lengths is kept as bits, and of the rows only every one in about the root of their number;
+    those between two kept rows are made again when the way comes to them. So two texts of n and m words take some
+    n * m / 64 steps and sqrt(n) * m bits.
+    """
+    gap = max(1, int(len(x) ** 0.5))
+    coarse = _rows(x, y, {i for i in range(0, len(x) + 1, gap)})
+    out: list[tuple[str, str]] = []
+    i = j = 0
+    left = len(y) - coarse[0].bit_count()
+    fine: dict[int, int] = {}
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append(("same", x[i]))
+            i, j, left = i + 1, j + 1, left - 1
+            continue
+        if i + 1 not in fine:
+            above = min(k for k in coarse if k > i)
+            fine = _rows(x, y, None, i, (above, coarse[above]))
+        n = len(y) - j
+        if n - (fine[i + 1] & ((1 << n) - 1)).bit_count() == left:
+            out.append(("del", x[i]))
+            i += 1
+        else:
+            out.append(("ins", y[j]))
+            j += 1
+    return [*out, *(("del", w) for w in x[i:]), *(("ins", w) for w in y[j:])]
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("word", T.StringType())])))
 def diff_operations(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The steps from one array of words to the other along a longest common subsequence: same, del and ins, deletions first."""
-
-    def steps(x, y) -> list[tuple[str, str]]:
-        length = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                length[i][j] = length[i + 1][j + 1] + 1 if x[i] == y[j] else max(length[i + 1][j], length[i][j + 1])
-        i = j = 0
-        out = []
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and x[i] == y[j]:
-                out.append(("same", x[i]))
-                i, j = i + 1, j + 1
-            elif i < len(x) and (j == len(y) or length[i + 1][j] >= length[i][j + 1]):
-                out.append(("del", x[i]))
-                i += 1
-            else:
-                out.append(("ins", y[j]))
-                j += 1
-        return out
-
-    return pd.Series([[{"op": o, "word": w} for o, w in steps(x, y)] for x, y in zip(a, b, strict=True)])
+    """The steps from one array of words to the other along a longest common subsequence: same, del and ins, deletions first; null where either is null."""
+    return pd.Series([None if x is None or y is None else [{"op": o, "word": w} for o, w in edit_script(list(x), list(y))] for x, y in zip(a, b, strict=True)])
 
 
 def _edits(most: int) -> Callable[[Column, Column], Column]:
@@ -217,26 +245,37 @@ def equal_passages(tokens: DataFrame) -> DataFrame:
     return texts.join(texts.groupBy("text").agg(F.min("pid").alias("same_as")), "text").select("pid", "same_as")
 
 
-def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_same: int = 3, bucket: int | None = 400, classes: bool = False) -> DataFrame:
-    """Pairs of passages that share a seed and differ by few words: a, b, same, changed.
+def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """Where a segment of a passage of n words begins, from 1, and its length; the last one has what is left over."""
+    size = F.floor(n / parts).cast("int")
+    return size * i + 1, (size if i < parts - 1 else n - size * (parts - 1))
+
+
+def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_same: int = 3, classes: bool = False) -> DataFrame:
+    """Pairs of passages that share a run of ``seed`` words and differ by few: a, b, same, changed.
 
-    Seeds that more than ``bucket`` passages have make no candidates (part of the operator's definition; None is without
-    that limit). Lengths that differ by more than the changes allowed are left out before the words are aligned. With
-    ``classes`` the first of the passages with the same words stands for them all (equal_passages tells which), so copies
-    are neither paired out nor count towards ``bucket``.
+    Of a passage cut into one segment more than there may be changes, one is whole in its twin, at most as many words away
+    from its place. So passages meet by length, segment and words, however common a run of words is, and only what meets is
+    compared. With ``classes`` the first of the passages with the same words stands for them all (equal_passages tells which).
     """
     words = _texts(tokens)
     words = words.groupBy("text").agg(F.min(F.struct("pid", "ws")).alias("x")).select("x.pid", "x.ws") if classes else words.select("pid", "ws")
-    runs = F.when(F.size("ws") >= seed, F.transform(F.sequence(F.lit(1), F.size("ws") - (seed - 1)), lambda i: F.array_join(F.slice("ws", i, seed), " ")))
-    rows = words.select("pid", F.size("ws").alias("n"), F.explode(F.array_distinct(runs)).alias("gram"))
-    good = rows.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= 2 if bucket is None else F.col("n").between(2, bucket)).select("gram")
-    rows = rows.join(good, "gram", "left_semi")
-    one, two = (rows.select("gram", F.col("pid").alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
-    pairs = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= most_changed)).select("a", "b").distinct()
+    words = words.where(F.size("ws") >= max(seed, least_same)).withColumn("n", F.size("ws"))
+    parts = most_changed + 1
+    own = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.slice("ws", *_segment(F.col("n"), i, parts))).alias("h")) for i in range(parts)])
+    held = words.select(F.col("pid").alias("a"), "n", F.explode(own).alias("s")).select("a", "n", "s.*")
+    other = words.select(F.col("pid").alias("b"), "ws", F.explode(F.sequence(F.greatest(F.col("n") - most_changed, F.lit(max(seed, least_same))), F.col("n"))).alias("n"))
+    begins = lambda i, d: _segment(F.col("n"), i, parts)[0] + d
+    at = [F.when(begins(i, d) >= 1, F.struct(F.lit(i).alias("i"), F.xxhash64(F.slice("ws", F.greatest(begins(i, d), F.lit(1)), _segment(F.col("n"), i, parts)[1])).alias("h"))) for i in range(parts) for d in range(-most_changed, most_changed + 1)]
+    probes = other.select("b", "n", F.explode(F.array_distinct(F.array_compact(F.array(*at)))).alias("s")).select("b", "n", "s.*")
+    pairs = held.join(probes, ["n", "i", "h"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: words.select(F.col("pid").alias(c), F.col("ws").alias(f"w{c}"))
     edits = _edits(most_changed)
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size("wa") + F.size("wb")).alias("n"), edits("wa", "wb").alias("changed")).where("changed is not null")
-    return found.select("a", "b", F.floor((F.col("n") - F.col("changed")) / 2).cast("int").alias("same"), "changed").where(F.col("same") >= least_same)
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    found = met.select("a", "b", "wa", "wb", (F.size("wa") + F.size("wb")).alias("n"), edits("wa", "wb").alias("changed")).where("changed is not null")
+    runs = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (seed - 1)), lambda i: F.xxhash64(F.slice(c, i, seed)))
+    same = F.floor((F.col("n") - F.col("changed")) / 2).cast("int")
+    return found.where(F.arrays_overlap(runs("wa"), runs("wb"))).select("a", "b", same.alias("same"), "changed").where(F.col("same") >= least_same)
 
 
 def bonds(tokens: DataFrame, most: int = 3, distance: int = 2) -> DataFrame:

@@ -10,18 +10,10 @@ from corpuslens.functions.typed import fnv1a
 from corpuslens.operators import association as assoc
 from corpuslens.operators import counts, dossiers, graph, morphology, search, similarity
 from corpuslens.operators import tokens as tk
-from corpuslens.plans.registry import KEY_DF, ORACLE, QUERIES, ROOTS, STOP, TOK, chat_tokens, query, rounded  # noqa: F401
+from corpuslens.plans.registry import KEY_DF, KEYNESS, ORACLE, QUERIES, ROOTS, STOP, TOK, chat_tokens, g2, query, rounded  # noqa: F401
 from corpuslens.sources import sinks
 from corpuslens.sources.tables import chat, dense, documents, table
 
-def _g2(k: str, a: str, b: str, n: str) -> str:
-    cell = lambda o, e: f"(case when {o} > 0 and {e} > 0 then ({o}) * ln(({o}) / ({e})) else 0 end)"
-    k, a, b, n = (f"{x}::double" for x in (k, a, b, n))
-    e = f"({a} * {b} / {n})"
-    sum_ = " + ".join((cell(k, e), cell(f"({a} - {k})", f"({a} * ({n} - {b}) / {n})"), cell(f"({b} - {k})", f"(({n} - {a}) * {b} / {n})"), cell(f"({n} - {a} - {b} + {k})", f"(({n} - {a}) * ({n} - {b}) / {n})")))
-    return f"((case when {k} < {e} then -1 else 1 end) * greatest(0, 2 * ({sum_})))"
-
-
 def _pmi(k: str, a: str, b: str, n: str) -> str:
     return f"log2({k}::double * {n} / ({a}::double * {b}))"
 
@@ -204,7 +196,7 @@ def jn09(spark, folder):
 # --- association ----------------------------------------------------------------------------------------------------------
 
 
-_SCORES = "round({pmi}, 5) as pmi, round({ll}, 5) as ll, round(14 + log2(2 * k::double / (a + b)), 5) as log_dice, case when abs({ll}) >= 10.83 then 3 when abs({ll}) >= 6.63 then 2 when abs({ll}) >= 3.84 then 1 else 0 end as tier".format(pmi=_pmi("k", "a", "b", "n"), ll=_g2("k", "a", "b", "n"))
+_SCORES = "round({pmi}, 5) as pmi, round({ll}, 5) as ll, round(14 + log2(2 * k::double / (a + b)), 5) as log_dice, case when abs({ll}) >= 10.83 then 3 when abs({ll}) >= 6.63 then 2 when abs({ll}) >= 3.84 then 1 else 0 end as tier".format(pmi=_pmi("k", "a", "b", "n"), ll=g2("k", "a", "b", "n"))
 
 
 @query("as05_association", f"{TOK}, u as (select concat(conv_id, ':', turn) as pid from conversations where role = 'user'), r as (select distinct key, pid from t), n as (select count(distinct pid) as n, count(distinct pid) filter (where pid in (select pid from u)) as a from t), x as (select key, count(*) filter (where pid in (select pid from u)) as k, count(*) as b from r group by 1), q as (select key, k, a, b, n from x, n where k > 0) select key, k, a, b, n, {_SCORES} from q")
@@ -246,15 +238,12 @@ def as09(spark, folder):
     return assoc.compare(chat_tokens(spark, folder), "with", "from", stops=tk.STOP)
 
 
-_KEYNESS = f"{TOK}, r as (select distinct root as key, pid, grp from t where root is not null and key not in ({STOP})), d as (select key, count(*) as df from r group by 1), z as (select grp, count(distinct pid) as size from t group by 1), o as (select grp, key, count(*) as count from r group by 1, 2 having count(*) >= 2), x as (select o.grp, o.key, o.count as k, z.size as a, d.df as b, (select count(distinct pid) from t) as n from o join d using (key) join z using (grp)), kn as (select grp, key, k as count, b as df, {_g2('k', 'a', 'b', 'n')} as ll from x where {_g2('k', 'a', 'b', 'n')} > 0)"
-
-
-@query("as10_keyness", f"{_KEYNESS} select grp, key, count, df, round(ll, 5) as ll from kn")
+@query("as10_keyness", f"{KEYNESS} select grp, key, count, df, round(ll, 5) as ll from kn")
 def as10(spark, folder):
     return rounded(assoc.keyness(chat_tokens(spark, folder), stops=tk.STOP), "ll")
 
 
-@query("as11_top_keys", f"{_KEYNESS} select grp, key, count, df, round(ll, 5) as ll, rank from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn) where rank <= 25")
+@query("as11_top_keys", f"{KEYNESS} select grp, key, count, df, round(ll, 5) as ll, rank from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn) where rank <= 25")
 def as11(spark, folder):
     return rounded(assoc.top_keys(assoc.keyness(chat_tokens(spark, folder), stops=tk.STOP)), "ll")
 
@@ -300,7 +289,7 @@ def sm06(spark, folder):
     return rounded(similarity.relatedness(vectors, spark.createDataFrame(pairs, "a string, b string")), "score")
 
 
-@query("ag24_compare_keys", f"{_KEYNESS}, r2 as (select * from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn where grp in (1, 2)) where rank <= 24) select key, case when count(distinct grp) = 2 then 'both' when min(grp) = 1 then 'one' else 'two' end as side from r2 group by 1")
+@query("ag24_compare_keys", f"{KEYNESS}, r2 as (select * from (select *, row_number() over (partition by grp order by round(ll, 9) desc, key) as rank from kn where grp in (1, 2)) where rank <= 24) select key, case when count(distinct grp) = 2 then 'both' when min(grp) = 1 then 'one' else 'two' end as side from r2 group by 1")
 def ag24(spark, folder):
     return assoc.compare_keys(assoc.keyness(chat_tokens(spark, folder), stops=tk.STOP), 1, 2)
 
@@ -315,11 +304,6 @@ def sm07(spark, folder):
     return one.unionByName(two)
 
 
-@query("sm08_near_twins")
-def sm08(spark, folder):
-    return similarity.near_twins(tk.tokens(documents(spark, folder)), classes=True)
-
-
 @query("sm08_equal_passages", f"q as (select doc_id::varchar as pid, list_filter(regexp_split_to_array(lower(text), '{tk.NO_WORD}'), lambda w: length(w) >= 2) as ws from documents) select pid, min(pid) over (partition by ws) as same_as from q where len(ws) > 0")
 def sm08_equal(spark, folder):
     return similarity.equal_passages(tk.tokens(documents(spark, folder)))
@@ -367,12 +351,6 @@ def sm18(spark, folder):
     return similarity.kin(chat_tokens(spark, folder).where("root is not null").select(F.col("root").alias("key")).distinct(), "tns")
 
 
-@query("sm19_seams")
-def sm19(spark, folder):
-    t = chat_tokens(spark, folder)
-    return similarity.seams(t, assoc.top_keys(assoc.keyness(t, stops=tk.STOP)))
-
-
 @query("sm21_antithesis", f"""{TOK}, per as (select grp, pid, ord, list(key order by pos) as ks, list(root order by pos) as rs from t group by 1, 2, 3),
 m as (select *, lead(ks) over w as ks2, lead(rs) over w as rs2 from per window w as (partition by grp order by ord)),
 u as (select pid, 1 as j, ks, rs from m union all select pid, 2, list_concat(ks, ks2), list_concat(rs, rs2) from m where ks2 is not null),
@@ -431,4 +409,4 @@ def docs_dense(spark, folder):
     return dense(documents(spark, folder)).select("pid", "grp", "ord")
 
 
-from corpuslens.plans import graph_plans, search_plans, time_plans  # noqa: E402, F401  these register their queries
+from corpuslens.plans import graph_plans, io_plans, search_plans, similar_plans, time_plans  # noqa: E402, F401  these register their queries

@@ -51,3 +51,15 @@ def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def g2(k: str, a: str, b: str, n: str) -> str:
+    cell = lambda o, e: f"(case when {o} > 0 and {e} > 0 then ({o}) * ln(({o}) / ({e})) else 0 end)"
+    k, a, b, n = (f"{x}::double" for x in (k, a, b, n))
+    e = f"({a} * {b} / {n})"
+    sum_ = " + ".join((cell(k, e), cell(f"({a} - {k})", f"({a} * ({n} - {b}) / {n})"), cell(f"({b} - {k})", f"(({n} - {a}) * {b} / {n})"), cell(f"({n} - {a} - {b} + {k})", f"(({n} - {a}) * ({n} - {b}) / {n})")))
+    return f"((case when {k} < {e} then -1 else 1 end) * greatest(0, 2 * ({sum_})))"
+
+
+#: Keyness of roots in groups in SQL.
+KEYNESS = f"{TOK}, r as (select distinct root as key, pid, grp from t where root is not null and key not in ({STOP})), d as (select key, count(*) as df from r group by 1), z as (select grp, count(distinct pid) as size from t group by 1), o as (select grp, key, count(*) as count from r group by 1, 2 having count(*) >= 2), x as (select o.grp, o.key, o.count as k, z.size as a, d.df as b, (select count(distinct pid) from t) as n from o join d using (key) join z using (grp)), kn as (select grp, key, k as count, b as df, {g2('k', 'a', 'b', 'n')} as ll from x where {g2('k', 'a', 'b', 'n')} > 0)"

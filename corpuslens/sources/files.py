@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from corpuslens.functions.arabic import spaced_root
+from corpuslens.operators.ordered import last_before, numbered
 
 PASSAGES = T.StructType([T.StructField("_index", T.LongType()), T.StructField("_name", T.StringType()), T.StructField("aya", T.ArrayType(T.StructType([T.StructField("_index", T.LongType()), T.StructField("_text", T.StringType())])))])
 
@@ -48,9 +48,23 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines of each text file below path: a file is one row while it is numbered."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """file, line (from 0) and value of the lines of each text file below path.
+
+    A file is read in as many splits as it has; lines are numbered through all of them by what the splits before have.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    lines = numbered(rows.withColumnRenamed("file_path", "file"), [F.col("file_block_start"), F.col("at")], "line", within="file")
+    return lines.select("file", "line", "value")
+
+
+def open_entries(lines: DataFrame, head: Column) -> DataFrame:
+    """lines with entry: the number of the line that begins the entry a line belongs to, one for which ``head`` holds; null before the first.
+
+    The open entry is carried from each part of a file into the next, so neither a file nor an entry is gathered.
+    """
+    marked = lines.withColumn("__head", F.when(head, F.col("line")))
+    placed = last_before(marked, [F.col("line")], "__head", "__open", within="file")
+    return placed.select(*lines.columns, F.coalesce("__head", "__open").alias("entry"))
 
 
 def page_marker(line: Column) -> Column:
@@ -63,25 +77,32 @@ def page_marker(line: Column) -> Column:
 HEADS = {"bare": r"^#\s*([ء-ي]{2,6})\s*$", "colon": r"^#\s*([ء-ي]{2,6})\s*:", "section": r"^###\s*\|+\s*([ء-ي]{2,6})\s*$"}
 
 
+#: What the file format marks in a text that isn't part of it: milestones, page ends, tags, counts in brackets, and single signs.
+NOISE = {"milestone": r"\bms\d+\b", "page": r"PageV\d+P\d+", "tag": r"@[A-Z]+@", "count": r"\(\s*\d+\s*\)", "sign": r"[#~\[\]{}|^@%*=]"}
+
+
 def dictionary_entries(lines: DataFrame, layout: str) -> DataFrame:
     """file, root, full text and first page of each entry of numbered lines.
 
     Layouts: ``bare`` (a line with the root alone), ``colon`` (root, colon, definition), ``section`` (a heading with the
     root) and ``spaced`` (the root's letters apart, in brackets). A root's first entry counts. An entry's page is the first
-    milestone after its head, or else the last before it. Lines meet by file.
+    milestone after its head, or else the last before it. A file's lines need not meet in one task, an entry's do.
     """
     head = spaced_root(F.col("value")) if layout == "spaced" else F.nullif(F.regexp_extract("value", HEADS[layout], 1), F.lit(""))
-    w = Window.partitionBy("file").orderBy("line")
     marked = lines.where("value not rlike '^#META#'").select("file", "line", "value", head.alias("head"), page_marker(F.col("value")).alias("page"))
-    placed = marked.select("file", "line", "value", "head", "page", F.last("page", ignorenulls=True).over(w).alias("last_page"), F.sum(F.col("head").isNotNull().cast("int")).over(w).alias("entry"))
+    placed = open_entries(marked, F.col("head").isNotNull()).where("entry is not null")
+    # heads and milestones alone: the last page before each head
+    marks = marked.where("head is not null or page is not null").select("file", "line", "head", "page")
+    before = last_before(marks, [F.col("line")], "page", "last_page", within="file").where("head is not null").select("file", F.col("line").alias("entry"), F.coalesce("page", "last_page").alias("last_page"))
     body = F.when(F.col("head").isNotNull(), F.regexp_replace("value", HEADS.get(layout, "^$"), "")).otherwise(F.col("value"))
-    noise = r"\bms\d+\b|PageV\d+P\d+|@[A-Z]+@|[\^@%*=#~\[\]{}|]|\(\s*\d+\s*\)"
-    entries = placed.where("entry > 0").groupBy("file", "entry").agg(
+    entries = placed.groupBy("file", "entry").agg(
         F.max("head").alias("root"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", body.alias("body")))), lambda x: x["body"]), " ").alias("body"),
-        F.coalesce(F.min_by("page", F.when(F.col("page").isNotNull(), F.col("line"))), F.min_by("last_page", "line")).alias("cite"))
-    clean = entries.select("file", "entry", "root", F.trim(F.regexp_replace(F.regexp_replace("body", noise, " "), r"\s+", " ")).alias("full"), "cite").where("length(full) >= 4")
-    return clean.withColumn("n", F.row_number().over(Window.partitionBy("file", "root").orderBy("entry"))).where("n = 1").select("file", "root", "full", "cite")
+        F.min_by("page", F.when(F.col("page").isNotNull(), F.col("line"))).alias("page"))
+    cited = entries.join(before, ["file", "entry"], "left").withColumn("cite", F.coalesce("page", "last_page"))
+    clean = cited.select("file", "entry", "root", F.trim(F.regexp_replace(F.regexp_replace("body", "|".join(NOISE.values()), " "), r"\s+", " ")).alias("full"), "cite").where("length(full) >= 4")
+    first = clean.groupBy("file", "root").agg(F.min_by(F.struct("full", "cite"), "entry").alias("x"))
+    return first.select("file", "root", "x.full", "x.cite")
 
 
 def dictionary_meta(lines: DataFrame) -> DataFrame:

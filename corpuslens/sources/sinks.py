@@ -20,6 +20,30 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*map(cell, df.schema))
 
 
+def union_of_keys(rows: DataFrame, column: str, order: list[Column]) -> list[str]:
+    """The keys that any of a column of JSON objects has, as they first come in ``order``: a header, so their number is that of its cells."""
+    keys = rows.select(F.struct(*order).alias("at"), F.posexplode(F.json_object_keys(column)).alias("i", "key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("at", "i")).alias("first"))
+    return [r.key for r in first.orderBy("first").select("key").collect()]
+
+
+def spread(rows: DataFrame, column: str, order: list[Column]) -> DataFrame:
+    """Rows with a cell for each key that any of their JSON objects has: arrays as words, other nested values as JSON, null where a row lacks the key."""
+    keys = union_of_keys(rows, column, order)
+    fields = F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>")
+
+    def cell(key: str) -> Column:
+        value = F.try_element_at(fields, F.lit(key))
+        words = F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))), " ")
+        return F.coalesce(words, F.try_variant_get(value, "$", "string"), F.to_json(value)).alias(key)
+
+    kept = [c for c in rows.columns if c != column]
+    clash = set(kept) & set(keys)
+    if clash:
+        raise ValueError(f"keys that are columns too: {sorted(clash)}")
+    return rows.select(*kept, *map(cell, keys))
+
+
 def write_csv(df: DataFrame, path: str, spreadsheet: bool = False) -> None:
     """CSV with a header; for spreadsheets with a byte order mark and CRLF."""
     rows = flat(df)
@@ -35,8 +59,18 @@ def write_shards(df: DataFrame, path: str, column: str, shards: int = 64) -> Non
 
 def read_shard(spark: SparkSession, path: str, column: str, value: str, shards: int = 64) -> DataFrame:
     """The rows of a value, from the only folder that may have them."""
-    shard = spark.range(1).select(shard_of(F.lit(value), shards)).first()[0]
-    return spark.read.parquet(path).where((F.col("shard") == shard) & (F.col(column) == value)).drop("shard")
+    return look_up(spark, path, column, spark.createDataFrame([(value,)], f"`{column}` string"), shards)
+
+
+def look_up(spark: SparkSession, path: str, column: str, values: DataFrame, shards: int = 64) -> DataFrame:
+    """The rows of the values (a table with ``column``, repeats counting once), from the folders of their hashes alone.
+
+    Few values are sent to the scan, which then prunes its folders; the folders of many are gathered first, a number each.
+    """
+    asked = values.select(F.col(column).cast("string").alias("__value"), shard_of(F.col(column).cast("string"), shards).alias("__shard")).where("__value is not null").distinct()
+    wanted = [r[0] for r in asked.select("__shard").distinct().collect()]
+    stored = spark.read.parquet(path).where(F.col("shard").isin(*wanted) if wanted else F.lit(False))
+    return stored.join(asked, (F.col("shard") == F.col("__shard")) & (F.col(column).cast("string") == F.col("__value"))).drop("shard", "__shard", "__value")
 
 
 def write_bundle(df: DataFrame, path: str, method: str, params: dict[str, str]) -> None:

@@ -203,7 +203,10 @@ def _millis(ts: pd.Series) -> pd.Series:
 
 
 def rate_stream(events: DataFrame, seconds: int = 3600, budget: int = 600, late: str = "0 seconds") -> DataFrame:
-    """The rows of rate_windows over a stream; an event may come as much later than others as ``late`` says, and is placed once time has passed it."""
+    """The rows of rate_windows over a stream; an event may come as much later than others as ``late`` says, and is placed once time has passed it.
+
+    Maps and timers need the RocksDB state store, which the session names in spark.sql.streaming.stateStore.providerClass.
+    """
     rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), F.col("ts").cast("timestamp_ntz").alias("ts")).where("ts is not null")
     grouped = rows.withWatermark("at", late).groupBy("user_id")
     return grouped.transformWithStateInPandas(RateWindows(seconds, budget), "user_id long, event_id long, ts timestamp_ntz, window_start timestamp_ntz, nth long, allowed boolean", "Append", "EventTime")

@@ -560,7 +560,7 @@ def _(spark):
 @inline("sm08_twins_of_classes", "a varchar, b varchar, same integer, changed integer", [("1:1", "1:3", 4, 1)])
 def _(spark):
     t = plain(spark, {(1, 1): "aa bb cc dd", (1, 2): "aa bb cc dd", (1, 3): "aa bb cc dd ee", (1, 4): "aa bb cc dd"})
-    return similarity.near_twins(t, bucket=2, classes=True)
+    return similarity.near_twins(t, classes=True)
 
 
 @inline("sm08_same_words", "pid varchar, same_as varchar", [("1:1", "1:1"), ("1:2", "1:1"), ("1:3", "1:3")])

@@ -198,8 +198,3 @@ def test_shared_phrases_by_brute_force(spark):
         n = {r: c for r, c in n.items() if c}
         want = {r: c for r, c in n.items() if not any(len(q) > len(r) and d >= c and pad(r) in pad(q) for q, d in n.items())}
         assert {r.phrase: r.others for r in similarity.shared_phrases(t, f"1:{k}").collect()} == want
-
-
-def test_twins_without_a_limit_on_seeds(spark):
-    t = plain(spark, {(1, i): "aa bb cc dd" for i in range(6)})
-    assert similarity.near_twins(t, bucket=5).count() == 0 and similarity.near_twins(t, bucket=None).count() == 15

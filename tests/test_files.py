@@ -72,9 +72,11 @@ def test_rate_windows(spark, tmp_path):
     want = brute(events, 10, 2)
     df = spark.createDataFrame([(u, e, t.to_pydatetime()) for u, e, t in events], "user_id long, event_id long, ts timestamp_ntz")
     assert {r.event_id: (pd.Timestamp(r.window_start), r.nth, r.allowed) for r in rate.rate_windows(df, 10, 2).collect()} == want
-    df.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(str(tmp_path / "e")).withWatermark("ts", "1 hour")
-    q = rate.rate_stream(stream, 10, 2).writeStream.format("memory").queryName("rated").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    later = spark.createDataFrame([(None, None, (base + pd.Timedelta(hours=2)).to_pydatetime())], df.schema)  # moves time past the others
+    df.unionByName(later).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "e"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(str(tmp_path / "e"))
+    q = rate.rate_stream(stream, 10, 2, "1 hour").writeStream.format("memory").queryName("rated").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r.event_id: (r.nth, r.allowed) for r in spark.table("rated").collect()}
     assert got == {e: (n, a) for e, (_, n, a) in want.items()}
