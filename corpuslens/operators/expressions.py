@@ -80,9 +80,25 @@ def genitive_chains(tokens: DataFrame, governors: tuple[str, ...] = GOVERNORS, l
     return good.groupBy("lemmas", "n_words").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("at")).alias("occurrences")).where(F.col("count") >= least).orderBy(F.desc("count"), F.desc("n_words"), "lemmas").limit(top)
 
 
-def valency(occurrences: DataFrame, root: str) -> DataFrame:
-    """A root's heads with each preposition: counts."""
-    return occurrences.where(F.col("root") == root).groupBy("head", "prep").agg(F.count("*").alias("count"))
+def valency(frames_: DataFrame, totals: DataFrame, nouns: DataFrame) -> DataFrame:
+    """root, preps, governed, bare, objects and object_total of every root with frames or collocations.
+
+    preps: the prepositions of all heads of the root, added up, commonest first; governed: their sum; bare: what these leave
+    of the heads' totals (none where frames are more); objects: the nouns it goes with, commonest first; object_total: their
+    sum. Ties go by preposition and by noun.
+    """
+    heads = frames_.where("root is not null").select("root", "head", "head_pos").distinct()
+    rows = frames_.groupBy("head", "head_pos", "prep").agg(F.sum("count").alias("count"))
+    left = frame_contrast(rows, totals).where("prep = ''").select("head", "head_pos", F.col("count").alias("bare"))
+    bare = heads.join(left, ["head", "head_pos"], "left").groupBy("root").agg(F.coalesce(F.sum("bare"), F.lit(0)).alias("bare"))
+    per = heads.join(rows, ["head", "head_pos"]).groupBy("root", "prep").agg(F.sum("count").alias("count"))
+    ranked = lambda name: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), name, "count"))), lambda x: F.struct(x[name].alias(name), x["count"].alias("count")))
+    preps = per.groupBy("root").agg(ranked("prep").alias("preps"), F.sum("count").alias("governed"))
+    both = nouns.select(F.explode(F.array_distinct(F.array_compact(F.array("verb_root", "noun_root")))).alias("root"), "noun", "count")
+    objects = both.groupBy("root").agg(ranked("noun").alias("objects"), F.sum("count").alias("object_total"))
+    joined = preps.join(bare, "root").join(objects, "root", "full")
+    none = lambda name: F.array().cast(f"array<struct<{name}:string,count:bigint>>")
+    return joined.select("root", F.coalesce("preps", none("prep")).alias("preps"), F.coalesce("governed", F.lit(0)).alias("governed"), F.coalesce("bare", F.lit(0)).alias("bare"), F.coalesce("objects", none("noun")).alias("objects"), F.coalesce("object_total", F.lit(0)).alias("object_total"))
 
 
 def construction(tokens: DataFrame, occurrences: DataFrame, head: str, *, prep: str | None = None, present: bool = True, span: int = 3, object_definite: bool | None = None, context: int = 3) -> DataFrame:

@@ -167,6 +167,6 @@ def relations_of(all_: DataFrame, root: str) -> DataFrame:
 
 
 def definite(word: Column, m: Column) -> Column:
-    """Whether a nominal is definite: by article, proper noun or pronoun; null for what has no definiteness."""
+    """Whether a word is definite: a proper noun, a pronoun, or with an article behind two letters of proclitics at most; false for any other word, null for none."""
     bare = F.regexp_replace(arabic.norm(word), "^[وفبكلس]{0,2}", "")
-    return F.when(m["pos"].isin("pn", "pron"), True).when(m["pos"].isin(*NOMINAL), arabic.norm(word).startswith("ال") | bare.startswith("ال") | bare.startswith("لل"))
+    return F.when(word.isNotNull(), F.coalesce(m["pos"].isin("pn", "pron"), F.lit(False)) | bare.startswith("ال"))

@@ -249,9 +249,9 @@ def _(spark):
     return morphology.relations_of(_relations(spark), "موت")
 
 
-@inline("sf25_definite", "word varchar, definite varchar", [("ٱلْبَيْت", "true"), ("بيت", "false"), ("للناس", "false"), ("وبالبيت", "true"), ("محمد", "true"), ("راي", None)])
+@inline("sf25_definite", "word varchar, definite varchar", [("ٱلْبَيْت", "true"), ("بيت", "false"), ("للناس", "false"), ("وبالبيت", "true"), ("محمد", "true"), ("راي", "false"), ("فكالبيت", "true")])
 def _(spark):
-    rows = [("ٱلْبَيْت", "noun"), ("بيت", "noun"), ("للناس", "noun"), ("وبالبيت", "noun"), ("محمد", "pn"), ("راي", "verb")]
+    rows = [("ٱلْبَيْت", "noun"), ("بيت", "noun"), ("للناس", "noun"), ("وبالبيت", "noun"), ("محمد", "pn"), ("راي", "verb"), ("فكالبيت", None)]
     return spark.createDataFrame(rows, "word string, p string").select("word", morphology.definite(F.col("word"), F.struct(F.col("p").alias("pos"))).cast("string").alias("definite"))
 
 
@@ -292,9 +292,13 @@ def _(spark):
     return chains.select("lemmas", "n_words", "count", F.col("occurrences")[0]["pid"].alias("first"), F.col("occurrences")[0]["start"].alias("start"))
 
 
-@inline("ex08_valency", "head varchar, prep varchar, count bigint", [("امن", "ب", 3)])
+@inline("ex08_valency", "root varchar, preps varchar, governed bigint, bare bigint, objects varchar, object_total bigint", [("amn", "b 211, l 12", 223, 7, "the god 9, day 4", 13), ("ywm", "", 0, 0, "day 4", 4), ("kfr", "b 2", 2, 0, "", 0)])
 def _(spark):
-    return expressions.valency(expressions.frame_occurrences(_expressions(spark)), "امن")
+    frames = spark.createDataFrame([("amana", "verb", "amn", "b", 171), ("amana", "verb", "amn", "l", 12), ("yumin", "verb", "amn", "b", 40), ("kafara", "verb", "kfr", "b", 2), ("x", "noun", None, "b", 9)], "head string, head_pos string, root string, prep string, count long")
+    totals = spark.createDataFrame([("amana", "verb", 188), ("yumin", "verb", 42), ("kafara", "verb", 1)], "head string, head_pos string, total long")
+    nouns = spark.createDataFrame([("amana", "amn", "the god", None, 9), ("amana", "amn", "day", "ywm", 4)], "verb string, verb_root string, noun string, noun_root string, count long")
+    said = lambda c, name: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x[name], x["count"].cast("string"))), ", ")
+    return expressions.valency(frames, totals, nouns).select("root", said("preps", "prep").alias("preps"), "governed", "bare", said("objects", "noun").alias("objects"), "object_total")
 
 
 @inline("ex09_construction", "pid varchar, particle varchar, object varchar, definite boolean", [("2:1", None, "يوم", False)])
