@@ -21,6 +21,11 @@ def key_frequency(tokens: DataFrame, column: str = "root") -> DataFrame:
     return per_passage.groupBy("key").agg(F.sum("n").alias("tokens"), F.count("*").alias("passages"))
 
 
+def word_frequency(counted: DataFrame) -> DataFrame:
+    """key, its tokens and passages, of word_counts: one shuffle, of what each task has of a word."""
+    return counted.groupBy("key").agg(F.sum("n").alias("tokens"), F.count("*").alias("passages"))
+
+
 def hapax(tokens: DataFrame, column: str = "root") -> DataFrame:
     """key and passage of the keys that occur once."""
     return tokens.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"), F.min("pid").alias("pid")).where("n = 1").select("key", "pid")

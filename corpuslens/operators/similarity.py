@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpuslens.sources.stored import materialise
+
+from .ordered import numbered
 from .tokens import postings
 
 
@@ -85,11 +88,19 @@ def ppmi(tokens: DataFrame, least: int = 3, most_share: float = 0.25, only: list
 
 
 def nearest_keys(vectors: DataFrame, k: int = 12, least: float = 0.08) -> DataFrame:
-    """The k keys with the greatest cosine of PPMI vectors; syntagmatic if they mostly occur together, else paradigmatic."""
+    """The k keys with the greatest cosine of PPMI vectors; syntagmatic if they mostly occur together, else paradigmatic.
+
+    Vectors are brought to length 1 first, each pair is made once, and sums are taken before they are shuffled.
+    """
+    vectors = materialise(vectors, "vectors")
     norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    x, y = vectors.select("key", "other", "w"), vectors.select(F.col("key").alias("near"), "other", F.col("w").alias("v"))
-    dot = x.join(y, "other").where("key != near").groupBy("key", "near").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    sim = dot.join(norms, "key").join(norms.select(F.col("key").alias("near"), F.col("norm").alias("norm2")), "near").withColumn("sim", F.col("dot") / (F.col("norm") * F.col("norm2"))).where(F.col("sim") >= least)
+    codes = numbered(vectors.select("key").distinct(), [F.col("key")], "id")  # numbers are joined and summed faster than words
+    of = lambda c, name: codes.select(F.col("key").alias(c), F.col("id").alias(name))
+    unit = vectors.join(norms, "key").join(of("key", "a"), "key").join(of("other", "c"), "other").select("a", "c", (F.col("w") / F.col("norm")).alias("w"))
+    unit = materialise(unit, "unit-vectors")
+    dot = unit.join(unit.select(F.col("a").alias("b"), "c", F.col("w").alias("v")), "c").where("a < b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("sim")).where(F.col("sim") >= least)
+    both = dot.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "sim").select("p.a", "p.b", "sim")
+    sim = both.join(of("key", "a"), "a").join(of("near", "b"), "b").select("key", "near", "sim")
     top = sim.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("sim", 9)), "near"))).where(F.col("rank") <= k)
     met = vectors.select("key", F.col("other").alias("near"), "k", F.least("df", "other_df").alias("rarer"))
     kind = F.when(F.coalesce(F.col("k") / F.col("rarer"), F.lit(0.0)) >= 0.25, "syntagmatic").otherwise("paradigmatic")

@@ -41,6 +41,16 @@ def tokens(passages: DataFrame) -> DataFrame:
     return rows.select("pid", "grp", "ord", "pos", F.col("key").alias("orig"), "key", stand_in_lemma(F.col("key")).alias("lemma"), stand_in_root(F.col("key")).alias("root"))
 
 
+def word_counts(passages: DataFrame) -> DataFrame:
+    """pid, key and n: how often each passage has each of its words. A passage is one row, so it is counted within it, without a shuffle."""
+    s = F.array_sort(words_of(F.col("text")))
+    last = lambda i: (i == F.size("s")) | (F.get("s", i - 1) != F.get("s", i))
+    ends = passages.select("pid", s.alias("s")).where(F.size("s") > 0).withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("s")), last))
+    before = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
+    counted = F.zip_with("ends", before, lambda b, a: F.struct(F.get("s", b - 1).alias("key"), (b - a).alias("n")))
+    return ends.select("pid", F.explode(counted).alias("c")).select("pid", "c.key", "c.n")
+
+
 def arabic_tokens(passages: DataFrame, strict: bool = False) -> DataFrame:
     """The same for Arabic passages, without lemma and root: words by white space whose norm has two letters at least."""
     pairs = F.transform(F.split(F.trim("text"), r"\s+"), lambda w: F.struct(w.alias("orig"), arabic.norm(w).alias("norm")))

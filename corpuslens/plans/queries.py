@@ -401,7 +401,7 @@ def gr02(spark, folder):
 
 @query("docs_frequency", f"q as (select unnest(list_filter(regexp_split_to_array(lower(text), '{tk.NO_WORD}'), lambda w: length(w) >= 2)) as key, doc_id from documents) select key, count(*) as tokens, count(distinct doc_id) as passages from q group by 1")
 def docs_frequency(spark, folder):
-    return counts.key_frequency(tk.tokens(documents(spark, folder)), "key")
+    return counts.word_frequency(tk.word_counts(documents(spark, folder)))
 
 
 @query("docs_dense_order", "select doc_id::varchar as pid, source as grp, row_number() over (partition by source order by doc_id) - 1 as ord from documents")
