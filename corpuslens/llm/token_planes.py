@@ -9,6 +9,7 @@ that lie in it, so any chunk can be read alone.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,11 +78,11 @@ class WordEncoder:
     def __init__(self, path: str, remember: int = 300_000):
         self.tokenizer, self.seen, self.remember = _tokenizer(path), {}, remember
 
-    def _encode(self, word: str) -> np.ndarray:
+    def _encode(self, word: str) -> bytes:
         low = word.lower()
         if all(ord(c) in _PLAIN for c in low) and all(ord(c) < 0x100 for c in word):
-            return np.array([t.id for t in self.tokenizer.model.tokenize(low.translate(_PLAIN))], dtype=np.uint32)
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=np.uint32)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(low.translate(_PLAIN))]).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by end_id, and the number of each."""
@@ -95,14 +96,14 @@ class WordEncoder:
         table = []
         for word in coded.dictionary.to_pylist():
             if (ids := seen.get(word)) is None:
-                ids = self._encode(word) if word else np.empty(0, np.uint32)
+                ids = self._encode(word) if word else b""
                 if len(seen) < self.remember and len(word) < 64:
                     seen[word] = ids
             table.append(ids)
-        table.append(np.array([end_id], np.uint32))
-        size = np.fromiter(map(len, table), np.int64, len(table))
+        table.append(array("I", [end_id]).tobytes())
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
         first = np.r_[0, np.cumsum(size)[:-1]]
-        flat = np.concatenate(table)
+        flat = np.frombuffer(b"".join(table), np.uint32)
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(per_text), len(table) - 1)
         n = size[codes]
@@ -195,7 +196,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, pl
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, words, chunks, done = to_arrow_schema(CHUNK), WordEncoder(tokenizer), _Chunks(planes), []
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids, n = words(batch["text"], end_id)
             if chunks.shard is None:
                 chunks.shard = batch["shard"][0].as_py()
