@@ -19,6 +19,8 @@ MOST_LABELLED = 12_000
 FOLDS = 3
 #: Letters of the beginning of a word that is a feature too, and the labelled rows that a feature must be in.
 BEGINNING, LEAST_ROWS = 4, 5
+#: Probabilities are fed on no nearer to 0 and 1 than this.
+LEAST_P = 1e-6
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,12 @@ def features(texts: pa.Array) -> Sparse:
     return Sparse(key & ((1 << BUCKETS_LOG2) - 1), np.searchsorted(key >> BUCKETS_LOG2, np.arange(len(offsets))))
 
 
-def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, size: int, penalty: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, size: int, penalty: float = 1.0, fed_penalty: float = 0.01, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Weights of buckets and of the extra columns (the last is the intercept) by accelerated gradient steps with a step for each column.
 
     A bucket counts with the log ratio of its frequencies in positive and negative rows, so that those that both have
-    alike, which are most, have little say; buckets in fewer than LEAST_ROWS rows have none.
+    alike, which are most, have little say; buckets in fewer than LEAST_ROWS rows have none. What earlier links say is held
+    back less than words are.
     """
     rows = rows_of(x.offsets)
     n_word, n_positive = np.bincount(x.columns, minlength=size), np.bincount(x.columns, y[rows], minlength=size)
@@ -59,7 +62,7 @@ def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, size: int, penalty: fl
     ratio[n_word < LEAST_ROWS] = 0
     reach = np.sqrt(np.diff(x.offsets).mean() + 1)
     rate = np.r_[1 / (0.25 * np.maximum(n_word, 1) * ratio**2 * reach + penalty), 1 / (0.25 * (extra**2).sum(axis=0) * reach + 1e-3)]
-    ridge = np.r_[np.full(size, penalty), np.full(extra.shape[1] - 1, penalty), 0]
+    ridge = np.r_[np.full(size, penalty), np.full(extra.shape[1] - 1, fed_penalty), 0]
     at = np.zeros(size + extra.shape[1])
     ahead, momentum = at.copy(), 1.0
     for _ in range(steps):
@@ -73,22 +76,24 @@ def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, size: int, penalty: fl
 
 @dataclass(frozen=True)
 class Chain:
-    """One link for each category: weights of buckets, of the earlier categories' log odds, and an intercept. None: no positives, or only positives."""
+    """One link for each category: weights of buckets, of the earlier categories' probabilities, and an intercept, or a constant: no positives, or only positives."""
 
     links: list[tuple[np.ndarray, np.ndarray] | float]
 
     def __call__(self, x: Sparse) -> np.ndarray:
-        odds = np.zeros((len(x.offsets) - 1, 0))
+        """The probability of each category; each link is fed those before it."""
+        earlier = np.zeros((len(x.offsets) - 1, 0))
         for link in self.links:
-            odds = np.column_stack([odds, _odds(x, odds, link)])
-        return 1 / (1 + np.exp(-odds))
+            earlier = np.column_stack([earlier, _probability(x, earlier, link)])
+        return earlier
 
 
-def _odds(x: Sparse, earlier: np.ndarray, link: tuple[np.ndarray, np.ndarray] | float) -> np.ndarray:
+def _probability(x: Sparse, earlier: np.ndarray, link: tuple[np.ndarray, np.ndarray] | float) -> np.ndarray:
     n = len(x.offsets) - 1
     if isinstance(link, float):
         return np.full(n, link)
-    return np.clip(x.dot(link[0]) + np.column_stack([earlier, np.ones(n)]) @ link[1], -30, 30)
+    odds = x.dot(link[0]) + np.column_stack([earlier, np.ones(n)]) @ link[1]
+    return np.clip(1 / (1 + np.exp(-np.clip(odds, -30, 30))), LEAST_P, 1 - LEAST_P)
 
 
 def fit_chain(x: Sparse, y: np.ndarray, fold: np.ndarray) -> Chain:
@@ -100,25 +105,25 @@ def fit_chain(x: Sparse, y: np.ndarray, fold: np.ndarray) -> Chain:
         def learn(rows: np.ndarray, c: int = c, earlier: np.ndarray = earlier) -> tuple[np.ndarray, np.ndarray] | float:
             own = y[rows, c]
             if not len(own) or own.min() == own.max():
-                return 30.0 if len(own) and own[0] else -30.0
+                return 1.0 if len(own) and own[0] else 0.0
             return logistic(x.rows(rows), np.column_stack([earlier[rows], np.ones(len(rows))]), own, size)
 
         out = np.zeros(len(y))
         for f in range(FOLDS if c + 1 < y.shape[1] else 0):
             rows = np.flatnonzero(fold == f)
-            out[rows] = _odds(x.rows(rows), earlier[rows], learn(np.flatnonzero(fold != f)))
+            out[rows] = _probability(x.rows(rows), earlier[rows], learn(np.flatnonzero(fold != f)))
         links.append(learn(np.arange(len(y))))
         earlier = np.column_stack([earlier, out])
     return Chain(links)
 
 
 def categories(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """of and the categories that toxic and quality tell apart: toxic at all, toxic in good prose, toxic in bad text."""
+    """of and the categories that toxic and quality tell apart, in the order of the chain: toxic in good prose, toxic in bad text, toxic at all."""
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
     return known.groupBy(F.col(id_col).cast("long").alias("of")).agg(
-        F.max(toxic.cast("int")).alias("toxic"), F.max((toxic & F.coalesce(good, F.lit(False))).cast("int")).alias("toxic_prose"),
-        F.max((toxic & ~F.coalesce(good, F.lit(True))).cast("int")).alias("toxic_junk"))
+        F.max((toxic & F.coalesce(good, F.lit(False))).cast("int")).alias("toxic_prose"),
+        F.max((toxic & ~F.coalesce(good, F.lit(True))).cast("int")).alias("toxic_junk"), F.max(toxic.cast("int")).alias("toxic"))
 
 
 def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, threshold: float = 0.3) -> DataFrame:
@@ -126,8 +131,9 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_i
 
     ``labelled`` has ``of`` (the id) and 0/1 columns, the chain's categories. The chain is fitted on the ``most_labelled``
     labelled documents whose ids hash least; all rows of docs are scored, over the whole text. ``toxic`` is true where the
-    first category reaches the threshold. A category without positives gets a probability of 0; without labels all do.
-    Null and empty texts have the intercepts' probabilities; repeated rows are each scored.
+    last category, which is fed all others, reaches the threshold. A category without positives gets a probability of 0;
+    without labels all do.
+    Null and empty texts have the intercepts' probabilities; repeated rows are each scored, texts of any length whole.
     """
     spark = docs.sparkSession
     names = [c for c in labelled.columns if c != "of"]
@@ -153,4 +159,4 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, p.T)], names=["id", *names])
 
     scored = chosen.mapInArrow(run, "id long" + "".join(f", {c} double" for c in names))
-    return scored.select(F.col("id").alias(id_col), *[F.col(c).alias(f"p_{c}") for c in names], (F.col(names[0]) >= threshold).alias("toxic"))
+    return scored.select(F.col("id").alias(id_col), *[F.col(c).alias(f"p_{c}") for c in names], (F.col(names[-1]) >= threshold).alias("toxic"))
