@@ -57,16 +57,16 @@ def sr07(spark, folder):
     return inverted.stored_lists(spark, path).groupBy("term").agg(F.sum("n_passages").alias("passages"), F.sum(F.size("hits")).cast("long").alias("places"))
 
 
-_ASKED = f"select concat(conv_id, ':', turn) as qid, list_slice({WORDS.format('text')}, 2, 3 + (turn % 4)) as ws from conversations"
+_ASKED = f"select concat(conv_id, ':', turn) as qid, list_slice({WORDS.format('text')}, 2, 3 + (conv_id % 4)) as ws from conversations where turn = 0"
 
 
 @query("sr08_full_text_of_many", "with " + _full_text_sql(_ASKED, _DOC_TOKENS, 200))
 def sr08_many(spark, folder):
-    """Two to five words of every turn, looked up in all documents at once."""
+    """Two to five words of what each conversation opens with, looked up in all documents at once."""
     path = shared_path(spark, "index")
     inverted.write_index(documents(spark, folder), path)
-    words = F.slice("ws", F.lit(2), (F.col("ord") % 4 + 2).cast("int"))
-    asked = chat(spark, folder).select(F.col("pid").alias("qid"), "ord", words_of(F.col("text")).alias("ws")).select("qid", F.transform(words, lambda w: F.array(w)).alias("words"))
+    words = F.slice("ws", F.lit(2), (F.col("grp") % 4 + 2).cast("int"))
+    asked = chat(spark, folder).where("ord = 0").select(F.col("pid").alias("qid"), "grp", words_of(F.col("text")).alias("ws")).select("qid", F.transform(words, lambda w: F.array(w)).alias("words"))
     return sinks.flat(inverted.search(spark, path, asked))
 
 
