@@ -18,10 +18,10 @@ ke as (select *, row_number() over (partition by pid order by i) as first from r
 mo as (select key, count(*) as n from re group by 1 having count(*) > 10)"""
 
 
-@query("gr01_graph_nodes", f"""{_ONE} select '0:0' as id, 'passage' as kind, null::varchar as parent, 0 as level, null::bigint as df
+@query("gr01_graph_nodes", f"""{_ONE} select '0:0' as id, 'passage' as kind, null::varchar as parent, 0 as level, 0::bigint as df
 union all select key, 'word', '0:0', 1, df from own union all select pid, 'passage', key, 2, shared from ke where first = 1 union all select 'more:' || key, 'more', key, 2, n - 10 from mo""")
 def gr01(spark, folder):
-    return graph.expand(chat_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[0]
+    return graph.expand(chat_tokens(spark, folder), "0:0", ["with", "from", "for"], stops=tk.STOP[:5])[0].fillna(0, "df")
 
 
 @query("gr01_graph_links", f"""{_ONE} select '0:0' as source, key as target, 'tree' as kind, {_WEIGHT.format('df')} as weight from own
@@ -43,7 +43,7 @@ p0 as (select '0:0' as pid, 1 as o, null::varchar as parent, null::bigint as sha
         out.append(f"""x{level} as (select id, df, w.o, k.pid as target, coalesce(sh.shared, 0) as shared, row_number() over (partition by id order by coalesce(sh.shared, 0) desc, grp, ord) as rank from w{level - 1} w join k using (key) left join sh on sh.pid = k.pid where k.pid <> w.pid),
 y{level} as (select *, row_number() over (partition by target order by o) = 1 and target not in ({seen}) as first from x{level} where rank <= {branch}),
 p{level} as (select target as pid, row_number() over (order by o, rank) as o, id as parent, shared from y{level} where first)""")
-    nodes = ["select pid as id, 'passage' as kind, parent, 0 as level, shared as n from p0"]
+    nodes = ["select pid as id, 'passage' as kind, parent, 0 as level, 0::bigint as n from p0"]
     links = []
     for level in range(1, levels + 1):
         if level % 2:
@@ -65,7 +65,7 @@ def _grown(spark, folder):
 @query("gr01_grown_nodes", f"{_WITH} {_NODES}")
 def gr01_grown(spark, folder):
     """Words, passages, their words and their passages around the first turn."""
-    return _grown(spark, folder).nodes
+    return _grown(spark, folder).nodes.fillna(0, "n")
 
 
 @query("gr01_grown_links", f"{_WITH} {_LINKS}")

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF
 
@@ -21,7 +22,7 @@ def duck():
 
 def rows(df):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 6) if isinstance(v, (float, np.floating)) else str(v)
 
