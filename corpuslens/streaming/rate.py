@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,10 @@ _PLACED = StructType([
 ])
 
 
+#: Waiting events of one element of a user's list.
+_RUN = 4096
+
+
 def _windows(ts: np.ndarray, step: int, start: int | None, row: int) -> tuple[np.ndarray, np.ndarray, int | None, int]:
     """The start and the number in its window of each of a user's sorted times, given the open window and its first row (negative: before these)."""
     opened, nth, at = np.empty(len(ts), np.int64), np.empty(len(ts), np.int64), 0
@@ -153,53 +156,58 @@ def rate_windows(events: DataFrame, seconds: int = 3600, budget: int = 600, part
 class RateWindows(StatefulProcessor):
     """Windows of one user, whose events wait in the state until event time has passed them.
 
-    Waiting events lie by millisecond, each with a timer; timers fire in order of time, so events that came late, but not
-    later than the watermark, are placed as if they had come in order, one instant at a time. The state beside them is the
-    open window's start and count, which a timer drops when the window has closed.
+    What comes in a batch is appended to the list of waiting events as it is, with one timer at its earliest instant. When
+    a timer fires, all that event time has passed is placed at once, in order of time, so events that came late, but not
+    later than the watermark, are placed as if they had come in order. What still waits is written back, with a timer at its
+    earliest instant. So a user takes a few calls of the state in each batch, however many events it has; its waiting
+    events are held as two numbers each. The state beside them is the open window's start and count, which a timer drops
+    when the window has closed.
     """
 
     def __init__(self, seconds: int, budget: int):
-        self.step, self.budget = timedelta(seconds=seconds), budget
+        self.step, self.budget = int(seconds) * 1_000_000, budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        time = StructField("ts", TimestampNTZType())
-        self.waiting = handle.getMapState("waiting", StructType([StructField("ms", LongType())]), "events array<struct<ts:timestamp_ntz,event_id:bigint>>")
-        self.open = handle.getValueState("open", StructType([time, StructField("count", LongType())]))
+        number = lambda *names: StructType([StructField(n, LongType()) for n in names])
+        self.waiting = handle.getListState("waiting", "runs array<struct<us:bigint,event_id:bigint>>")
+        self.open = handle.getValueState("open", number("us", "count"))
+
+    def _wait(self, us: np.ndarray, event_id: list, keep) -> None:
+        keep([(list(zip(us[lo : lo + _RUN].tolist(), event_id[lo : lo + _RUN], strict=True)),) for lo in range(0, len(us), _RUN)])
+        self.handle.registerTimer(int(us.min()) // 1000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            for ms, own in frame.groupby(_millis(frame["ts"])):
-                known = list(self.waiting.getValue((int(ms),))[0]) if self.waiting.containsKey((int(ms),)) else []
-                new = list(zip(map(pd.Timestamp.to_pydatetime, own["ts"]), own["event_id"].tolist(), strict=True))
-                self.waiting.updateValue((int(ms),), ([*known, *new],))
-                self.handle.registerTimer(int(ms) + 1)
+            self._wait(_micros(frame["ts"]).to_numpy(), [None if pd.isna(e) else int(e) for e in frame["event_id"]], self.waiting.appendList)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
-        out = []
+        passed = timerValues.getCurrentWatermarkInMs()
         start, count = self.open.get() if self.open.exists() else (None, 0)
-        if self.waiting.containsKey((ms,)):
-            for ts, event_id in sorted(tuple(e) for e in self.waiting.getValue((ms,))[0]):
-                if start is None or ts >= start + self.step:
-                    start, count = ts, 0
-                    self.handle.registerTimer(int((ts + self.step - datetime(1970, 1, 1)) / timedelta(milliseconds=1)) + 2)
-                count += 1
-                out.append((key[0], event_id, ts, start, count, count <= self.budget))
-            self.waiting.removeKey((ms,))
+        waiting = sorted(((e[0], e[1]) for run in self.waiting.get() for e in run[0]), key=lambda e: (e[0], e[1] is not None, e[1]))
+        us = np.array([e[0] for e in waiting], np.int64)
+        due = int(np.searchsorted(us // 1000, passed))
+        if due:
+            opened, nth, start, row = _windows(us[:due], self.step, start, -count)
+            count = due - row
+            if due < len(us):
+                self._wait(us[due:], [e[1] for e in waiting[due:]], self.waiting.put)
+            else:
+                self.waiting.clear()
             self.open.update((start, count))
-        elif start is not None and datetime(1970, 1, 1) + timedelta(milliseconds=ms) >= start + self.step:
+            self.handle.registerTimer((start + self.step) // 1000 + 2)
+            ids = pd.array([e[1] for e in waiting[:due]], "Int64")
+            yield pd.DataFrame({"user_id": key[0], "event_id": ids, "ts": us[:due].view("datetime64[us]"), "window_start": opened.view("datetime64[us]"), "nth": nth, "allowed": nth <= self.budget})
+        elif start is not None and passed * 1000 >= start + self.step:
             self.open.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "window_start", "nth", "allowed"])
 
     def close(self) -> None:
         pass
 
 
-def _millis(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64") // 1000
+def _micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
 
 
 def rate_stream(events: DataFrame, seconds: int = 3600, budget: int = 600, late: str = "0 seconds") -> DataFrame:

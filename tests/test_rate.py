@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.streaming.rate import rate_stream, rate_windows
+from corpuslens.streaming.rate import RateWindows, rate_stream, rate_windows
 
 BEGAN = dt.datetime(2024, 1, 1)
 SCHEMA = "user_id long, event_id long, ts timestamp_ntz"
@@ -70,3 +72,42 @@ def test_stream_stopped_and_taken_up_again_gives_the_batch_rows(spark, tmp_path)
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert len(rows) == len(events)
     assert {r.event_id: (r.user_id, r.window_start, r.nth, r.allowed) for r in rows} == plain(events, 60, 3)
+
+
+def test_a_user_takes_few_calls_of_the_state():
+    """Two batches of one user's events, with a state that counts how often it is called."""
+    calls, timers, at = [], [], {}
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("exists", "containsKey"):
+                    return self.value is not None
+                if name in ("update", "put"):
+                    self.value = args[0]
+                elif name == "appendList":
+                    self.value = [*(self.value or []), *args[0]]
+                elif name == "clear":
+                    self.value = None
+                return iter(self.value or []) if name == "get" and not isinstance(self.value, tuple) else self.value
+
+            return call
+
+    handle = SimpleNamespace(registerTimer=lambda ms: (calls.append("timer"), timers.append(ms)), getListState=lambda *a: State(), getValueState=lambda *a: State(), getMapState=lambda *a: State())
+    rate = RateWindows(60, 3)
+    rate.init(handle)
+    events = [(1, i, BEGAN + dt.timedelta(seconds=i)) for i in range(2000)]
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: at["ms"])
+    out = []
+    for own, passed in ((events[:1200], events[1000]), (events[1200:], (1, 0, BEGAN + dt.timedelta(days=1)))):
+        list(rate.handleInputRows((1,), iter([pd.DataFrame(own, columns=["user_id", "event_id", "ts"])]), now))
+        at["ms"] = int((passed[2] - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+        for ms in sorted({t for t in timers if t <= at["ms"]}):
+            timers.remove(ms)
+            out += [frame for frame in rate.handleExpiredTimer((1,), now, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))]
+    got = {r.event_id: (r.user_id, r.window_start.to_pydatetime(), r.nth, r.allowed) for f in out for r in f.itertuples()}
+    assert got == plain(events, 60, 3) and len(calls) < 40
