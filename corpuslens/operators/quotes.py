@@ -17,8 +17,14 @@ from corpuslens.sources.stored import materialise
 
 from .ordered import running_sum
 
-#: Words of a block of text.
-BLOCK = 256
+#: Words of a block of text, and rows of a few words or numbers that are sent to all tasks at most.
+BLOCK, MOST_SENT = 256, 1_000_000
+
+
+def _sent(rows: DataFrame, name: str) -> DataFrame:
+    """The stored rows, to be sent to all tasks if they are few: what they meet, the whole text, isn't shuffled then."""
+    stored = materialise(rows, name, True)
+    return F.broadcast(stored) if stored.count() <= MOST_SENT else stored
 
 
 def _none() -> Column:
@@ -89,22 +95,25 @@ def locate_quotations(text: DataFrame, asked: DataFrame) -> DataFrame:
     """
     seeds = materialise(_seeds(asked), "seeds", True)
     pairs = _pairs(text)
-    wanted = seeds.select("a", "b").distinct()
-    frequency = pairs.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("df"))
+    wanted = _sent(seeds.select("a", "b").distinct(), "wanted")
+    frequency = materialise(pairs.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("df")), "frequency", True)
     sums = seeds.join(frequency, ["a", "b"], "left").groupBy("qid", "j").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
     rarest = sums.groupBy("qid").agg(F.min(F.struct("df", "j")).alias("r")).where("r.df > 0").select("qid", F.col("r.j").alias("j"))
-    chosen = seeds.join(rarest, ["qid", "j"])
+    chosen = _sent(seeds.join(rarest, ["qid", "j"]), "chosen")
     # how many words before the seed may be written together with their next: those for which the text has such a word
-    vocabulary = pairs.where("b = ''").select(F.col("a").alias("key")).join(asked.select(F.explode(F.flatten("joined")).alias("key")).distinct(), "key", "left_semi").distinct()
+    joined = _sent(asked.select(F.explode(F.flatten("joined")).alias("key")).distinct(), "joined")
+    vocabulary = text.select(F.explode(F.flatten("words")).alias("key")).join(joined, "key", "left_semi").distinct()
     fused = asked.join(rarest, "qid").select("qid", "j", F.posexplode("joined").alias("i", "ks")).where("i < j").select("qid", "i", F.explode("ks").alias("key")).join(vocabulary, "key").groupBy("qid").agg(F.countDistinct("i").alias("most"))
-    met = chosen.join(fused, "qid", "left").join(pairs, ["a", "b"]).select("qid", "grp", "at", "j", "n", F.explode(F.sequence(F.lit(0), F.coalesce("most", F.lit(0)).cast("int"))).alias("f"))
-    starts = met.select("qid", "grp", (F.col("at") - F.col("j") + F.col("f")).alias("place"), "n").where("place >= 0").distinct()
+    met = pairs.join(chosen, ["a", "b"]).join(fused, "qid", "left").select("qid", "grp", "at", "j", "n", F.explode(F.sequence(F.lit(0), F.coalesce("most", F.lit(0)).cast("int"))).alias("f"))
+    starts = materialise(met.select("qid", "grp", (F.col("at") - F.col("j") + F.col("f")).alias("place"), "n").where("place >= 0").distinct(), "starts", True)
     # the text from there on, in slices of blocks
     last = F.col("first") + F.size("words") - 1
     slices = text.select("grp", "ord", "pid", "words", "first", F.size("words").alias("total"), F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(last / BLOCK))).alias("block"))
     lo, hi = F.greatest(F.col("first"), F.col("block") * BLOCK), F.least(last, F.col("block") * BLOCK + BLOCK - 1)
     slices = slices.select(F.col("grp").alias("of"), "block", "ord", "pid", "total", "first", lo.alias("lo"), F.slice("words", (lo - F.col("first") + 1).cast("int"), (hi - lo + 1).cast("int")).alias("words"))
     blocks = starts.withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / BLOCK), F.floor((F.col("place") + F.col("n") - 1) / BLOCK))))
+    opened = _sent(blocks.select(F.col("grp").alias("at_grp"), F.col("block").alias("at_block")).distinct(), "opened")
+    slices = slices.join(opened, (F.col("block") == F.col("at_block")) & F.col("of").eqNullSafe(F.col("at_grp")), "left_semi")
     # of a block only what lies in the quotation's reach
     skip = F.greatest(F.col("place") - F.col("lo"), F.lit(0))
     reach = blocks.join(slices, (blocks["block"] == slices["block"]) & F.col("grp").eqNullSafe(F.col("of"))).where((F.col("lo") < F.col("place") + F.col("n")) & (F.col("lo") + F.size("words") > F.col("place")))

@@ -71,3 +71,18 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "pid string, grp long, ord long, words array<array<string>>")
     asked = spark.createDataFrame([(1, [["a"]], [[]])], "qid long, words array<array<string>>, joined array<array<string>>")
     assert quotes.locate_quotations(quotes.running_text(none, F.col("words")), asked).collect() == []
+
+
+def test_the_text_meets_few_quotations_without_a_shuffle(spark):
+    """Even where Spark broadcasts nothing by itself, only the blocks that may hold a place are dealt out."""
+    df = spark.createDataFrame([(str(i), "g", i, "some words that stand here and there".split()) for i in range(40)] + [("90", "g", 90, "a line to quote".split())], "pid string, grp string, ord long, ws array<string>")
+    alone = lambda w: F.array(w)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = quotes.quotations(spark.createDataFrame([(1, "line to quote".split())], "qid long, ws array<string>"), F.col("ws"), alone)
+        places = quotes.locate_quotations(quotes.running_text(df, F.transform("ws", alone)), asked)
+        assert "BroadcastHashJoin" in places._jdf.queryExecution().executedPlan().toString()
+        assert [(r.pid, r.at, r["count"]) for r in places.collect()] == [("90", 1, 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
