@@ -15,6 +15,9 @@ from corpuslens.sources.stored import materialise
 from .ordered import numbered
 from .tokens import postings
 
+#: Pairs whose ids are sent to all tasks at most.
+MOST_SENT = 1_000_000
+
 
 def roots_of(tokens: DataFrame) -> DataFrame:
     return postings(tokens.where("root is not null").withColumn("key", F.col("root")))
@@ -116,8 +119,21 @@ def relatedness(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(dot, ["a", "b"], "left").join(n("a"), "a", "left").join(n("b"), "b", "left").select("a", "b", F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0)).alias("score"))
 
 
+def _grams(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.array_join(F.slice("ws", i + 1, n), " "))
+
+
+def distinct_ngrams(tokens: DataFrame, n: int) -> DataFrame:
+    """(pid, grp, ord, gram): the different runs of n keys of each passage; each passage is one row where it comes with its words (ws)."""
+    if "ws" in tokens.columns:
+        return tokens.where(F.size("ws") >= n).select("pid", "grp", "ord", F.explode(F.array_distinct(_grams(n))).alias("gram"))
+    return ngrams(tokens, n).select("pid", "grp", "ord", "gram").distinct()
+
+
 def ngrams(tokens: DataFrame, n: int) -> DataFrame:
-    """(pid, grp, ord, pos, gram): runs of n keys within a passage."""
+    """(pid, grp, ord, pos, gram): runs of n keys within a passage; of tokens, or without a shuffle of passages (pid, grp, ord, ws)."""
+    if "ws" in tokens.columns:
+        return tokens.where(F.size("ws") >= n).select("pid", "grp", "ord", F.posexplode(_grams(n)).alias("pos", "gram"))
     w = Window.partitionBy("pid").orderBy("pos")
     words = [F.lead("key", i).over(w) for i in range(n)]
     return tokens.select("pid", "grp", "ord", "pos", F.when(words[-1].isNotNull(), F.concat_ws(" ", *words)).alias("gram")).where("gram is not null")
@@ -244,14 +260,20 @@ def _edits(most: int) -> Callable[[Column, Column], Column]:
     return edits
 
 
+def word_rows(tokens: DataFrame) -> DataFrame:
+    """(pid, ws): the words of each passage in order; what has them in a column ``ws`` already is taken as it is, without a shuffle."""
+    if "ws" in tokens.columns:
+        return tokens.select("pid", "ws").where(F.size("ws") > 0)
+    return tokens.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
+
+
 def _texts(tokens: DataFrame) -> DataFrame:
-    words = tokens.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
-    return words.withColumn("text", F.sha2(F.array_join("ws", " "), 256))
+    return word_rows(tokens).withColumn("text", F.sha2(F.array_join("ws", " "), 256))
 
 
 def equal_passages(tokens: DataFrame) -> DataFrame:
-    """pid of each passage and the first (by pid) with the same words in the same order (same_as), which may be itself."""
-    texts = _texts(tokens).select("pid", "text")
+    """pid of each passage and the first (by pid) with the same words in the same order (same_as), which may be itself; of tokens, or of passages (pid, ws)."""
+    texts = _texts(tokens).select("pid", F.unhex("text").alias("text"))
     # each passage meets the one row of its text
     return texts.join(texts.groupBy("text").agg(F.min("pid").alias("same_as")), "text").select("pid", "same_as")
 
@@ -268,10 +290,12 @@ def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_sa
     Of a passage cut into one segment more than there may be changes, one is whole in its twin, at most as many words away
     from its place. So passages meet by length, segment and words, however common a run of words is, and only what meets is
     compared. With ``classes`` the first of the passages with the same words stands for them all (equal_passages tells which).
+    Takes tokens, or passages (pid, ws).
     """
-    words = _texts(tokens)
-    words = words.groupBy("text").agg(F.min(F.struct("pid", "ws")).alias("x")).select("x.pid", "x.ws") if classes else words.select("pid", "ws")
-    words = words.where(F.size("ws") >= max(seed, least_same)).withColumn("n", F.size("ws"))
+    words = word_rows(tokens)
+    if classes:
+        words = _texts(tokens).groupBy(F.unhex("text").alias("text")).agg(F.min(F.struct("pid", "ws")).alias("x")).select("x.pid", "x.ws")
+    words = materialise(words.where(F.size("ws") >= max(seed, least_same)).withColumn("n", F.size("ws")), "twin-words")
     parts = most_changed + 1
     own = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.slice("ws", *_segment(F.col("n"), i, parts))).alias("h")) for i in range(parts)])
     held = words.select(F.col("pid").alias("a"), "n", F.explode(own).alias("s")).select("a", "n", "s.*")
@@ -279,7 +303,10 @@ def near_twins(tokens: DataFrame, seed: int = 4, most_changed: int = 2, least_sa
     begins = lambda i, d: _segment(F.col("n"), i, parts)[0] + d
     at = [F.when(begins(i, d) >= 1, F.struct(F.lit(i).alias("i"), F.xxhash64(F.slice("ws", F.greatest(begins(i, d), F.lit(1)), _segment(F.col("n"), i, parts)[1])).alias("h"))) for i in range(parts) for d in range(-most_changed, most_changed + 1)]
     probes = other.select("b", "n", F.explode(F.array_distinct(F.array_compact(F.array(*at)))).alias("s")).select("b", "n", "s.*")
-    pairs = held.join(probes, ["n", "i", "h"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialise(held.join(probes, ["n", "i", "h"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "twin-pairs", True)
+    # only the words of passages that met another are dealt out again
+    some = pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
+    words = words.join(F.broadcast(some) if pairs.count() <= MOST_SENT else some, "pid", "left_semi")
     side = lambda c: words.select(F.col("pid").alias(c), F.col("ws").alias(f"w{c}"))
     edits = _edits(most_changed)
     met = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -299,7 +326,7 @@ def bonds(tokens: DataFrame, most: int = 3, distance: int = 2) -> DataFrame:
 
 def phrase_bonds(tokens: DataFrame, n: int = 3, most: int = 3, distance: int = 2) -> DataFrame:
     """Rare runs of n words that only one group has, at a distance in it."""
-    rows = ngrams(tokens, n).select("gram", "grp", "pid", "ord").distinct()
+    rows = distinct_ngrams(tokens, n)
     held = rows.groupBy("gram").agg(F.count("*").alias("passages"), F.min("grp").alias("grp"), F.max("grp").alias("hi"), F.min("ord").alias("first"), F.max("ord").alias("last"))
     return held.where((F.col("grp") == F.col("hi")) & F.col("passages").between(2, most) & (F.col("last") - F.col("first") >= distance)).select("grp", "gram", "passages", "first", "last")
 

@@ -49,6 +49,15 @@ def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tk.tokens(documents(spark, folder))
 
 
+def document_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their words in order (ws): a row for each, where the token table has one for each word."""
+    return documents(spark, folder).select("pid", "grp", "ord", tk.words_of(F.col("text")).alias("ws"))
+
+
+def chat_words(spark: SparkSession, folder: str) -> DataFrame:
+    return chat(spark, folder).select("pid", "grp", "ord", tk.words_of(F.col("text")).alias("ws"))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 5) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from corpuslens.operators import association as assoc
 from corpuslens.operators import similarity
 from corpuslens.operators import tokens as tk
-from corpuslens.plans.registry import KEYNESS, WORDS, chat_tokens, document_tokens, query, rounded
+from corpuslens.plans.registry import KEYNESS, WORDS, chat_tokens, document_words, query, rounded
 from corpuslens.sources import sinks
+from corpuslens.sources.stored import materialise
 
 #: Pairs of different texts whose words differ by two at most: what is between their common beginning and end is short, or
 #: becomes equal when each end of it loses one word.
@@ -27,7 +28,7 @@ tw as (select *, (case when kind = 0 then x + y else 2 end)::int as changed from
 
 @query("sm08_near_twins", f"with {_TWINS.strip()} select a, b, ((na + nb - changed) // 2)::int as same, changed from tw where (na + nb - changed) // 2 >= 3")
 def sm08(spark, folder):
-    return similarity.near_twins(document_tokens(spark, folder), classes=True)
+    return similarity.near_twins(document_words(spark, folder), classes=True)
 
 
 @query("sm09_twin_scripts", f"""with {_TWINS.strip()} select a, b, ((na + nb - changed) // 2)::int as same, changed, round((na + nb - changed) / (na + nb), 6) as ratio,
@@ -36,10 +37,10 @@ def sm08(spark, folder):
 from tw where (na + nb - changed) // 2 >= 3""")
 def sm09(spark, folder):
     """What has to go from one and to come from the other of each two near twins, along the steps between them."""
-    t = document_tokens(spark, folder)
-    pairs = similarity.near_twins(t, classes=True).select("a", "b")
+    t = document_words(spark, folder)
+    pairs = materialise(similarity.near_twins(t, classes=True).select("a", "b"), "twins", True)
     wanted = pairs.select(F.col("a").alias("pid")).union(pairs.select("b")).distinct()
-    words = t.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("ws"))
+    words = similarity.word_rows(t).join(F.broadcast(wanted) if pairs.count() <= similarity.MOST_SENT else wanted, "pid", "left_semi")
     side = lambda c: words.select(F.col("pid").alias(c), F.col("ws").alias(f"w{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity.word_diff(F.col("wa"), F.col("wb")).alias("d"), similarity.diff_operations(F.col("wa"), F.col("wb")).alias("ops"))
     of = lambda op: F.transform(F.filter("ops", lambda x: x["op"] == op), lambda x: x["word"])

@@ -84,3 +84,15 @@ def test_scripts_in_a_table(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c"]), ([], ["a"]), (None, ["a"])], "a array<string>, b array<string>")
     got = [[(o.op, o.word) for o in r.ops] if r.ops is not None else None for r in df.select(similarity.diff_operations(F.col("a"), F.col("b")).alias("ops")).collect()]
     assert got == [[("same", "a"), ("del", "b"), ("ins", "x"), ("same", "c")], [("ins", "a")], None]
+
+
+def test_passages_with_their_words_are_not_taken_apart(spark):
+    """Rows of whole passages give what their tokens give, and no words go through a shuffle to come together again."""
+    rows = [(str(i), 0, i, t.split()) for i, t in enumerate(["aa bb cc dd ee", "aa bb cc dd ff", "aa bb cc dd ee", "xx yy", "aa bb cc dd ee aa bb cc"])]
+    whole = spark.createDataFrame(rows, "pid string, grp long, ord long, ws array<string>")
+    tokens = whole.select("pid", "grp", "ord", F.posexplode("ws").alias("pos", "key"))
+    for made in (lambda t: similarity.near_twins(t, classes=True), similarity.equal_passages, lambda t: similarity.ngrams(t, 3), lambda t: similarity.distinct_ngrams(t, 3), similarity.phrase_bonds):
+        got = made(whole)
+        assert sorted(map(str, got.collect())) == sorted(map(str, made(tokens).select(got.columns).collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(similarity.distinct_ngrams(whole, 3)) and "collect_list" not in plan(similarity.equal_passages(whole))
