@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpuslens.functions.arabic import spaced_root
-from corpuslens.operators.ordered import last_before, numbered
+from corpuslens.operators.ordered import last_before
+from corpuslens.sources.stored import materialise
+
+#: Lines of a run whose heads are kept together, and the most runs that are sent to all tasks.
+CHUNK, MOST_CHUNKS = 256, 200_000
 
 PASSAGES = T.StructType([T.StructField("_index", T.LongType()), T.StructField("_name", T.StringType()), T.StructField("aya", T.ArrayType(T.StructType([T.StructField("_index", T.LongType()), T.StructField("_text", T.StringType())])))])
 
@@ -50,21 +55,31 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 0) and value of the lines of each text file below path.
 
-    A file is read in as many splits as it has; lines are numbered through all of them by what the splits before have.
+    A file is read in as many splits as it has, whose lines stay together in order; they are numbered by what the splits
+    before have, of which only a row each is dealt out.
     """
-    rows = spark.read.option("lineSep", "\n").text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
-    lines = numbered(rows.withColumnRenamed("file_path", "file"), [F.col("file_block_start"), F.col("at")], "line", within="file")
-    return lines.select("file", "line", "value")
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    stored = materialise(rows, "lines")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = stored.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first")).select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("add"))
+    return stored.join(F.broadcast(splits), ["file", "split"]).select("file", (F.col("at") + F.col("add")).alias("line"), "value")
 
 
 def open_entries(lines: DataFrame, head: Column) -> DataFrame:
     """lines with entry: the number of the line that begins the entry a line belongs to, one for which ``head`` holds; null before the first.
 
-    The open entry is carried from each part of a file into the next, so neither a file nor an entry is gathered.
+    The heads of each run of CHUNK lines, and the one that is open before it, are found first and carried from run to run;
+    lines meet those of their run, so neither a file nor an entry is gathered.
     """
-    marked = lines.withColumn("__head", F.when(head, F.col("line")))
-    placed = last_before(marked, [F.col("line")], "__head", "__open", within="file")
-    return placed.select(*lines.columns, F.coalesce("__head", "__open").alias("entry"))
+    chunk = F.floor(F.col("line") / CHUNK)
+    heads = lines.groupBy("file", chunk.alias("__chunk")).agg(F.array_sort(F.collect_list(F.when(head, F.col("line")))).alias("__heads"))
+    heads = last_before(heads.withColumn("__last", F.array_max("__heads")), [F.col("__chunk")], "__last", "__open", within="file")
+    heads = materialise(heads.select(F.col("file").alias("__file"), F.col("__chunk").alias("__of"), "__heads", "__open"), "heads", True)
+    if heads.count() <= MOST_CHUNKS:
+        heads = F.broadcast(heads)
+    placed = lines.join(heads, (F.col("file") == F.col("__file")) & (chunk == F.col("__of")))
+    own = F.array_max(F.filter("__heads", lambda h: h <= F.col("line")))
+    return placed.select(*lines.columns, F.coalesce(own, "__open").alias("entry"))
 
 
 def page_marker(line: Column) -> Column:

@@ -80,3 +80,21 @@ def test_rate_windows(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.event_id: (r.nth, r.allowed) for r in spark.table("rated").collect()}
     assert got == {e: (n, a) for e, (_, n, a) in want.items()}
+
+
+def test_lines_stay_where_they_are_read(spark, tmp_path):
+    """Even where Spark broadcasts nothing by itself, no line is dealt out to be numbered or to meet its entry."""
+    text = [f"#{i}" if i % 700 == 5 else f"line {i}" for i in range(3000)]
+    (tmp_path / "t.txt").write_text("\n".join(text))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = files.open_entries(files.read_lines(spark, str(tmp_path / "t.txt")), F.col("value").startswith("#"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+        got = [(r.value, r.entry) for r in lines.orderBy("line").collect()]
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    assert got == [(w, None if i < 5 else (i - 5) // 700 * 700 + 5) for i, w in enumerate(text)]
