@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from .tokens import postings
 
 #: Pairs whose ids are sent to all tasks at most.
 MOST_SENT = 1_000_000
+#: Keys (and contexts) that a side of a tile of vectors has at most: a task holds three such squares of doubles.
+TILE = 1024
 
 
 def roots_of(tokens: DataFrame) -> DataFrame:
@@ -77,37 +81,117 @@ def ppmi(tokens: DataFrame, least: int = 3, most_share: float = 0.25, only: list
     """(key, other, w, k, df, other_df): positive PMI of keys that share passages, both with a df in the band.
 
     ``only`` leaves out the vectors of all other keys before anything is joined; contexts and frequencies stay whole. The band bounds what a passage contributes: the square of its distinct roots of middle frequency.
+    Keys are numbered, and of two keys a passage has, only the lesser is counted with the greater: the rest is the mirror image.
     """
     rows = roots_of(tokens).select("key", "pid")
     n = tokens.select("pid").distinct().agg(F.count("*").alias("n"))
     df = rows.groupBy("key").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most_share * F.col("n")))
-    kept = rows.join(df.select("key"), "key", "left_semi")
+    codes = numbered(df.select("key", "df"), [F.col("key")], "id")
+    kept = materialise(rows.join(codes, "key").select("pid", F.col("id").alias("a"), "key"), "kept")
     used = kept.select("pid").distinct().agg(F.count("*").alias("n"))
     wanted = kept if only is None else kept.where(F.col("key").isin(only))
-    joint = wanted.join(kept.select(F.col("key").alias("other"), "pid"), "pid").where("key != other").groupBy("key", "other").agg(F.count("*").alias("k"))
-    d = df.select("key", "df")
-    scored = joint.join(d, "key").join(d.select(F.col("key").alias("other"), F.col("df").alias("other_df")), "other").join(F.broadcast(used))
+    met = wanted.select("pid", "a").join(kept.select(F.col("a").alias("b"), "pid"), "pid").where("a < b" if only is None else "a != b")
+    joint = met.groupBy("a", "b").agg(F.count("*").alias("k"))
+    if only is None:
+        joint = joint.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "k").select("p.a", "p.b", "k")
+    scored = joint.join(codes.select(F.col("id").alias("a"), "key", "df"), "a").join(codes.select(F.col("id").alias("b"), F.col("key").alias("other"), F.col("df").alias("other_df")), "b").join(F.broadcast(used))
     return scored.withColumn("w", F.log2(F.col("k") * F.col("n") / (F.col("df") * F.col("other_df")))).where("w > 0").select("key", "other", "w", "k", "df", "other_df")
 
 
-def nearest_keys(vectors: DataFrame, k: int = 12, least: float = 0.08) -> DataFrame:
+def _packed(table: pa.Table) -> pa.Table:
+    """A tile of vectors in one row: places in it and weights, in order of contexts."""
+    table = table.sort_by("c")
+    pack = lambda name, kind: pa.array([table[name].to_numpy().astype(kind).tobytes()])
+    return pa.table({"i": table["i"][:1], "m": table["m"][:1], "r": pack("a", np.int32), "c": pack("c", np.int32), "w": pack("w", np.float64)})
+
+
+def _add_product(x: tuple, y: tuple, to: np.ndarray) -> None:
+    """Adds the product of two packed tiles of the same contexts to a square: entry by entry if few meet, else as matrices."""
+    side = len(to)
+    (xr, xc, xw), (yr, yc, yw) = x, y
+    first = np.searchsorted(yc, np.arange(side + 1))
+    n = np.diff(first)[xc]
+    if n.sum() * 200 < side**3:
+        at = np.repeat(first[xc] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(to, (np.repeat(xr, n), yr[at]), np.repeat(xw, n) * yw[at])
+        return
+    dense = []
+    for r, c, w in (x, y):
+        dense.append(np.zeros((side, side)))
+        dense[-1][r, c] = w
+    to += dense[0] @ dense[1].T
+
+
+def _contenders(sims: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where a row of similarities has its k greatest, and all that round to the same as the last of them, of those that are ``least`` at least."""
+    floor = np.full(len(sims), least)
+    if sims.shape[1] > k:
+        floor = np.maximum(floor, np.partition(sims, -k, axis=1)[:, -k] - 1e-8)
+    return np.nonzero(sims >= floor[:, None])
+
+
+def _tile_products(unit: DataFrame, side: int, blocks: int, k: int, least: float) -> DataFrame:
+    """(a, b, sim) of numbered unit vectors (a, c, w): for each a, its contenders in each range of ``side`` numbers.
+
+    Each tile of the product meets the two rows of tiles that it is made of, tile by tile in order of their contexts.
+    """
+    own = unit.select(F.floor(F.col("a") / side).cast("int").alias("i"), F.floor(F.col("c") / side).cast("int").alias("m"), F.pmod("a", F.lit(side)).cast("int").alias("a"), F.pmod("c", F.lit(side)).cast("int").alias("c"), "w")
+    packed = own.groupBy("i", "m").applyInArrow(_packed, "i int, m int, r binary, c binary, w binary")
+    dealt = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "m", "i", "r", "c", "w")
+    tiles = blocks * (blocks + 1) // 2
+    parts = min(tiles, 4 * int(unit.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = (F.col("hi") * (F.col("hi") + 1) / 2 + F.col("lo")).cast("long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, left, sims = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if tile is None:
+                return
+            lo, hi = tile
+            if lo == hi:
+                np.fill_diagonal(sims, -1)
+            for at, to, s in ((lo, hi, sims), (hi, lo, sims.T))[: 1 + (lo != hi)]:
+                row, column = _contenders(s, k, least)
+                yield pa.RecordBatch.from_arrays([pa.array(at * side + row), pa.array(to * side + column), pa.array(s[row, column])], names=["a", "b", "sim"])
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                lo, hi, m, i, *entries = (batch.column(c)[n] for c in range(batch.num_columns))
+                lo, hi, m, i = lo.as_py(), hi.as_py(), m.as_py(), i.as_py()
+                if (lo, hi) != tile:
+                    yield from done()
+                    tile, left, sims = (lo, hi), None, np.zeros((side, side))
+                entries = tuple(np.frombuffer(e.as_buffer(), t) for e, t in zip(entries, (np.int32, np.int32, np.float64), strict=True))
+                if i == lo:
+                    left = (m, entries)
+                if i == hi and left is not None and left[0] == m:
+                    _add_product(left[1], entries, sims)
+        yield from done()
+
+    return dealt.repartitionById(parts, F.pmod(number, F.lit(parts)).cast("int")).sortWithinPartitions("lo", "hi", "m", "i").mapInArrow(run, "a long, b long, sim double")
+
+
+def nearest_keys(vectors: DataFrame, k: int = 12, least: float = 0.08, tile: int = TILE) -> DataFrame:
     """The k keys with the greatest cosine of PPMI vectors; syntagmatic if they mostly occur together, else paradigmatic.
 
-    Vectors are brought to length 1 first, each pair is made once, and sums are taken before they are shuffled.
+    Vectors are brought to length 1 and multiplied by tiles of ``tile`` keys at most; pairs of keys are made within a tile,
+    and only those that can be among a key's k leave it. ``least`` must be positive.
     """
     vectors = materialise(vectors, "vectors")
     norms = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    codes = numbered(vectors.select("key").distinct(), [F.col("key")], "id")  # numbers are joined and summed faster than words
+    names = vectors.select("key").union(vectors.select("other")).distinct()
+    codes = numbered(names, [F.col("key")], "id")  # in order of keys, so equal similarities go by number
     of = lambda c, name: codes.select(F.col("key").alias(c), F.col("id").alias(name))
     unit = vectors.join(norms, "key").join(of("key", "a"), "key").join(of("other", "c"), "other").select("a", "c", (F.col("w") / F.col("norm")).alias("w"))
-    unit = materialise(unit, "unit-vectors")
-    dot = unit.join(unit.select(F.col("a").alias("b"), "c", F.col("w").alias("v")), "c").where("a < b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("sim")).where(F.col("sim") >= least)
-    both = dot.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "sim").select("p.a", "p.b", "sim")
-    sim = both.join(of("key", "a"), "a").join(of("near", "b"), "b").select("key", "near", "sim")
-    top = sim.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("sim", 9)), "near"))).where(F.col("rank") <= k)
+    n = max(1, codes.count())
+    side = min(tile, max(64, -(-n // 8)))  # eight rows of tiles at least, for many tasks
+    near = _tile_products(unit, side, -(-n // side), k, least)
+    top = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))).where(F.col("rank") <= k)
+    named = top.join(of("key", "a"), "a").join(of("near", "b"), "b").select("key", "near", "rank", "sim")
     met = vectors.select("key", F.col("other").alias("near"), "k", F.least("df", "other_df").alias("rarer"))
     kind = F.when(F.coalesce(F.col("k") / F.col("rarer"), F.lit(0.0)) >= 0.25, "syntagmatic").otherwise("paradigmatic")
-    return top.join(met, ["key", "near"], "left").select("key", "near", "rank", "sim", kind.alias("kind"))
+    return named.join(met, ["key", "near"], "left").select("key", "near", "rank", "sim", kind.alias("kind"))
 
 
 def relatedness(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -96,3 +96,37 @@ def test_passages_with_their_words_are_not_taken_apart(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, made(tokens).select(got.columns).collect()))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan(similarity.distinct_ngrams(whole, 3)) and "collect_list" not in plan(similarity.equal_passages(whole))
+
+
+@pytest.mark.parametrize("tile, density", [(7, 0.6), (64, 0.6), (1024, 0.02)])
+def test_nearest_keys_equal_comparing_all_pairs(spark, tile, density):
+    """Tiles of any size, filled or nearly empty, with ties; no row is made for each pair of keys that share a context."""
+    rng = random.Random(tile)
+    n = 200 if density < 0.1 else 60
+    entries = {(f"k{i}", f"k{j}"): rng.choice([0.5, 1.0, 2.0]) for i in range(n) for j in range(n) if i != j and rng.random() < density}
+    entries |= {("twin", o): w for (key, o), w in entries.items() if key == "k3"}
+    df = spark.createDataFrame([(a, b, w, 1, 3, 5 if b < "k2" else 3) for (a, b), w in entries.items()], "key string, other string, w double, k long, df long, other_df long")
+    rows = {}
+    for (a, b), w in entries.items():
+        rows.setdefault(a, {})[b] = w
+    size = {a: sum(w * w for w in row.values()) ** 0.5 for a, row in rows.items()}
+    want = []
+    for a, x in rows.items():
+        sims = [(b, sum(w * y.get(c, 0) for c, w in x.items()) / (size[a] * size[b])) for b, y in rows.items() if a != b]
+        best = sorted((-round(s, 9), b) for b, s in sims if s >= 0.08)[:5]
+        want += [(a, b, i + 1, -s, "syntagmatic" if (a, b) in entries else "paradigmatic") for i, (s, b) in enumerate(best)]
+    near = similarity.nearest_keys(df, k=5, tile=tile)
+    got = sorted((r.key, r.near, r.rank, r.sim, r.kind) for r in near.collect())
+    assert [(*g[:3], g[4]) for g in got] == [(*w[:3], w[4]) for w in sorted(want)]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in sorted(want)], abs=2e-9)
+    assert "MapInArrow" in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_some_keys_are_those_of_all(spark):
+    rng, words = random.Random(5), "bad cod fig hut jam lot map net pin red sun tip".split()
+    df = spark.createDataFrame([(str(i), 0, i, " ".join(rng.choice(words) for _ in range(2))) for i in range(80)], "pid string, grp long, ord long, text string")
+    every = similarity.ppmi(tk.tokens(df), most_share=0.6).collect()
+    pairs = {(r.key, r.other): r for r in every}
+    assert len(pairs) == len(every) > 0 and all(pairs[b, a].w == r.w and pairs[b, a].df == r.other_df for (a, b), r in pairs.items())
+    some = similarity.ppmi(tk.tokens(df), most_share=0.6, only=["bd", "fg"]).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in every if r.key in ("bd", "fg"))
