@@ -587,3 +587,35 @@ def test_top_k_of_empty_tables(spark):
     assert top_k.top_k(frame(spark, []), frame(spark, [])).count() == 0
     assert top_k.top_k(frame(spark, ["a"]), frame(spark, [])).count() == 0
     assert top_k.top_k(frame(spark, []), frame(spark, ["a"])).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1e9])
+def test_top_k_adds_what_many_queries_found_at_once(monkeypatch, few):
+    """Shards searched one after the other, whether or not postings of dropped blocks are passed over; more copies than are added at once."""
+    monkeypatch.setattr(top_k, "FEW", few)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, rng.integers(1, 60)), 3000)) for _ in range(900)] + ["copy of w1 w77"] * 1500
+    shards, asked = [(0, 500), (500, 501), (501, 2400)], [*range(0, 2400, 20)]
+    sets = [set(t.split()) for t in texts]
+    names = sorted(set().union(*sets))
+    number = dict(zip(names, top_k.word_hashes(pa.array(names)), strict=True))
+    queries = top_k.Queries(np.array(asked), [np.array(sorted(number[w] for w in sets[q]), np.uint64) for q in asked])
+    count = Counter(number[w] for s in sets for w in s)
+    df = np.array([count[h] for h in queries.vocabulary])
+    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    lengths = np.array([len(t.split()) for t in texts])
+    best, calls, add = top_k.Best(len(asked), 5, np.zeros(len(asked))), [], top_k.Best.add
+    monkeypatch.setattr(top_k.Best, "add", lambda *a: (calls.append(1), add(*a))[1])
+    for lo, hi in shards:
+        row = top_k.shard_of(np.arange(lo, hi), pa.array(texts[lo:hi]))
+        top_k.Shard(dict(zip([c.split()[0] for c in top_k.SHARD.split(", ")], row, strict=True)), queries, idf, lengths.mean()).search(queries, best)
+    assert len(calls) < len(asked)
+    weight = dict(zip(queries.vocabulary.tolist(), idf, strict=True))
+    tfs = [Counter(t.split()) for t in texts]
+    for at, q in enumerate(queries.ids):
+        norm = top_k.K1 * (1 - top_k.B + top_k.B * lengths / lengths.mean())
+        scores = [(-round(sum(weight[int(number[w])] * tfs[d][w] * (top_k.K1 + 1) / (tfs[d][w] + norm[d]) for w in sets[q] & sets[d]), 6), d) for d in range(len(texts)) if d != q]
+        want = sorted(s for s in scores if s[0] < 0)[:5]
+        some = best.score[at] >= 0
+        assert best.doc[at][some].tolist() == [d for _, d in want]
+        assert best.score[at][some] == pytest.approx([-s for s, _ in want], abs=2e-6)
