@@ -83,7 +83,7 @@ def ppmi(tokens: DataFrame, least: int = 3, most_share: float = 0.25, only: list
     ``only`` leaves out the vectors of all other keys before anything is joined; contexts and frequencies stay whole. The band bounds what a passage contributes: the square of its distinct roots of middle frequency.
     Keys are numbered, and of two keys a passage has, only the lesser is counted with the greater: the rest is the mirror image.
     """
-    rows = roots_of(tokens).select("key", "pid")
+    rows = materialise(roots_of(tokens).select("key", "pid"), "roots")
     n = tokens.select("pid").distinct().agg(F.count("*").alias("n"))
     df = rows.groupBy("key").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most_share * F.col("n")))
     codes = numbered(df.select("key", "df"), [F.col("key")], "id")
