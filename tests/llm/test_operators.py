@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import gc
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from datetime import date
@@ -619,3 +621,76 @@ def test_top_k_adds_what_many_queries_found_at_once(monkeypatch, few):
         some = best.score[at] >= 0
         assert best.doc[at][some].tolist() == [d for _, d in want]
         assert best.score[at][some] == pytest.approx([-s for s, _ in want], abs=2e-6)
+
+
+class Batches:
+    """Stands for a table in mapInArrow; gives what the function makes of the batches."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return list(run(iter(self.batches)))
+
+
+def traced(run):
+    """What run gives, and the bytes that it held at once."""
+    gc.collect()
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_index_and_shards_hold_few_bytes():
+    """A task makes postings of a part of its texts at a time, and a shard keeps counts in a byte or two, not scores of each document and list."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.2, 400), 20_000)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["id", "text"])
+    rows, most = traced(lambda: top_k.build_index(Batches(batch)))
+    size = sum(map(len, texts))
+    assert sum(r.num_rows for r in rows) == 1
+    assert most < 5 * size
+    row = rows[0].to_pylist()[0]
+    assert sum(len(x) for x in row.values() if isinstance(x, bytes)) < 0.5 * size
+    hashes = [np.unique(top_k.word_hashes(pa.array(sorted(set(t.split()))))) for t in texts[::20]]
+    queries = top_k.Queries(np.arange(0, 3000, 20), hashes)
+    _, most = traced(lambda: top_k.Shard(row, queries, np.ones(len(queries.vocabulary)), 400.0))
+    assert most < 4 * size
+
+
+@pytest.mark.parametrize("limits", [{"SHARD_DOCS": 90, "PART_DOCS": 40}, {"SHARD_BYTES": 9000}, {"PART_DOCS": 7, "PART_BYTES": 500}, {"CELLS": 2000}, {"CELLS": 0, "SHARD_DOCS": 1, "PART_DOCS": 1}])
+def test_top_k_is_exact_whatever_a_shard_holds(monkeypatch, limits):
+    """Shards of few documents, made of small parts, with no more rows in the matrix than it has room for."""
+    for name, most in limits.items():
+        monkeypatch.setattr(top_k, name, most)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.4, rng.integers(1, 70)), 900)) for _ in range(400)] + ["w1 w2 w3"] * 60 + ["", "!!", "w1 " * 300 + "w9"]
+    columns = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(texts[a:b])], names=["id", "text"])
+    rows = [x for r in top_k.build_index(Batches(columns(0, 150), columns(150, len(texts)))) for x in r.to_pylist()]
+    assert sum(r["n"] for r in rows) == len(texts)
+    assert max(r["n"] for r in rows) <= top_k.SHARD_DOCS
+    asked = {q: set(texts[q].replace("!", "").split()) for q in range(0, len(texts), 20)}
+    queries = top_k.Queries(np.array(list(asked)), [np.unique(top_k.word_hashes(pa.array(sorted(t), pa.string()))) for t in asked.values()])
+    names = sorted(set().union(*asked.values()))
+    count = Counter(w for t in texts for w in set(t.split()))
+    df = np.array([count[w] for _, w in sorted(zip(top_k.word_hashes(pa.array(names)).tolist(), names, strict=True))])
+    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    best = top_k.Best(len(asked), 5, np.zeros(len(asked)))
+    for row in rows:
+        top_k.Shard(row, queries, idf, sum(r["words"] for r in rows) / len(texts)).search(queries, best)
+    want = brute_top(texts, range(len(texts)), asked, 5)
+    assert {int(q): best.doc[at][best.score[at] >= 0].tolist() for at, q in enumerate(queries.ids)} == {q: want[q] for q in asked}
+
+
+def test_bytes_at_once_holds_meanwhile(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    docs = frame(spark, ["x" * 10_000] * 500).select("text").coalesce(1)
+    sizes = lambda: [r.n for r in docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    with pytest.raises(KeyError), shared.bytes_at_once(spark, 1 << 18):
+        assert max(sizes()) < 1 << 19
+        raise KeyError
+    assert spark.conf.get(key, None) == old
