@@ -694,3 +694,12 @@ def test_bytes_at_once_holds_meanwhile(spark):
         assert max(sizes()) < 1 << 19
         raise KeyError
     assert spark.conf.get(key, None) == old
+
+
+def test_order_of_likeness_takes_as_many_terms_as_there_is_room_for(monkeypatch):
+    monkeypatch.setattr(top_k, "CELLS", 1 << 18)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 500)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["id", "text"])
+    _, most = traced(lambda: top_k.build_index(Batches(batch)))
+    assert most < 8 * sum(map(len, texts))
