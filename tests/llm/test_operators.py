@@ -703,3 +703,41 @@ def test_order_of_likeness_takes_as_many_terms_as_there_is_room_for(monkeypatch)
     batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["id", "text"])
     _, most = traced(lambda: top_k.build_index(Batches(batch)))
     assert most < 8 * sum(map(len, texts))
+
+
+def test_queries_pass_few_shards_in_groups(spark, monkeypatch):
+    """A wave of one shard was one task, whatever the number of queries."""
+    rng = np.random.default_rng(5)
+    docs = frame(spark, [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) % 300) for _ in range(160)])
+    asked = docs.where("doc_id % 4 = 0")
+    whole = top_k.top_k(docs, asked, k=5).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(top_k, "GROUP", 8)
+    groups, kind = [], type(docs)
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (groups.append(self.select("grp").distinct().count()) if "grp" in self.columns else None, own(self, *a, **b))[1])
+    assert top_k.top_k(docs, asked, k=5).orderBy("query_id", "rank").collect() == whole and len(whole) == 200
+    assert max(groups) > 1
+
+
+def test_block_products_have_only_rows_that_both_sides_have(monkeypatch):
+    """Blocks of two languages: a block's product took the rows of both."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'ab'[i // 256]}{int(x)}" for x in rng.integers(0, 40, 60)) for i in range(512)]
+    row = top_k.shard_of(np.arange(512), pa.array(texts))
+    names = [f"{c}{i}" for c in "ab" for i in range(40)]
+    queries = top_k.Queries(np.arange(512, 516), [np.sort(top_k.word_hashes(pa.array(names)))] * 4)
+    shard = top_k.Shard(dict(zip([c.split()[0] for c in top_k.SHARD.split(", ")], row, strict=True)), queries, np.ones(len(queries.vocabulary)), 60.0)
+    taken = []
+
+    class Quick(np.ndarray):
+        def __matmul__(self, other):
+            return np.asarray(self) @ np.asarray(other)
+
+        def __rmatmul__(self, other):
+            taken.append(self.shape[0] if self.ndim == 2 else self.shape[1])
+            return np.asarray(other) @ np.asarray(self)
+
+    shard.quick = shard.quick.view(Quick)
+    best = top_k.Best(4, 5, np.zeros(4))
+    shard.search(queries, best)
+    assert len(shard.row_most) == 80 and taken and max(taken) == 40
